@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Memo, chunks, groups_of, table, texts
+from tidemill.llm.common import Memo, chunks, gathered, groups_of, marked_chunks, numbered_words, table, texts
 
 
 def default_ranks() -> str:
@@ -45,7 +45,7 @@ class PerfectHash:
     """A minimal perfect hash of distinct byte strings by hash and displacement: ``get`` costs one hash, one look at
     the bucket's displacement and one comparison."""
 
-    def __init__(self, keys: list[bytes], values: list[int], load: int = 4):
+    def __init__(self, keys: list[bytes], values: list[int], load: int = 2):
         from xxhash import xxh3_128_intdigest
 
         self.hash, n = xxh3_128_intdigest, len(keys)
@@ -57,27 +57,37 @@ class PerfectHash:
         self.shift = [0] * self.buckets
         taken = bytearray(n)
         self.keys, self.values = [b""] * n, [0] * n
+        lone: list[tuple[int, int]] = []
         for b, members in sorted(by_bucket.items(), key=lambda x: -len(x[1])):
+            if len(members) == 1:
+                lone.append((b, members[0][2]))
+                continue
             d = 0
             while True:
-                slots = [(x + d * step + d * d * d) % n for x, step, _ in members]
+                slots = [self._slot(x, step, d) for x, step, _ in members]
                 if len(set(slots)) == len(slots) and not any(taken[s] for s in slots):
                     break
                 d += 1
             self.shift[b] = d
             for s, (_, _, i) in zip(slots, members, strict=True):
                 taken[s], self.keys[s], self.values[s] = 1, keys[i], values[i]
+        free = (s for s in range(n) if not taken[s])
+        for (b, i), s in zip(lone, free, strict=False):  # buckets of one key name their slot
+            self.shift[b], self.keys[s], self.values[s] = -s - 1, keys[i], values[i]
 
     def _parts(self, key: bytes) -> tuple[int, int, int]:
         h = self.hash(key)
         return (h & 0xFFFFFFFF) % self.buckets, (h >> 32) & 0xFFFFFFFF, ((h >> 64) & 0xFFFFFFFF) | 1
 
+    def _slot(self, x: int, step: int, d: int) -> int:
+        return ((x + d * step) * 0x9E3779B97F4A7C15 >> 32 & 0xFFFFFFFF) % self.n
+
     def get(self, key: bytes) -> int | None:
         if not self.n:
             return None
         b, x, step = self._parts(key)
         d = self.shift[b]
-        slot = (x + d * step + d * d * d) % self.n
+        slot = -d - 1 if d < 0 else self._slot(x, step, d)
         return self.values[slot] if self.keys[slot] == key else None
 
 
@@ -93,7 +103,7 @@ class Bpe:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.decimal = [str(i) for i in range(len(self.bytes_of))]
-        self.words = Memo(self._word)
+        self.words = Memo(self._word, 200_000)
         self.memo = Memo(self._chunk)
 
     def merge(self, token: bytes) -> list[int]:
@@ -131,8 +141,10 @@ class Bpe:
 
     def encode(self, texts: list[str]):
         """Yields each text's ids as little-endian unsigned 32-bit integers."""
-        for text in texts:
-            yield b"".join(map(self.memo.__getitem__, chunks(text)))
+        for words, number, borders, odd in numbered_words(texts, marked_chunks, chunks):
+            found = gathered(list(map(self.memo.__getitem__, words)), number, borders)
+            for i, x in enumerate(found):
+                yield b"".join(map(self.memo.__getitem__, odd[i])) if i in odd else x
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))

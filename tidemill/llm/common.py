@@ -6,7 +6,9 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,45 +55,54 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
 
 
 class Memo(dict):
-    """A bounded memo of a pure function: two generations, each of at most ``most`` entries and ``most_chars``
-    characters of keys. Forgotten keys are computed again, so the bound never changes a result."""
+    """A bounded memo of a pure function: emptied when it has ``most`` entries or ``most_chars`` characters of keys.
+    Forgotten keys are computed again, so the bound never changes a result."""
 
-    def __init__(self, make, most: int = 300_000, most_chars: int = 12_000_000):
-        self.make, self.most, self.most_chars, self.chars, self.old = make, most, most_chars, 0, {}
+    def __init__(self, make, most: int = 600_000, most_chars: int = 20_000_000):
+        self.make, self.most, self.most_chars, self.chars = make, most, most_chars, 0
 
     def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        self.add([key], [value])
+        self.trim()
+        value = self[key] = self.make(key)
+        self.chars += len(key)
         return value
 
-    def missing(self, keys: set) -> list:
-        """Those of ``keys`` that neither generation holds."""
-        return list(keys.difference(self, self.old))
-
-    def add(self, keys: list, values: list) -> None:
-        if len(self) + len(keys) > self.most or self.chars > self.most_chars:
-            self.old, self.chars = dict(self), 0
+    def trim(self, keep=()) -> None:
+        """Empties a full memo but for the keys of ``keep``."""
+        if len(self) >= self.most or self.chars > self.most_chars:
+            kept = {k: self[k] for k in keep if k in self}
             self.clear()
+            if len(kept) < self.most // 2:
+                self.update(kept)
+            self.chars = sum(map(len, self))
+
+    def fill(self, keys: list, values) -> None:
         self.chars += sum(map(len, keys))
         self.update(zip(keys, values, strict=True))
 
 
-#: Two white-space characters in a row, or one at either end: texts where plain splitting could part a white-space run.
-_RUNS = re.compile(r"\s\s|\A\s|\s\Z")
+#: White space other than the blank and the line feed, and the mark that cuts texts.
+_OTHER = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _CUTS = re.compile(r"(?= \S)|(?<=\S\n)(?=\S)")
 
 
+def plain(text: str) -> bool:
+    """Whether all white space is single blanks and line feeds between two other characters."""
+    return not (
+        "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n")
+        or _OTHER.search(text)
+    )
+
+
 def chunks(text: str) -> list[str]:
     """Cuts a text where no pre-token of the byte-level BPE patterns can cross: before a blank that a
     non-white-space character follows, and after a single line feed between two of them. The patterns match the same
     pieces in each chunk as in the whole text, so chunks can be encoded (and remembered) one by one."""
     if not text:
         return []
-    if "\0" in text or _RUNS.search(text):
+    if not plain(text):
         return [x for x in _CUTS.split(text) if x]
-    return text.replace("\n", "\n\0").replace(" ", "\0 ").split("\0")
+    return marked_chunks(text).split("\0")
 
 
 def groups_of(items: list[str], most_chars: int = 1_000_000):
@@ -104,3 +115,37 @@ def groups_of(items: list[str], most_chars: int = 1_000_000):
             at, chars = i + 1, 0
     if at < len(items):
         yield at, len(items)
+
+
+def numbered_words(texts: list[str], cut, odd_words, most_chars: int = 6_000_000):
+    """Parts of many texts, numbered by Arrow: yields (distinct words, numbers, borders, odd) for runs of texts. ``cut``
+    gives a text with a NUL between its parts, or None for a text that must be parted by ``odd_words``; ``odd`` has the
+    words of those by their place in the run. Text i has the numbers from borders[i] to borders[i + 1]."""
+    for lo, hi in groups_of(texts, most_chars):
+        counts, parts, odd = np.zeros(hi - lo + 1, np.int64), [], {}
+        for i, x in enumerate(texts[lo:hi]):
+            if not x or (marked := cut(x)) is None:
+                odd[i] = odd_words(x)
+                continue
+            parts.append(marked)
+            counts[i + 1] = marked.count("\0") + 1
+        split = pc.split_pattern(pa.array(["\0".join(parts)] if parts else [], pa.large_string()), "\0")
+        numbered = split.flatten().dictionary_encode()
+        yield numbered.dictionary.to_pylist(), numbered.indices.to_numpy(), counts.cumsum(), odd
+
+
+def gathered(held: list[bytes], number: np.ndarray, borders: np.ndarray) -> list[bytes]:
+    """For each text, its words' values (32-bit items, any number for each word) in a row, by the words' numbers."""
+    size = np.fromiter(map(len, held), np.int64, len(held)) // 4
+    items, start = np.frombuffer(b"".join(held), "<u4"), size.cumsum() - size
+    lengths = size[number]
+    ends = np.append(0, lengths.cumsum())
+    flat = items[np.repeat(start[number] - ends[:-1], lengths) + np.arange(ends[-1])]
+    at = (4 * ends[borders]).tolist()
+    raw = flat.tobytes()
+    return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def marked_chunks(text: str) -> str | None:
+    """The chunks of a plain text with a NUL between them."""
+    return text.replace("\n", "\n\0").replace(" ", "\0 ") if plain(text) else None

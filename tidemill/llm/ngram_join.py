@@ -73,7 +73,8 @@ def shingles(text: str, n: int) -> np.ndarray:
 
 def node_of(tokens: np.ndarray) -> int:
     """The 64-bit name of a set."""
-    return int((mixed(tokens + _C).sum(dtype=np.uint64) + np.uint64(len(tokens)) * _A).astype(np.int64))
+    total = int(mixed(tokens + _C).sum(dtype=np.uint64)) + len(tokens) * int(_A)
+    return ((total + (1 << 63)) & ((1 << 64) - 1)) - (1 << 63)
 
 
 @dataclass(frozen=True)
@@ -348,11 +349,7 @@ def ngram_components(
     members = members.join(weight.select("node", "sigs"), "node").join(nodes.select("node", "n"), "node")
     more = _apart(members.withColumnRenamed("sig", "bucket"), limit).distinct()
     more = written(_verified(written(more, "open-pairs"), sets, limit), "set-links")
-    if more.isEmpty():
-        final = reached
-    else:
-        final = connected_components(links.union(more))
-    final = nodes.join(final, "node").groupBy("component").agg(F.min("rep").alias("component_id"), F.collect_set("node").alias("nodes")) if False else final
+    final = reached if more.isEmpty() else connected_components(links.union(more))
     smallest = nodes.join(final, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
     by_node = nodes.join(final, "node", "left").join(smallest, "component", "left")
     by_node = by_node.select("node", F.coalesce("component_id", "rep").alias("component_id"))

@@ -17,14 +17,14 @@ from __future__ import annotations
 import functools
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Memo, table, texts
+from tidemill.llm.common import Memo, numbered_words, table, texts
 
 MARK = "▁"
-NORMAL, USER_DEFINED = 1, 4
 
 
 def default_vocabulary() -> str:
@@ -56,7 +56,11 @@ class Counter:
         self.unknown = min(pieces.values(), default=0.0) - 10.0
         self.bytes, self.prefix = byte_fallback, MARK if dummy_prefix else ""
         self.by_word = not any(MARK in p.lstrip(MARK) for p in pieces)
-        self.memo = Memo(self.solve)
+        self.memo = Memo(self._packed)
+
+    def _packed(self, word: str) -> bytes:
+        score, count = self.solve(word)
+        return np.array([score, count]).tobytes()
 
     def solve(self, text: str) -> tuple[float, int]:
         """Viterbi over one normalised text: (score, pieces)."""
@@ -94,21 +98,32 @@ class Counter:
             best[end + 1], count[end + 1], open_run[end + 1] = top, pieces, unknown
         return best[n] or 0.0, count[n]
 
-    def count(self, text: str) -> tuple[float, int]:
-        """(score, pieces) of a raw text."""
+    def _words(self, text: str) -> list[str]:
+        """Parts of a raw text that are solved apart: each a run of blank marks and what follows it."""
+        whole = self.prefix + text.replace(" ", MARK)
         if not text:
-            return 0.0, 0
-        if not self.by_word or not self.prefix or (not self.bytes and MARK in text):
-            return self.solve(self.prefix + text.replace(" ", MARK))
-        if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
-            words = _WORDS.findall(MARK + text.replace(" ", MARK))
-        else:
-            words = (MARK + text.replace(" ", f"\0{MARK}")).split("\0") if "\0" not in text else None
-            words = words or _WORDS.findall(MARK + text.replace(" ", MARK))
-        if not self.bytes:  # a run of unknown characters never crosses the blank mark, which is a piece
-            words = words if MARK in self.single else [self.prefix + text.replace(" ", MARK)]
-        found = list(map(self.memo.__getitem__, words))
-        return sum(x[0] for x in found), sum(x[1] for x in found)
+            return []
+        # A run of unknown characters is one piece without byte fallback: it must not be parted.
+        return _WORDS.findall(whole) if self.by_word and (self.bytes or MARK in self.single) else [whole]
+
+    def _marked(self, text: str) -> str | None:
+        odd = "  " in text or MARK in text or "\0" in text or text[0] == " " or not (self.by_word and self.bytes and self.prefix)
+        return None if odd else MARK + text.replace(" ", f"\0{MARK}")
+
+    def counts(self, texts: list[str]) -> tuple[list[float], list[int]]:
+        """Best scores and piece counts of raw texts."""
+        scores, pieces = [], []
+        for words, number, borders, odd in numbered_words(texts, self._marked, self._words):
+            found = np.frombuffer(b"".join(map(self.memo.__getitem__, words))).reshape(-1, 2)
+            sums = np.vstack([np.zeros(2), found[number].cumsum(axis=0)]) if len(number) else np.zeros((1, 2))
+            for i, (a, b) in enumerate(zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)):
+                if i in odd:
+                    own = np.frombuffer(b"".join(map(self.memo.__getitem__, odd[i]))).reshape(-1, 2).sum(axis=0)
+                else:
+                    own = sums[b] - sums[a] if sums[-1, 0] > -(2.0**52) else found[number[a:b]].sum(axis=0)
+                scores.append(float(own[0]))
+                pieces.append(int(own[1]))
+        return scores, pieces
 
 
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -128,9 +143,9 @@ def token_counts(
     def solve(batches):
         own = counter(path)
         for batch in batches:
-            found = [own.count(x) for x in texts(batch, "text")]
-            counts = pa.array([x[1] for x in found], pa.int64()), pa.array([x[0] for x in found], pa.float64())
-            yield pa.record_batch([batch.column(0), *counts], ["doc_id", "n_tokens", "score"])
+            scores, pieces = own.counts(texts(batch, "text"))
+            found = [batch.column(0), pa.array(pieces, pa.int64()), pa.array(scores, pa.float64())]
+            yield pa.record_batch(found, ["doc_id", "n_tokens", "score"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return kept.mapInArrow(solve, "doc_id long, n_tokens long, score double")

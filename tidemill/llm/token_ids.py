@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import functools
 import os
+import re
+from array import array
 
 import numpy as np
 
-from tidemill.llm.common import Memo, chunks, groups_of
+from tidemill.llm.common import Memo, chunks, gathered, marked_chunks, numbered_words
 
 
 def default_vocabulary() -> str:
@@ -16,6 +18,10 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: A word with at most one blank before it and one line feed after it.
+_PLAIN = re.compile(r" ?\S+\n?")
+
+
 class Encoder:
     """Encodes texts with the tokenizers library, each distinct chunk once while it is remembered.
 
@@ -29,20 +35,48 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.memo = Memo(self._one)
+        self.hot: set[str] = set()  # remembered chunks that were met again
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else None
 
     def _one(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words without line feeds: encoded as lines, and parted at the line feeds' id, which no word has. A
+        line feed is a pre-token of its own after a word."""
+        lines = ["\n".join(words[i : i + 24]) + "\n" for i in range(0, len(words), 24)]
+        found = [array("I", x.ids) for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        raw = b"".join(found)
+        ends = np.flatnonzero(np.frombuffer(raw, "<u4") == self.feed)
+        if len(ends) != len(words):
+            return [self._one(x) for x in words]
+        ends = (4 * ends).tolist()
+        return [raw[a:b] for a, b in zip([0, *(x + 4 for x in ends[:-1])], ends, strict=True)]
+
+    def _learn(self, new: list[str]) -> None:
+        words = [x for x in new if _PLAIN.fullmatch(x)] if self.feed is not None else []
+        end = np.array([self.feed or 0], "<u4").tobytes()
+        for i in range(0, len(words), 24_000):
+            part = words[i : i + 24_000]
+            found = self._words([x[:-1] if x[-1] == "\n" else x for x in part])
+            self.memo.fill(part, [ids + end if x[-1] == "\n" else ids for x, ids in zip(part, found, strict=True)])
+
     def encode(self, texts: list[str]):
-        """Yields the ids of each text as bytes."""
-        memo = self.memo
-        for lo, hi in groups_of(texts, 2_000_000):
-            parts = [chunks(x) for x in texts[lo:hi]]
-            if new := memo.missing(set().union(*parts)):
-                found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-                memo.add(new, [np.array(x.ids, "<u4").tobytes() for x in found])
-            for p in parts:
-                yield b"".join(map(memo.__getitem__, p))
+        """Yields the ids of each text as bytes. The chunks of many texts are numbered by Arrow, so that only distinct
+        ones are looked up; their ids are then dealt out by number."""
+        for words, number, borders, odd in numbered_words(texts, marked_chunks, chunks):
+            distinct = set(words).union(*odd.values())
+            new = {x for x in distinct if x not in self.memo}
+            self.hot |= distinct - new
+            if len(self.memo) + len(new) > self.memo.most:
+                self.memo.trim(self.hot)
+                self.hot = set()
+                new = {x for x in distinct if x not in self.memo}
+            self._learn(list(new))
+            found = gathered(list(map(self.memo.__getitem__, words)), number, borders)
+            for i, x in enumerate(found):
+                yield b"".join(map(self.memo.__getitem__, odd[i])) if i in odd else x
 
 
 @functools.lru_cache(maxsize=2)
