@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def in_blocks(members: DataFrame, most: int) -> DataFrame:
+def in_blocks(members: DataFrame, most: int, about: DataFrame | None = None) -> DataFrame:
     """Splits buckets into blocks of about ``most`` rows by a hash of ``node``, and sends each row to every pair of
     blocks that its own is part of. ``members`` has ``bucket``, ``node`` and ``size`` (rows of the bucket); added are
-    ``first`` and ``second`` (the pair of blocks) and ``own`` (the row's block). Rows come sorted by pair."""
+    ``first`` and ``second`` (the pair of blocks) and ``own`` (the row's block), and the columns of ``about`` by node. Rows
+    come sorted by pair. A bucket of one block stays one group."""
     n = F.ceil(F.col("size") / F.lit(most)).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(17)), n).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     dealt = dealt.withColumns({"first": F.least("own", "other"), "second": F.greatest("own", "other")}).drop("other", "size")
+    dealt = dealt if about is None else dealt.join(about, "node")
     keys = ["bucket", "first", "second"]
     return dealt.repartition(*keys).sortWithinPartitions(*keys)
 

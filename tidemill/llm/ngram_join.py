@@ -122,7 +122,7 @@ def allocate(limit: Threshold, low: int, high: int, sets: int) -> Scheme:
     """The cheapest number of segments with deletion neighbours, for a band with that many possible partners."""
     need = limit.most(high, limit.largest(high)) + 1
     best = None
-    for deleting in range((need + 1) // 2 + 1):
+    for deleting in sorted({(need + 1) // 2 * i // 64 for i in range(65)}):
         missing = max(0, need - 2 * deleting)
         exact = -(-3 * missing // 2)
         t = high / (deleting + exact)
@@ -133,11 +133,11 @@ def allocate(limit: Threshold, low: int, high: int, sets: int) -> Scheme:
     return best[1]
 
 
-def schemes_for(limit: Threshold, by_size: dict[int, int]) -> list[Scheme]:
-    """One scheme for each band, given the number of sets in each band (by the band's first size)."""
-    found = bands(limit, max(by_size, default=0))
-    after = [by_size.get(low, 0) for low, _ in found] + [0]
-    return [allocate(limit, low, high, after[i] + after[i + 1]) for i, (low, high) in enumerate(found)]
+def schemes_for(limit: Threshold, by_size: dict[int, int], largest: int) -> list[Scheme]:
+    """One scheme for each band, given about how many sets there are of each size."""
+    found = bands(limit, largest)
+    sets = [sum(n for size, n in by_size.items() if low <= size <= high) for low, high in found] + [0]
+    return [allocate(limit, low, high, sets[i] + sets[i + 1]) for i, (low, high) in enumerate(found)]
 
 
 def signatures(tokens: np.ndarray, limit: Threshold, schemes: list[Scheme]) -> np.ndarray:
@@ -175,7 +175,7 @@ def signatures(tokens: np.ndarray, limit: Threshold, schemes: list[Scheme]) -> n
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
     """Counts of elements by hash: the sum of absolute differences never exceeds the sets' difference."""
-    width = min(SKETCH, 1 << max(4, (2 * len(tokens) - 1).bit_length()))
+    width = min(SKETCH, 1 << max(4, (len(tokens) // 4).bit_length()))
     return np.minimum(np.bincount((tokens % np.uint64(width)).astype(np.int64), minlength=width), 255).astype(np.uint8)
 
 
@@ -183,47 +183,42 @@ def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def document_sets(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: doc_id, n_shingles, node (null for an empty set)."""
-
-    def run(batches):
-        for batch in batches:
-            sizes, nodes = [], []
-            for text in batch.column("text").to_pylist():
-                tokens = shingles(text or "", n)
-                sizes.append(len(tokens))
-                nodes.append(node_of(tokens) if len(tokens) else None)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], ["doc_id", "n_shingles", "node"])
-
-    return _own(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, node long")
-
-
 def _index(docs: DataFrame, n: int, limit: Threshold, schemes: list[Scheme]) -> DataFrame:
-    """Entries (sig, node) of every set; a task gives the entries of equal sets once."""
+    """Index entries (sig, node) of every set, which a task gives once for equal sets, and a row (with ``doc``: id and
+    size of the set) for every document."""
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
-            sigs, nodes, held = [], [], 0
-            for text in batch.column("text").to_pylist():
+            sigs, nodes, docs, held = [], [], [], 0
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 tokens = shingles(text or "", n)
                 node = node_of(tokens) if len(tokens) else None
-                if node is None or node in seen:
-                    continue
-                seen.add(node)
-                sigs.append(signatures(tokens, limit, schemes))
-                nodes.append(np.full(len(sigs[-1]), node))
-                held += len(sigs[-1])
+                docs.append((doc_id, len(tokens), node))
+                if node is not None and node not in seen:
+                    seen.add(node)
+                    sigs.append(signatures(tokens, limit, schemes))
+                    nodes.append(np.full(len(sigs[-1]), node))
+                    held += len(sigs[-1])
                 if held > 500_000:
-                    yield out(sigs, nodes)
-                    sigs, nodes, held = [], [], 0
-            if held:
-                yield out(sigs, nodes)
-
-    def out(sigs, nodes):
-        return pa.record_batch([pa.array(np.concatenate(sigs).astype(np.int64)), pa.array(np.concatenate(nodes))], ["sig", "node"])
-
-    return docs.select("text").mapInArrow(run, "sig long, node long")
+                    yield out(sigs, nodes, docs)
+                    sigs, nodes, docs, held = [], [], [], 0
+            if docs:
+                yield out(sigs, nodes, docs)
+
+    def out(sigs, nodes, docs):
+        entries = np.concatenate([np.empty(0, np.uint64), *sigs]).astype(np.int64)
+        ids = pa.array([x[0] for x in docs], pa.int64())
+        # A document's own row goes to a bucket of its own, by a hash of its id.
+        spread = mixed(np.array([-1 if x[0] is None else x[0] for x in docs], np.int64).view(np.uint64) ^ _C).view(np.int64)
+        sig = pa.array(np.concatenate([entries, spread]))
+        named = pa.array(np.concatenate([np.empty(0, np.int64), *nodes]), pa.int64())
+        node = pa.concat_arrays([named, pa.array([x[2] for x in docs], pa.int64())])
+        kind = pa.struct([("doc_id", pa.int64()), ("n", pa.int64())])
+        own = pa.StructArray.from_arrays([ids, pa.array([x[1] for x in docs], pa.int64())], fields=list(kind))
+        return pa.record_batch([sig, node, pa.concat_arrays([pa.nulls(len(entries), kind), own])], ["sig", "node", "doc"])
+
+    return docs.mapInArrow(run, "sig long, node long, doc struct<doc_id:long,n:long>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -271,40 +266,44 @@ def _verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
 
 def _apart(members: DataFrame, limit: Threshold) -> DataFrame:
     """Pairs (a, b) of nodes that share a bucket and are in different components, less those that a bound from their
-    sketches rules out. A pair comes from the least bucket that both are in."""
+    sketches rules out, and those of the bucket's lead. A pair that shares more buckets comes from the least of those
+    among both nodes' first entries."""
 
     def run(batches):
         for rows in runs(batches, ["bucket", "first", "second"]):
             first, second, side = rows["first"][0].as_py(), rows["second"][0].as_py(), rows["own"].to_numpy()
-            bucket, node, component, size, lead = (rows[c].to_numpy() for c in ("bucket", "node", "component", "n", "lead"))
+            bucket, lead = rows["bucket"][0].as_py(), rows["lead"][0].as_py()
+            node, component, size = (rows[c].to_numpy() for c in ("node", "component", "n"))
             left, right = np.flatnonzero(side == first), np.flatnonzero(side == second)
-            counts = [np.frombuffer(x.as_buffer(), np.uint8).astype(np.int16) for x in rows["sketch"]]
-            sigs = rows["sigs"].to_pylist()
-            known: dict[int, set] = {}
-            for i in left.tolist():
-                j = right[right > i] if first == second else right
-                j = j[(component[j] != component[i]) & (node[j] != node[i]) & (node[j] != lead[i])] if node[i] != lead[i] else j[:0]
-                j = j[(size[j] * limit.num <= size[i] * limit.den) & (size[i] * limit.num <= size[j] * limit.den)]
-                found = []
-                for width in {len(counts[x]) for x in j}:
-                    same = [x for x in j if len(counts[x]) == width]
-                    narrow = min(width, len(counts[i]))
-                    mine = counts[i].reshape(-1, narrow).sum(axis=0)
-                    others = np.stack([counts[x] for x in same]).reshape(len(same), -1, narrow).sum(axis=1)
-                    apart = np.abs(others - mine).sum(axis=1)
-                    found += [x for x, d in zip(same, apart, strict=True) if d <= limit.most(size[i], size[x])]
-                mates = []
-                for x in found:
-                    for y in (i, x):
-                        if y not in known:
-                            known[y] = set(sigs[y])
-                    if min(known[i] & known[x]) == bucket[i]:
-                        mates.append(x)
-                if mates:
-                    a, b = np.full(len(mates), node[i]), node[mates]
-                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    return in_blocks(members, BLOCK).mapInArrow(run, "a long, b long")
+            sketches = rows["sketch"].to_pylist()
+            width = min(map(len, sketches))
+            counts = np.stack([np.frombuffer(x, np.uint8).astype(np.int16).reshape(-1, width).sum(axis=0) for x in sketches]).astype(np.int16)
+            sigs: dict[int, set] = {}
+            for lo in range(0, len(left), 64):
+                i = left[lo : lo + 64]
+                a, b = component[i][:, None] != component[right], node[i][:, None] != node[right]
+                c = (size[i][:, None] * limit.num <= size[right] * limit.den) & (size[right] * limit.num <= size[i][:, None] * limit.den)
+                d = (node[i][:, None] != lead) & (node[right] != lead)
+                e = i[:, None] < right if first == second else True
+                x, y = np.nonzero(a & b & c & d & e)
+                x, y = i[x], right[y]
+                keep = [np.empty(0, bool)]
+                for at in range(0, len(x), 8_192):
+                    p, q = x[at : at + 8_192], y[at : at + 8_192]
+                    keep.append(np.abs(counts[p] - counts[q]).sum(axis=1) <= limit.most(size[p], size[q]))
+                near = np.flatnonzero(np.concatenate(keep))
+                pairs = []
+                for p, q in zip(x[near].tolist(), y[near].tolist(), strict=True):
+                    for z in (p, q):
+                        if z not in sigs:
+                            sigs[z] = set(rows["sigs"][z].as_py())
+                    if min(sigs[p] & sigs[q], default=bucket) == bucket:
+                        pairs.append((node[p], node[q]))
+                if pairs:
+                    found = np.sort(np.array(pairs, np.int64), axis=1)
+                    yield pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return members.mapInArrow(run, "a long, b long")
 
 
 def ngram_components(
@@ -315,26 +314,28 @@ def ngram_components(
     if not 0 < limit.num <= limit.den:
         raise ValueError("the threshold must be above 0 and at most 1")
     own = _own(docs, id_col, text_col)
-    light = written(document_sets(docs, n, id_col, text_col), "sets-light")
-    nodes = light.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-    nodes = written(nodes, "set-nodes")
-    # The histogram of sizes by band has as many rows as there are bands: a few hundred at most.
-    edges = [low for low, _ in bands(limit, nodes.agg(F.max("n")).first()[0] or 0)]
-    band = F.size(F.filter(F.array(*map(F.lit, edges)), lambda x: x <= F.col("n"))) if edges else F.lit(0)
-    by_size = {edges[r["band"] - 1]: r["count"] for r in nodes.groupBy(band.alias("band")).count().collect()}
-    schemes = schemes_for(limit, by_size)
+    # Sizes of sets are estimated from lengths for the choice by cost only: a few hundred rows of counts.
+    length = F.greatest(F.octet_length("text"), F.lit(1))
+    histogram = own.filter("text is not null").groupBy(F.floor(F.log(length / 6.0 + 1) * 10).alias("bin")).agg(F.count("*").alias("n"), F.max(length).alias("most")).collect()
+    by_size = {max(1, round(math.exp(r["bin"] / 10))): r["n"] for r in histogram}
+    schemes = schemes_for(limit, by_size, max((r["most"] for r in histogram), default=0) // 2 + 1)
 
     bucket = Window.partitionBy("sig")
     entries = _index(own, n, limit, schemes)
-    shared = entries.withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket)})
-    shared = written(shared.filter("low < high").select("sig", "node").distinct(), "shared-entries")
+    entries = entries.withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket)})
+    entries = written(entries.filter("low < high or doc is not null").select("sig", "node", "doc"), "shared-entries")
+    light = entries.filter("doc is not null").select("doc.doc_id", F.col("doc.n").alias("n_shingles"), "node")
+    nodes = light.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    nodes = written(nodes, "set-nodes")
+    shared = entries.filter("doc is null").select("sig", "node").distinct()
     sizes = shared.groupBy("sig").agg(F.count("*").alias("size"))
-    sized_entries = shared.join(sizes, "sig")
-    weight = sized_entries.groupBy("node").agg(F.sum("size").alias("weight"), F.sort_array(F.collect_list("sig")).alias("sigs"))
-    weight = written(weight, "node-entries")  # a node's entries are bounded by its own text
-    leads = shared.join(weight.select("node", "weight"), "node").groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("top"), F.count("*").alias("size"))
-    leads = written(leads.select("sig", "size", F.col("top.node").alias("lead")), "bucket-leads")
-    led = shared.join(leads, "sig")
+    shared = written(shared.join(sizes, "sig"), "bucket-members")
+    # A node's entries are bounded by its own text; the first few serve to tell where a pair belongs.
+    weight = shared.groupBy("node").agg(F.sum("size").alias("weight"), F.slice(F.sort_array(F.collect_list("sig")), 1, 16).alias("sigs"))
+    weight = written(weight, "node-entries")
+    leads = shared.join(weight.select("node", "weight"), "node").groupBy("sig").agg(F.max(F.struct("weight", "node")).alias("top"))
+    leads = leads.select("sig", F.col("top.node").alias("lead"))
+    led = written(shared.join(leads, "sig"), "led-members")
     pairs = led.filter("node != lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
 
     involved = written(weight.select("node").join(nodes, "node").select("node", "rep"), "involved")
@@ -344,10 +345,10 @@ def ngram_components(
     reached = connected_components(links)
     reached = weight.select("node").join(reached, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     placed = led.filter("size > 2").join(reached, "node")
-    open_ = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    members = placed.join(open_.select("sig"), "sig").join(sets.select("node", "sketch"), "node")
-    members = members.join(weight.select("node", "sigs"), "node").join(nodes.select("node", "n"), "node")
-    more = _apart(members.withColumnRenamed("sig", "bucket"), limit).distinct()
+    mixed_buckets = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    placed = placed.join(mixed_buckets.select("sig"), "sig").withColumnRenamed("sig", "bucket")
+    about = sets.select("node", "sketch").join(weight.select("node", "sigs"), "node").join(nodes.select("node", "n"), "node")
+    more = _apart(in_blocks(placed, BLOCK, about), limit).distinct()
     more = written(_verified(written(more, "open-pairs"), sets, limit), "set-links")
     final = reached if more.isEmpty() else connected_components(links.union(more))
     smallest = nodes.join(final, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
