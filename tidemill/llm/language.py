@@ -93,11 +93,13 @@ class Labeller:
 
     def label(self, text: str) -> tuple[str, float, list[tuple[int, int, int]]]:
         """(language, score, spans as (first word, last word, language's place))."""
+        if not self.k:
+            return "und", 0.0, []
         found = np.frombuffer(b"".join(map(self.memo.__getitem__, text.split())), np.float32)
         found = found.reshape(-1, self.k + 1)
         letters = found[:, -1]
         total = float(letters.sum(dtype=np.float64))
-        if not self.k or not total:
+        if not total:
             return "und", 0.0, []
         scores = found[:, :-1].astype(np.float64)
         path = self.path(scores)
