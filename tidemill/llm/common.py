@@ -55,26 +55,26 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
 
 
 class Memo(dict):
-    """A bounded memo of a pure function: emptied when it has ``most`` entries or ``most_chars`` characters of keys.
-    Forgotten keys are computed again, so the bound never changes a result."""
+    """A memo of a pure function, bounded to about ``most`` entries or ``most_chars`` characters of keys: it is emptied
+    beyond. Forgotten keys are computed again, so the bound never changes a result."""
 
-    def __init__(self, make, most: int = 600_000, most_chars: int = 20_000_000):
+    def __init__(self, make, most: int = 350_000, most_chars: int = 12_000_000):
         self.make, self.most, self.most_chars, self.chars = make, most, most_chars, 0
 
     def __missing__(self, key):
-        self.trim()
+        if len(self) >= self.most or self.chars > self.most_chars:
+            self.trim()
         value = self[key] = self.make(key)
         self.chars += len(key)
         return value
 
     def trim(self, keep=()) -> None:
-        """Empties a full memo but for the keys of ``keep``."""
-        if len(self) >= self.most or self.chars > self.most_chars:
-            kept = {k: self[k] for k in keep if k in self}
-            self.clear()
-            if len(kept) < self.most // 2:
-                self.update(kept)
-            self.chars = sum(map(len, self))
+        """Empties the memo but for the keys of ``keep``."""
+        kept = {k: self[k] for k in keep if k in self}
+        self.clear()
+        if len(kept) < self.most // 2:
+            self.update(kept)
+        self.chars = sum(map(len, self))
 
     def fill(self, keys: list, values) -> None:
         self.chars += sum(map(len, keys))
@@ -117,7 +117,7 @@ def groups_of(items: list[str], most_chars: int = 1_000_000):
         yield at, len(items)
 
 
-def numbered_words(texts: list[str], cut, odd_words, most_chars: int = 6_000_000):
+def numbered_words(texts: list[str], cut, odd_words, most_chars: int = 3_000_000):
     """Parts of many texts, numbered by Arrow: yields (distinct words, numbers, borders, odd) for runs of texts. ``cut``
     gives a text with a NUL between its parts, or None for a text that must be parted by ``odd_words``; ``odd`` has the
     words of those by their place in the run. Text i has the numbers from borders[i] to borders[i + 1]."""
@@ -131,7 +131,8 @@ def numbered_words(texts: list[str], cut, odd_words, most_chars: int = 6_000_000
             counts[i + 1] = marked.count("\0") + 1
         split = pc.split_pattern(pa.array(["\0".join(parts)] if parts else [], pa.large_string()), "\0")
         numbered = split.flatten().dictionary_encode()
-        yield numbered.dictionary.to_pylist(), numbered.indices.to_numpy(), counts.cumsum(), odd
+        words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        yield words, numbered.indices.to_numpy(), counts.cumsum(), odd
 
 
 def gathered(held: list[bytes], number: np.ndarray, borders: np.ndarray) -> list[bytes]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 from array import array
 
 import numpy as np
@@ -18,10 +17,6 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-#: A word with at most one blank before it and one line feed after it.
-_PLAIN = re.compile(r" ?\S+\n?")
-
-
 class Encoder:
     """Encodes texts with the tokenizers library, each distinct chunk once while it is remembered.
 
@@ -35,7 +30,6 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.memo = Memo(self._one)
-        self.hot: set[str] = set()  # remembered chunks that were met again
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 else None
 
@@ -54,29 +48,33 @@ class Encoder:
         ends = (4 * ends).tolist()
         return [raw[a:b] for a, b in zip([0, *(x + 4 for x in ends[:-1])], ends, strict=True)]
 
-    def _learn(self, new: list[str]) -> None:
-        words = [x for x in new if _PLAIN.fullmatch(x)] if self.feed is not None else []
-        end = np.array([self.feed or 0], "<u4").tobytes()
+    def _plain(self, words: list[str]) -> list[bytes]:
+        """Ids of words with at most one blank before them and one line feed after them."""
+        end = np.array([self.feed], "<u4").tobytes()
+        found = []
         for i in range(0, len(words), 24_000):
             part = words[i : i + 24_000]
-            found = self._words([x[:-1] if x[-1] == "\n" else x for x in part])
-            self.memo.fill(part, [ids + end if x[-1] == "\n" else ids for x, ids in zip(part, found, strict=True)])
+            ids = self._words([x[:-1] if x[-1] == "\n" else x for x in part])
+            found += [y + end if x[-1] == "\n" else y for x, y in zip(part, ids, strict=True)]
+        return found
 
     def encode(self, texts: list[str]):
         """Yields the ids of each text as bytes. The chunks of many texts are numbered by Arrow, so that only distinct
         ones are looked up; their ids are then dealt out by number."""
+        memo = self.memo
         for words, number, borders, odd in numbered_words(texts, marked_chunks, chunks):
-            distinct = set(words).union(*odd.values())
-            new = {x for x in distinct if x not in self.memo}
-            self.hot |= distinct - new
-            if len(self.memo) + len(new) > self.memo.most:
-                self.memo.trim(self.hot)
-                self.hot = set()
-                new = {x for x in distinct if x not in self.memo}
-            self._learn(list(new))
-            found = gathered(list(map(self.memo.__getitem__, words)), number, borders)
+            held = list(map(memo.get, words))
+            missed = [i for i, x in enumerate(held) if x is None]
+            new = [words[i] for i in missed]
+            fresh = self._plain(new) if self.feed is not None else list(map(self._one, new))
+            for i, x in zip(missed, fresh, strict=True):
+                held[i] = x
+            if len(memo) + len(new) > memo.most:
+                memo.trim(words)  # words of the latest texts are likely to come again
+            memo.fill(new, fresh)
+            found = gathered(held, number, borders)
             for i, x in enumerate(found):
-                yield b"".join(map(self.memo.__getitem__, odd[i])) if i in odd else x
+                yield b"".join(map(self._one, odd[i])) if i in odd else x
 
 
 @functools.lru_cache(maxsize=2)
