@@ -58,7 +58,7 @@ class Memo(dict):
     """A memo of a pure function, bounded to about ``most`` entries or ``most_chars`` characters of keys: it is emptied
     beyond. Forgotten keys are computed again, so the bound never changes a result."""
 
-    def __init__(self, make, most: int = 350_000, most_chars: int = 12_000_000):
+    def __init__(self, make, most: int = 500_000, most_chars: int = 15_000_000):
         self.make, self.most, self.most_chars, self.chars = make, most, most_chars, 0
 
     def __missing__(self, key):
@@ -83,6 +83,7 @@ class Memo(dict):
 
 #: White space other than the blank and the line feed, and the mark that cuts texts.
 _OTHER = re.compile("[\0\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ASCII = "\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _CUTS = re.compile(r"(?= \S)|(?<=\S\n)(?=\S)")
 
 
@@ -90,7 +91,7 @@ def plain(text: str) -> bool:
     """Whether all white space is single blanks and line feeds between two other characters."""
     return not (
         "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n")
-        or _OTHER.search(text)
+        or (any(map(text.__contains__, _ASCII)) if text.isascii() else _OTHER.search(text))
     )
 
 
