@@ -71,17 +71,36 @@ def exit_of(bar, position: dict, s: Settings, opened_inside: bool):
     return None
 
 
-def fold(bars, s: Settings) -> list[tuple]:
-    """Trades of one ordered series of bars."""
-    balance, position, pending, market, trades = s.initial, None, None, None, []
+def by_columns(bar, slot: str, balance: float):
+    """The bar's own signal: (direction, stop, trigger, expiry), or None."""
+    if bar.direction not in ("LONG", "SHORT") or bar.stop is None or bar.stop != bar.stop:
+        return None
+    trigger = None if bar.trigger is None or bar.trigger != bar.trigger else bar.trigger
+    expiry = 1 if bar.expiry is None or bar.expiry != bar.expiry else int(bar.expiry)
+    return bar.direction, bar.stop, trigger, expiry
+
+
+def fold(bars, s: Settings, decide=by_columns, closed=None, orders: list | None = None) -> list[tuple]:
+    """Trades of one ordered series of bars.
+
+    ``decide(bar, slot, balance)`` gives an order, "CANCEL" or None after each bar; ``slot`` is FREE, PENDING or POSITION, and
+    orders count only in a free slot. ``closed(bar, pnl, balance)`` hears of each closed trade. ``orders`` gets a row for
+    each order that ends: (signal time, end time, direction, trigger, status)."""
+    balance, position, pending, market, trades, last = s.initial, None, None, None, [], None
+
+    def ended(order: dict, ts, status: str) -> None:
+        if orders is not None:
+            orders.append((order["signal_ts"], ts, "LONG" if order["long"] else "SHORT", order.get("trigger"), status))
+
     for bar in bars:
-        inside = False
+        inside, last = False, bar
         if market is not None:
             long = market["long"]
             entry = slipped(bar.open, long, s)
             sign = 1 if long else -1
             distance = sign * (entry - market["stop"])
             quantity = size(balance, entry, market["stop"], long, s) if distance > 0 else 0.0
+            ended(market, bar.ts, "triggered" if quantity > 0 else "rejected")
             if quantity > 0:
                 position = market | {"entry": entry, "target": entry + sign * s.reward * distance, "quantity": quantity, "entry_ts": bar.ts, "held": 0}
             market = None
@@ -93,11 +112,13 @@ def fold(bars, s: Settings) -> list[tuple]:
                 base = max(pending["trigger"], bar.open) if long else min(pending["trigger"], bar.open)
                 entry, sign = slipped(base, long, s), 1 if long else -1
                 distance = sign * (entry - pending["stop"])
+                ended(pending, bar.ts, "triggered" if distance > 0 else "rejected")
                 if distance > 0:
                     position = pending | {"entry": entry, "target": entry + sign * s.reward * distance, "entry_ts": bar.ts, "held": 0}
                     inside = base == pending["trigger"] and bar.open != base
                 pending = None
             elif pending["left"] <= 0:
+                ended(pending, bar.ts, "expired")
                 pending = None
         if position is not None:
             found = exit_of(bar, position, s, inside)
@@ -114,36 +135,52 @@ def fold(bars, s: Settings) -> list[tuple]:
                     position["quantity"], bar.ts, out, reason, ambiguous, position["held"], pnl, pnl / risk if risk else None, balance,
                 ))
                 position = None
+                if closed:
+                    closed(bar, pnl, balance)
             else:
                 position["held"] += 1
-        if position is None and pending is None and bar.direction in ("LONG", "SHORT") and bar.stop == bar.stop:
-            order = {"long": bar.direction == "LONG", "stop": bar.stop, "signal_ts": bar.ts}
-            if bar.trigger == bar.trigger and bar.trigger is not None:
-                long = order["long"]
-                if (bar.trigger - bar.stop) * (1 if long else -1) > 0:
-                    entry = slipped(bar.trigger, long, s)
-                    quantity = size(balance, entry, bar.stop, long, s)
-                    expiry = int(bar.expiry) if bar.expiry == bar.expiry and bar.expiry is not None else 1
-                    pending = order | {"trigger": bar.trigger, "quantity": quantity, "left": expiry}
-            else:
-                market = order
+        slot = "POSITION" if position else "PENDING" if pending else "FREE"
+        order = decide(bar, slot, balance)
+        if order == "CANCEL":
+            if pending:
+                ended(pending, bar.ts, "cancelled")
+                pending = None
+        elif order and slot == "FREE":
+            direction, stop, trigger, expiry = order
+            made = {"long": direction == "LONG", "stop": stop, "signal_ts": bar.ts}
+            if trigger is None:
+                market = made
+            elif (trigger - stop) * (1 if made["long"] else -1) > 0:
+                quantity = size(balance, slipped(trigger, made["long"], s), stop, made["long"], s)
+                pending = made | {"trigger": trigger, "quantity": quantity, "left": expiry}
+    if pending is not None:
+        ended(pending, last.ts, "active_at_end")
     return trades
 
 
-def simulate(bars: DataFrame, keys: list[str], settings: Settings = Settings()) -> DataFrame:
-    """Trades of every series (``keys`` name series, segment and configuration). ``bars`` has ts, open, high, low,
-    close, direction, stop, trigger and expiry."""
-    wanted = ["ts", "open", "high", "low", "close", "direction", "stop", "trigger", "expiry"]
-    kept = bars.select(*keys, *[F.col(c).cast("double").alias(c) if c in ("open", "high", "low", "close", "stop", "trigger", "expiry") else F.col(c) for c in wanted])
+ORDER = "signal_ts timestamp_ntz, end_ts timestamp_ntz, direction string, trigger double, status string"
+
+
+def simulate(bars: DataFrame, keys: list[str], settings: Settings = Settings(), machine=None, output: str = "trades") -> DataFrame:
+    """Trades (or ``output="orders"``: ended orders) of every series; ``keys`` name series, segment and configuration.
+
+    Without a machine, ``bars`` has ts, open, high, low, close, direction, stop, trigger and expiry. ``machine`` is a
+    function of no arguments that makes a new decision maker for each group: an object with ``decide`` and ``closed``, which
+    sees all columns of ``bars``."""
+    wanted = bars.columns if machine else [*keys, "ts", "open", "high", "low", "close", "direction", "stop", "trigger", "expiry"]
+    numbers = ("open", "high", "low", "close", "stop", "trigger", "expiry")
+    kept = bars.select(*[F.col(c).cast("double").alias(c) if c in numbers else F.col(c) for c in wanted])
     fields = ", ".join(f"{k} {kept.schema[k].dataType.simpleString()}" for k in keys)
-    names = [*keys, *[x.strip().split()[0] for x in TRADE.split(",")]]
+    schema = TRADE if output == "trades" else ORDER
+    names = [*keys, *[x.strip().split()[0] for x in schema.split(",")]]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts", kind="stable")
-        rows = [(*key, *t) for t in fold(pdf.itertuples(index=False), settings)]
-        return pd.DataFrame(rows, columns=names)
+        rows = pdf.sort_values("ts", kind="stable").itertuples(index=False)
+        maker, orders = machine() if machine else None, []
+        trades = fold(rows, settings, maker.decide if maker else by_columns, maker.closed if maker else None, orders)
+        return pd.DataFrame([(*key, *t) for t in (trades if output == "trades" else orders)], columns=names)
 
-    return kept.groupBy(*keys).applyInPandas(run, f"{fields}, {TRADE}")
+    return kept.groupBy(*keys).applyInPandas(run, f"{fields}, {schema}")
 
 
 def spread_grid(bars: DataFrame, spreads: list[float]) -> DataFrame:
