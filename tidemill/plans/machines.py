@@ -22,7 +22,7 @@ def backtest_expansion(spark, d):
 
 @query()
 def backtest_retest(spark, d):
-    return X.simulate(prepared_bars(spark, d), SEG, machine=K.configured("retest", lookback=4, strong=0.3, body=0.1, near=1.0))
+    return X.simulate(prepared_bars(spark, d), SEG, machine=K.configured("retest", lookback=3, strong=0.2, body=0.0, near=3.0, expiry=6))
 
 
 def _core():
