@@ -163,6 +163,12 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     return written(own.mapInArrow(write, "path string, records long"), "warc-files")
 
 
+def dealt(files: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table of files with a partition for each file (of at most ``most``): its rows are few and small, and Spark would
+    put them in one task if it went by their size."""
+    return files.repartition(min(most, max(1, files.count())))
+
+
 def normalise(files: DataFrame, level: int = 4, drop_source: bool = False) -> DataFrame:
     """Normalises every archive of a table of files; returns the table of new files. ``drop_source`` removes the
     old files once all new ones are there."""
@@ -175,7 +181,7 @@ def normalise(files: DataFrame, level: int = 4, drop_source: bool = False) -> Da
                 n = normalise_file(source, target, level)
                 yield pa.record_batch([pa.array([target]), pa.array([n], pa.int64())], ["path", "records"])
 
-    new = written(files.repartition("path").mapInArrow(run, "path string, records long"), "warc-normalised")
+    new = written(dealt(files).mapInArrow(run, "path string, records long"), "warc-normalised")
     if drop_source:
 
         def remove(batches):
@@ -186,7 +192,7 @@ def normalise(files: DataFrame, level: int = 4, drop_source: bool = False) -> Da
                         fs.delete_file(path)
                 yield batch.slice(0, 0)
 
-        files.mapInArrow(remove, "path string, records long").count()
+        dealt(files).mapInArrow(remove, "path string, records long").count()
     return new
 
 
@@ -214,7 +220,7 @@ def read_archives(files: DataFrame) -> DataFrame:
     def as_batch(rows):
         return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return files.repartition("path").mapInArrow(run, RECORDS)
+    return dealt(files).mapInArrow(run, RECORDS)
 
 
 def op7_warc(spark, sf_dir):
