@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Memo, fold, table, texts
+from tidemill.llm.common import Memo, fold, groups_of, table, texts, written
 
 TRAIN_DOCS = 4_000
 N_GRAMS = 60_000
@@ -59,6 +59,18 @@ def grams(letters: str) -> list[str]:
     return [*found, w] if 2 < len(w) <= 7 else found
 
 
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+
+
+def gram_key(gram: str) -> int:
+    """A bigram or trigram as a number: 21 bits for each code point."""
+    key = 0
+    for c in gram:
+        key = key << 21 | ord(c)
+    return key
+
+
 @dataclass
 class Model:
     """Learned languages, the languages of each script, and each n-gram's log probabilities."""
@@ -73,30 +85,79 @@ class Labeller:
 
     def __init__(self, model: Model, switch: float = SWITCH):
         self.model, self.switch, self.k = model, switch, len(model.langs)
-        self.memo = Memo(self._word)
+        self.memo = Memo(lambda word: self._scored([word])[0])
+        self.by_letters = Memo(lambda letters: self._rows([letters])[0])
+        items = sorted((gram_key(g), row) for g, row in model.logs.items() if len(g) <= 3)
+        self.keys = np.array([key for key, _ in items], np.int64)
+        self.logs = np.array([row for _, row in items]).reshape(-1, self.k)
         self.blank = np.zeros(self.k + 1, np.float32).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        letters = letters_of(word)
-        if not letters:
-            return self.blank
-        logs = self.model.logs
-        rows = [x for g in grams(letters) if (x := logs.get(g)) is not None]
-        score = np.array([sum(c) for c in zip(*rows, strict=True)]) / 2 if rows else np.zeros(self.k)
-        own = self.model.scripts.get(script_of(letters)) or range(self.k)
-        open_to = np.full(self.k, -30.0)
-        open_to[list(own)] = 0.0
-        score = score - score.max() + open_to
-        score -= score.max()
-        score -= math.log(np.exp(score).sum())
-        return np.append(np.maximum(score, -8.0), len(letters)).astype(np.float32).tobytes()
+        ranges = sorted((lo, hi, name) for name, (lo, hi) in SCRIPTS.items())
+        self.first, self.last = (np.array([r[i] for r in ranges]) for i in (0, 1))
+        # For each script, and at the end for Latin: 0 for the languages that use it, a low score for others.
+        self.open_to = np.full((len(ranges) + 1, self.k), -30.0)
+        for i, name in enumerate([*[r[2] for r in ranges], "latin"]):
+            self.open_to[i, list(model.scripts.get(name) or range(self.k))] = 0.0
+
+    def _rows(self, words: list[str]) -> list[bytes]:
+        """Rows of words of letters alone. N-grams are numbers, found in the sorted ones of the model."""
+        n, logs = len(words), self.model.logs
+        sizes = np.fromiter(map(len, words), np.int64, n) + 2
+        codes = codes_of("".join([f"<{w}>" for w in words]))
+        owner = np.repeat(np.arange(n), sizes)
+        pairs = codes[:-1] << 21 | codes[1:]
+        triples = codes[:-2] << 42 | pairs[1:]
+        keys, own = np.concatenate([triples, pairs]), np.concatenate([owner[:-2], owner[:-1]])
+        same = np.concatenate([owner[:-2] == owner[2:], owner[:-1] == owner[1:]])
+        keys, own = keys[same], own[same]
+        score = np.zeros((n, self.k))
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            hit = self.keys[at] == keys
+            found, own = self.logs[at[hit]], own[hit]
+            score = np.stack([np.bincount(own, found[:, j], n) for j in range(self.k)], axis=1)
+        for i, w in enumerate(words):
+            if len(w) <= 5 and (row := logs.get(f"<{w}>")) is not None:
+                score[i] += row
+        score /= 2
+        start = codes[sizes.cumsum() - sizes + 1]
+        script = np.searchsorted(self.first, start, side="right") - 1
+        script = np.where((script >= 0) & (start <= self.last[script]), script, len(self.first))
+        score += self.open_to[script] - score.max(axis=1, keepdims=True)
+        score -= score.max(axis=1, keepdims=True)
+        score -= np.log(np.exp(score).sum(axis=1, keepdims=True))
+        rows = np.column_stack([np.maximum(score, -8.0), sizes - 2]).astype(np.float32)
+        raw, width = rows.tobytes(), 4 * (self.k + 1)
+        return [raw[i : i + width] for i in range(0, len(raw), width)]
+
+    def _scored(self, words: list[str]) -> list[bytes]:
+        """Rows of words as they stand in texts; those of the same letters are looked up once."""
+        letters, known = list(map(letters_of, words)), self.by_letters
+        if new := list(set(letters).difference(known, [""])):
+            if len(known) + len(new) > known.most:
+                known.trim(letters)
+            known.fill(new, self._rows(new))
+        return [known[x] if x else self.blank for x in letters]
+
+    def labels(self, texts: list[str]) -> list[tuple[str, float, list[tuple[int, int, int]]]]:
+        """(language, score, spans as (first word, last word, language's place)) of each text. The new words of many
+        texts are scored together."""
+        if not self.k:
+            return [("und", 0.0, [])] * len(texts)
+        memo, found = self.memo, []
+        for lo, hi in groups_of(texts):
+            words = [x.split() for x in texts[lo:hi]]
+            if new := list(set().union(*words).difference(memo)):
+                if len(memo) + len(new) > memo.most:
+                    memo.trim(set().union(*words))
+                memo.fill(new, self._scored(new))
+            found += [self._label(b"".join(map(memo.__getitem__, x))) for x in words]
+        return found
 
     def label(self, text: str) -> tuple[str, float, list[tuple[int, int, int]]]:
-        """(language, score, spans as (first word, last word, language's place))."""
-        if not self.k:
-            return "und", 0.0, []
-        found = np.frombuffer(b"".join(map(self.memo.__getitem__, text.split())), np.float32)
-        found = found.reshape(-1, self.k + 1)
+        return self.labels([text])[0]
+
+    def _label(self, rows: bytes) -> tuple[str, float, list[tuple[int, int, int]]]:
+        found = np.frombuffer(rows, np.float32).reshape(-1, self.k + 1)
         letters = found[:, -1]
         total = float(letters.sum(dtype=np.float64))
         if not total:
@@ -158,7 +219,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 yield pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], ["kind", "lang", "item", "n"])
 
     counted = picked.mapInArrow(count, "kind string, lang string, item string, n long")
-    counted = counted.groupBy("kind", "item", "lang").agg(F.sum("n").alias("n"))
+    counted = written(counted.groupBy("kind", "item", "lang").agg(F.sum("n").alias("n")), "gram-counts")
     scripts = counted.filter("kind = 'script'").toPandas()
     by_gram = counted.filter("kind = 'gram'").groupBy("item").agg(F.sum("n").alias("all"), F.map_from_entries(
         F.collect_list(F.struct("lang", "n"))).alias("n"))  # at most one entry for each language
@@ -193,7 +254,7 @@ def label_spans(docs: DataFrame, model: Model, text_col: str = "text", switch: f
         own = labeller(sent, switch)
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())]))
         for batch in batches:
-            found = [own.label(x) for x in texts(batch, text_col)]
+            found = own.labels(texts(batch, text_col))
             spans = [[{"first": a, "last": b, "lang": model_lang(own, k)} for a, b, k in x[2]] for x in found]
             out = batch.append_column("lang_pred", pa.array([x[0] for x in found], pa.string()))
             out = out.append_column("score", pa.array([x[1] for x in found], pa.float64()))
