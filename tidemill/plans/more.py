@@ -59,13 +59,14 @@ def feed_similarity(spark, d):
     return C.feed_similarity(*feeds(spark, d)).withColumns(r6("level", "mean_gap", "mean_gap_share"))
 
 
-VERSIONS = "x AS (SELECT o_orderkey AS k, o_totalprice AS price, o_orderstatus AS status FROM orders WHERE o_orderkey % 7 <> 0), y AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price, CASE WHEN o_orderkey % 11 = 0 THEN 'Z' ELSE o_orderstatus END AS status FROM orders WHERE o_orderkey % 13 <> 0)"
+VERSIONS = "x AS (SELECT o_orderkey AS k, o_totalprice AS price, o_orderstatus AS status FROM orders), y AS (SELECT l_orderkey AS k, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) AS price, max(l_linestatus) AS status FROM lineitem GROUP BY 1)"
 
 
 def versions(spark, d):
+    """Two versions of the orders: as their table has them, and as their lines add up."""
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
-    changed = rows.filter("k % 13 <> 0").withColumns({"price": F.when(F.col("k") % 5 == 0, F.col("price") + 1).otherwise(F.col("price")), "status": F.when(F.col("k") % 11 == 0, "Z").otherwise(F.col("status"))})
-    return rows.filter("k % 7 <> 0"), changed
+    price = F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("price")
+    return rows, table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(price, F.max("l_linestatus").alias("status"))
 
 
 @query(f"""WITH {VERSIONS}, j AS (SELECT coalesce(x.k, y.k) AS k, x.k AS xk, y.k AS yk, x.price AS p, y.price AS q, x.status AS s, y.status AS t FROM x FULL JOIN y ON x.k = y.k),
@@ -105,7 +106,7 @@ def levels(spark, d) -> DataFrame:
     return rows.withColumns({"stop": F.col("entry") - sign * 15, "target": F.col("entry") + sign * 15})
 
 
-LEVELS = "p AS (SELECT event_type AS symbol, event_id AS trade_id, user_id % 2 = 0 AS long, ts AS entry_ts, ts + interval '3 hours' AS exit_ts, value + 100 AS entry FROM events WHERE event_id % 50 = 0)"
+LEVELS = "p AS (SELECT event_type AS symbol, event_id AS trade_id, user_id % 2 = 0 AS long, ts AS entry_ts, ts + interval '3 hours' AS exit_ts, value + 100 AS entry FROM events)"
 
 
 @query(f"""WITH {LEVELS}, q AS (SELECT event_type AS symbol, ts, event_id AS seq, value + 100 AS bid, value + 100.5 AS ask FROM events),

@@ -178,11 +178,11 @@ def month_coverage(spark, d):
     return S.month_coverage(bars(spark, d), KEY)
 
 
-@query("""WITH u AS (SELECT event_type AS symbol, ts, event_id, value, 0 AS o FROM events UNION ALL SELECT event_type, ts, event_id, value + 1, 1 FROM events WHERE event_id % 3 = 0)
+@query("""WITH u AS (SELECT event_type AS symbol, ts, event_id, value, 0 AS o FROM events UNION ALL SELECT event_type, ts, event_id, value + 1, 1 FROM events WHERE value > 50)
 SELECT symbol, ts, event_id, value, o AS ordinal FROM (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY o DESC) AS k FROM u) WHERE k = 1""")
 def dedupe_keep_last(spark, d):
     rows = ticks(spark, d).select("symbol", "ts", "event_id", F.col("raw").alias("value"), F.lit(0).alias("ordinal"))
-    again = rows.filter("event_id % 3 = 0").withColumns({"value": F.col("value") + 1, "ordinal": F.lit(1)})
+    again = rows.filter("value > 50").withColumns({"value": F.col("value") + 1, "ordinal": F.lit(1)})
     return S.dedupe_keep_last(rows.union(again), KEY, "ordinal").select("symbol", "ts", "event_id", "value", "ordinal")
 
 
@@ -240,13 +240,13 @@ def key_delta(spark, d):
 
 
 def positions(spark, d) -> DataFrame:
-    """A trade for every 50th event: open for three hours."""
-    rows = ticks(spark, d).filter("event_id % 50 = 0")
+    """A trade for every event: open for three hours."""
+    rows = ticks(spark, d)
     side = F.when(F.col("user_id") % 2 == 0, "LONG").otherwise("SHORT")
     return rows.select("symbol", F.col("event_id").alias("trade_id"), side.alias("direction"), F.col("ts").alias("entry_ts"), (F.col("ts") + F.expr("interval 3 hours")).alias("exit_ts"), F.col("price").alias("entry"))
 
 
-POSITIONS = "p AS (SELECT event_type AS symbol, event_id AS trade_id, CASE WHEN user_id % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS direction, ts AS entry_ts, ts + interval '3 hours' AS exit_ts, value + 100 AS entry FROM events WHERE event_id % 50 = 0)"
+POSITIONS = "p AS (SELECT event_type AS symbol, event_id AS trade_id, CASE WHEN user_id % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS direction, ts AS entry_ts, ts + interval '3 hours' AS exit_ts, value + 100 AS entry FROM events)"
 
 
 @query(f"""WITH {bars_sql()}, {POSITIONS}, x AS (SELECT p.*, b.ts, CASE WHEN direction = 'LONG' THEN high - entry ELSE entry - low END AS best, CASE WHEN direction = 'LONG' THEN entry - low ELSE high - entry END AS worst
