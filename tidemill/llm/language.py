@@ -89,7 +89,7 @@ class Labeller:
         self.by_letters = Memo(lambda letters: self._rows([letters])[0])
         items = sorted((gram_key(g), row) for g, row in model.logs.items() if len(g) <= 3)
         self.keys = np.array([key for key, _ in items], np.int64)
-        self.logs = np.array([row for _, row in items]).reshape(-1, self.k)
+        self.logs = np.array([row for _, row in items]).reshape(len(items), self.k)
         self.blank = np.zeros(self.k + 1, np.float32).tobytes()
         ranges = sorted((lo, hi, name) for name, (lo, hi) in SCRIPTS.items())
         self.first, self.last = (np.array([r[i] for r in ranges]) for i in (0, 1))
