@@ -455,11 +455,27 @@ def test_likeness_follows_edits():
     assert mean(own, a) > 0.95 and 0.35 < mean(own, b) < 0.65 and mean(own, own[1:] + own[:1]) < 0.1
 
 
-def test_near_pairs(spark):
+def test_near_duplicates_by_fingerprint(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BLOCK", 16)  # so that buckets are compared in several blocks
+    rng = random.Random(4)
     texts = [*[prose(i, 200) for i in range(10)], prose(3, 200), prose(4, 200)[:-3] + "xyz", "", None]
-    prints = fingerprints.fingerprint_chain(table(spark, texts)).select("doc_id", "fingerprint")
-    found = {(r["a"], r["b"]) for r in fingerprints.near_pairs(prints).collect()}
-    assert found == {(3, 10), (4, 11), (12, 13)}
+    for i in range(60):  # a drifting group of near copies
+        words = prose(90, 300).split()
+        for _ in range(rng.randint(0, 12)):
+            words[rng.randrange(300)] = f"new{rng.randrange(1000)}"
+        texts.append(" ".join(words[: 300 - i % 5 * 8]))
+    texts += [texts[20]] * 30
+    prints = fingerprints.fingerprint_chain(table(spark, texts)).select("doc_id", "fingerprint").union(spark.createDataFrame([(900, None)], "doc_id long, fingerprint string"))
+    found = {r["doc_id"]: (r["n_links"], r["component_id"]) for r in fingerprints.near_duplicates(prints).collect()}
+    own = fingerprints.fingerprints([x or "" for x in texts])
+    width = 2 * fingerprints.BAND
+    bands = [{(i, x[i : i + width]) for i in range(0, len(x) - width + 1, width)} for x in own]
+    near = [(b, a) for a in range(len(own)) for b in range(a) if (own[a] == own[b] or bands[a] & bands[b]) and fingerprints.likeness(own[a], own[b]) >= 0.8]
+    degree = collections.Counter(x for pair in near for x in pair)
+    component = brute_components(len(own), near)
+    assert found == {i: (degree[i], component[i]) for i in range(len(own))} | {900: (0, 900)}
+    assert component[10] == 3 and component[11] == 4 and component[13] == 12 and len(near) > 500
+    assert fingerprints.near_duplicates(prints.filter("false")).count() == 0
 
 
 # --- WARC

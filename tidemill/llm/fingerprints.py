@@ -11,7 +11,7 @@ giving 8 bits of a hash of the symbols that follow it. A place beyond the end of
 symbol has (and is left out at a fingerprint's end), so lengths are compared too. ``likeness`` is the share of equal places, each weighted by the part of the
 longer text that it stands for, less what unrelated texts have in common by chance.
 
-``near_pairs`` bands the sampled places: documents with an equal band are candidates, and pairs are verified by
+``near_duplicates`` bands the sampled places: documents with an equal band are candidates, and pairs are verified by
 likeness. Null texts are empty; empty texts have fingerprints of marks alone and are like each other (1) and unlike all
 others (0). Equal texts have equal fingerprints. Repeated rows and ids are handled one by one; the order among rows
 with one id is by the text. An empty table gives no rows.
@@ -23,12 +23,16 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import sized, table, written
+from tidemill.llm.blocks import forest, in_blocks, runs
+from tidemill.llm.common import table, written
+from tidemill.llm.components import connected_components
 
 STRETCH = 4096
+BAND = 8  # sampled places of a band
+BLOCK = 512
 STEPS = 2  # steps for each character: the pointer moves at every second step on average
 SCALES, EACH = 24, 32  # doublings of the length that have sampled places, and places in each
 SPAN = 6  # symbols that one place hashes
@@ -223,31 +227,72 @@ def fingerprint_chain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
 
 
-def near_pairs(prints: DataFrame, id_col: str = "doc_id", print_col: str = "fingerprint", threshold: float = 0.8,
-               scale: int = 16) -> DataFrame:
-    """Links between documents of equal bands, verified by likeness: rows (a, b, likeness), a < b.
-
-    A band is the places of one length scale (``EACH`` of them, in runs of ``EACH // 8``), all beyond the end of the text
-    left out. Within a band's bucket every member is compared with the least one, so equal and nearly equal copies
-    cost a row each, not a pair each; components of these links are those of the copies."""
-    own = prints.select(F.col(id_col).cast("long").alias("id"), F.col(print_col).alias("print"))
-    same = own.groupBy("print").agg(F.min("id").alias("id"))
-    width = 2 * EACH // 8
-    bands = F.transform(F.sequence(F.lit(0), F.lit(2 * PLACES // width - 1)), lambda i: F.substring("print", i * width + 1, width))
-    rows = same.select("id", F.posexplode(bands).alias("band", "value")).filter(F.length("value") == width)
-    least = F.min("id").over(Window.partitionBy("band", "value"))
-    pairs = rows.select(F.col("id").alias("b"), least.alias("a")).filter("a < b").distinct()
-    left, right = (same.select(F.col("id").alias(x), F.col("print").alias(f"{x}_print")) for x in "ab")
-
-    @F.pandas_udf("double")
-    def score(x, y):
-        import pandas as pd
-
-        return pd.Series([likeness(a, b) for a, b in zip(x, y, strict=True)])
-
-    found = pairs.join(left, "a").join(right, "b").select("a", "b", score("a_print", "b_print").alias("likeness"))
-    copies = own.join(same.withColumnRenamed("id", "a"), "print").filter("a < id").select("a", F.col("id").alias("b"), F.lit(1.0).alias("likeness"))
-    return found.filter(F.col("likeness") >= threshold).union(copies)
+def likenesses(x: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Likeness of one fingerprint to each of others; all as rows of ``PLACES`` bytes."""
+    w = weights()
+    there = (x > 0) | (others > 0)
+    share = ((others == x) & there) @ w / np.maximum(there @ w, 1e-9)
+    return np.where((others == x).all(axis=1), 1.0, np.clip((share - CHANCE) / (1 - CHANCE), 0.0, 1.0))
+
+
+def near_duplicates(prints: DataFrame, id_col: str = "doc_id", print_col: str = "fingerprint", threshold: float = 0.8) -> DataFrame:
+    """One row for each document: doc_id, n_links (other documents linked directly) and component_id (the smallest id
+    that links reach).
+
+    Two fingerprints are candidates when they share a band: ``BAND`` sampled places in a row, all within both texts.
+    Every pair of a bucket is verified by its likeness, in blocks, and counts in the first band that it shares, so pairs
+    never become rows; equal fingerprints are one node with its number of copies. A fingerprint without a whole band
+    (under some eight characters, or empty) is linked with its equals only. Null fingerprints link with nothing. An empty
+    table gives no rows."""
+    own = prints.select(F.col(id_col).cast("long").alias("doc_id"), F.col(print_col).alias("print"))
+    own = own.withColumn("node", F.when(F.col("print").isNotNull(), F.xxhash64("print")))
+    nodes = own.filter("node is not null").groupBy("node").agg(F.first("print").alias("print"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    nodes = written(nodes, "prints")
+    at = F.sequence(F.lit(0), F.lit(PLACES // BAND - 1))
+    bands = F.transform(at, lambda i: F.substring("print", i * 2 * BAND + 1, 2 * BAND))
+    dealt = nodes.select("node", F.posexplode(bands).alias("band", "value")).filter(F.length("value") == 2 * BAND)
+    dealt = written(dealt.select("node", "band", F.xxhash64("band", "value").alias("bucket")), "print-bands")
+    sizes = dealt.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    members = dealt.join(sizes, "bucket")
+
+    def compare(batches):
+        for rows in runs(batches, ["bucket", "first", "second"]):
+            raw = [bytes.fromhex(x) for x in rows["print"].to_pylist()]
+            x = np.frombuffer(b"".join(v.ljust(PLACES, b"\0") for v in raw), np.uint8).reshape(-1, PLACES)
+            whole = np.array([len(v) // BAND for v in raw])  # whole bands of each
+            node, copies = rows["node"].to_numpy(), rows["copies"].to_numpy()
+            first, second, side = rows["first"][0].as_py(), rows["second"][0].as_py(), rows["own"].to_numpy()
+            band = rows["band"][0].as_py()
+            left, right = np.flatnonzero(side == first), np.flatnonzero(side == second)
+            pairs = []
+            for i in left.tolist():
+                j = right[right > i] if first == second else right
+                j = j[likenesses(x[i], x[j]) >= threshold]
+                equal = (x[i] == x[j]).reshape(len(j), PLACES // BAND, BAND).all(axis=2)
+                equal &= np.arange(PLACES // BAND) < np.minimum(whole[i], whole[j])[:, None]
+                j = j[equal.argmax(axis=1) == band] if len(j) else j
+                pairs.append(np.stack([np.full(len(j), i), j]))
+            if pairs and len((found := np.concatenate(pairs, axis=1))[0]):
+                i, j = found
+                links = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
+                linked = np.flatnonzero(links)
+                yield out(node[linked], node[linked], links[linked])
+                a, b = forest(len(node), i, j)
+                yield out(node[a], node[b], np.zeros(len(a)))
+
+    def out(a, b, n):
+        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n.astype(np.int64))], ["a", "b", "n"])
+
+    about = nodes.select("node", "print", "copies")
+    found = written(in_blocks(members, BLOCK, about).mapInArrow(compare, "a long, b long, n long"), "print-links")
+    counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    reached = connected_components(found.filter("a != b"))
+    by_node = nodes.select("node", "rep", "copies").join(counts, "node", "left").join(reached, "node", "left")
+    by_node = by_node.withColumn("component", F.coalesce("component", "node"))
+    smallest = by_node.groupBy("component").agg(F.min("rep").alias("component_id"))
+    by_node = by_node.join(smallest, "component").select("node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    joined = own.select("doc_id", "node").join(by_node, "node", "left")
+    return joined.select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op9_fingerprints(spark, sf_dir):
