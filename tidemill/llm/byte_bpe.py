@@ -151,10 +151,17 @@ class Bpe:
 
 
 @functools.lru_cache(maxsize=2)
-def bpe(path: str, pattern: str) -> Bpe:
+def _made(path: str, pattern: str) -> Bpe:
     return Bpe(read_ranks(path), pattern)
 
 
+def bpe(path: str, pattern: str) -> Bpe:
+    """A worker's encoder for a rank file and a pattern."""
+    found = _made(path, pattern)
+    Memo.begin(found.words, found.memo)
+    return found
+
+
 def encode(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None,
     pattern: str | None = None,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -58,8 +59,20 @@ class Memo(dict):
     """A memo of a pure function, bounded to about ``most`` entries or ``most_chars`` characters of keys: it is emptied
     beyond. Forgotten keys are computed again, so the bound never changes a result."""
 
+    #: All memos of a worker process.
+    known: list[weakref.ref] = []
+
     def __init__(self, make, most: int = 500_000, most_chars: int = 15_000_000):
         self.make, self.most, self.most_chars, self.chars = make, most, most_chars, 0
+        Memo.known = [x for x in Memo.known if x() is not None] + [weakref.ref(self)]
+
+    @classmethod
+    def begin(cls, *memos: Memo) -> None:
+        """Empties all memos but these: a worker that goes from one operator to another keeps one operator's memos."""
+        for ref in cls.known:
+            if (memo := ref()) and not any(memo is x for x in memos):
+                memo.clear()
+                memo.chars = 0
 
     def __missing__(self, key):
         if len(self) >= self.most or self.chars > self.most_chars:

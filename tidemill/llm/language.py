@@ -276,7 +276,9 @@ def labeller(sent, switch: float) -> Labeller:
     if key not in _LABELLERS:
         _LABELLERS.clear()
         _LABELLERS[key] = (sent, Labeller(sent.value, switch))
-    return _LABELLERS[key][1]
+    found = _LABELLERS[key][1]
+    Memo.begin(found.memo, found.by_letters)
+    return found
 
 
 def op2_language(spark, sf_dir):

@@ -56,6 +56,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _WORDS = Memo(xxh3_64_intdigest)
 
 
+def keep_words() -> None:
+    Memo.begin(_WORDS)
+
+
 def shingles(text: str, n: int) -> np.ndarray:
     """Sorted hashes of the distinct word n-grams of a whole text; with fewer words, of the sequence as one. A-Z are
     lower-cased, and words end at blanks and the control characters 9 to 13."""
@@ -188,6 +192,7 @@ def _index(docs: DataFrame, n: int, limit: Threshold, schemes: list[Scheme]) ->
     size of the set) for every document."""
 
     def run(batches):
+        keep_words()
         seen: set[int] = set()
         for batch in batches:
             sigs, nodes, docs, held = [], [], [], 0
@@ -225,6 +230,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     """The sets themselves: node, tokens (sorted, 64 bits each), sketch."""
 
     def run(batches):
+        keep_words()
         for batch in batches:
             rows, held = [], 0
             for text in batch.column("text").to_pylist():

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import fold, sized, table, texts
+from tidemill.llm.common import Memo, fold, table, texts
 
 TRAIN_ROWS = 12_000
 THRESHOLD = 0.3
@@ -158,6 +158,7 @@ def score(docs: DataFrame, trees: Trees, text_col: str = "text", name: str = "sc
 
     @F.pandas_udf("double")
     def run(column: pd.Series) -> pd.Series:
+        Memo.begin()
         found = np.array([statistics(x or "") for x in column]).reshape(-1, FEATURES)
         return pd.Series(trees.score(found))
 

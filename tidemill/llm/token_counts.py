@@ -130,10 +130,17 @@ _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 @functools.lru_cache(maxsize=2)
-def counter(path: str) -> Counter:
+def _made(path: str) -> Counter:
     return Counter(pieces_of(path))
 
 
+def counter(path: str) -> Counter:
+    """A worker's counter for a vocabulary."""
+    found = _made(path)
+    Memo.begin(found.memo)
+    return found
+
+
 def token_counts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None
 ) -> DataFrame:

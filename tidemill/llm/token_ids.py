@@ -77,6 +77,11 @@ class Encoder:
                 yield b"".join(map(self._one, odd[i])) if i in odd else x
 
 
-@functools.lru_cache(maxsize=2)
+_made = functools.lru_cache(maxsize=2)(Encoder)
+
+
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    """A worker's encoder for a vocabulary."""
+    found = _made(path)
+    Memo.begin(found.memo)
+    return found
