@@ -159,7 +159,9 @@ def read_token_files(index: DataFrame) -> DataFrame:
                     yield part.append_column("ids", pa.array(ids, pa.binary()))
                     ids, size, lo = [], 0, i + 1
 
-    ordered = fields.repartition("path").sortWithinPartitions("path", "at")
+    # As many partitions as shards: Spark would go by the size of the index, which says nothing of the ids.
+    shards = index.select("path").distinct().count()
+    ordered = fields.repartition(max(1, shards), "path").sortWithinPartitions("path", "at")
     return ordered.mapInArrow(read, "doc_id long, path string, at long, n_tokens long, start long, ids binary")
 
 
