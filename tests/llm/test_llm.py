@@ -455,6 +455,20 @@ def test_likeness_follows_edits():
     assert mean(own, a) > 0.95 and 0.35 < mean(own, b) < 0.65 and mean(own, own[1:] + own[:1]) < 0.1
 
 
+def test_likeness_of_long_texts_follows_early_insertions():
+    base = [prose(i, 3600) for i in range(24)]
+    assert min(map(len, base)) > 20000
+    own = fingerprints.fingerprints(base)
+    for size, least in ((1, 0.95), (6, 0.85), (20, 0.7)):
+        new = fingerprints.fingerprints([x[:50] + "Q7zk#Wv%Jx!Ym&Gp+Bd?"[:size] + x[50:] for x in base])
+        assert np.mean([fingerprints.likeness(p, q) for p, q in zip(own, new, strict=True)]) > least, size
+
+
+def test_fingerprints_of_long_texts_equal_a_plain_walk():
+    texts = [prose(7, 6000), "ab" * 20000]
+    assert fingerprints.fingerprints(texts) == [walk(x) for x in texts]
+
+
 def test_near_duplicates_by_fingerprint(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "BLOCK", 16)  # so that buckets are compared in several blocks
     rng = random.Random(4)

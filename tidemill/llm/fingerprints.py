@@ -3,8 +3,9 @@
 A pointer walks over the characters. At every step the embedding takes the character under the pointer, and a random
 bit, shared by all documents and chosen by step and character, says whether the pointer moves on. Two texts at a small
 edit distance fall back into step after each edit, so their embeddings differ in few places: edit distance becomes
-Hamming distance. A text is walked as a whole, in stretches of ``STRETCH`` characters that share the same random bits
-and are walked side by side in numpy, each from its own start into the next one.
+Hamming distance. Every text is walked once, from its start to its end: the step at which the pointer leaves a character
+is looked up in a table of the next set bits, so that the walk takes one look for each character. The table holds
+``PERIOD`` steps; each later period takes the same table with the classes of characters turned by another amount.
 
 The fingerprint samples the embedding: ``PLACES`` fixed places, the same number in each doubling of the length, each
 giving 8 bits of a hash of the symbols that follow it. A place beyond the end of a short text holds 0, a mark no real
@@ -30,7 +31,6 @@ from tidemill.llm.blocks import forest, in_blocks, runs
 from tidemill.llm.common import table, written
 from tidemill.llm.components import connected_components
 
-STRETCH = 4096
 BAND = 8  # sampled places of a band
 BLOCK = 512
 STEPS = 2  # steps for each character: the pointer moves at every second step on average
@@ -38,21 +38,38 @@ SCALES, EACH = 24, 32  # doublings of the length that have sampled places, and p
 SPAN = 6  # symbols that one place hashes
 CHANCE = 0.01  # share of places that are equal in unrelated texts
 PLACES = SCALES * EACH
+STRETCH = 1 << (SCALES + 4)  # characters up to the end of the last sampled place: one walk
+PERIOD = 1 << 15  # steps of the table of random bits
 SEED = 20240101
 
 
-@functools.lru_cache(maxsize=1)
-def bits() -> np.ndarray:
-    """The walk's random bits by step and class of character."""
-    rng = np.random.default_rng(SEED)
-    found = rng.integers(0, 2, (STRETCH * STEPS + SPAN, 256), dtype=np.uint8)
-    found[:, 0] = 0  # the pointer stays at the end
-    return found
+class Bits:
+    """The walk's random bits: ``bits()[step][class]``."""
+
+    def __init__(self):
+        self.rows = np.random.default_rng(SEED).integers(0, 2, (PERIOD, 256), dtype=np.uint8)
+        self.rows[-1] = 1  # every pointer moves at a period's last step, so that periods are walked one by one
+        self.rows[:, 0] = 0  # the pointer stays at the end
+        at = np.arange(PERIOD, dtype=np.int32)[:, None]
+        following = np.minimum.accumulate(np.where(self.rows[:, 1:], at, PERIOD)[::-1], axis=0)[::-1]
+        skips = np.zeros((PERIOD, 256), np.uint8)
+        skips[:, 1:] = following - at + 1
+        self.skips = skips.tobytes()  # steps until the pointer has left a character, by step and class
+
+    def turned(self, period: int) -> bytes:
+        """The class that stands for each class in a period."""
+        return bytes([0, *((np.arange(255) + 101 * period) % 255 + 1).tolist()])
+
+    def __getitem__(self, step: int) -> np.ndarray:
+        return self.rows[step % PERIOD][list(self.turned(step // PERIOD))]
+
+
+bits = functools.lru_cache(maxsize=1)(Bits)
 
 
 @functools.lru_cache(maxsize=1)
 def places() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sampled places in characters of the text, their stretch, and their step in it, in ascending order."""
+    """Sampled places in characters of the text, their walk (one for all), and their step in it, in ascending order."""
     rng = np.random.default_rng(SEED + 1)
     found = [rng.permutation(32)[:EACH]]
     found += [(1 << k) + rng.choice(1 << k, EACH, replace=False) for k in range(5, SCALES + 4)]
@@ -69,57 +86,42 @@ def classes(text: str) -> np.ndarray:
     return ((codes ^ (codes >> 7)) % 255 + 1).astype(np.uint8)
 
 
+def leavings(known: bytes) -> np.ndarray:
+    """The step at which the pointer has left each character of a text, given as classes."""
+    skips, found, at, period = bits().skips, [], 0, 0
+    while at < len(known):
+        t, left = 0, []
+        part = known[at : at + PERIOD]
+        try:
+            for c in part.translate(bits().turned(period)) if period else part:
+                t += skips[t << 8 | c]
+                left.append(t)
+        except IndexError:  # the period has ended
+            pass
+        found.append(np.array(left, np.int64) + period * PERIOD)
+        at, period = at + len(left), period + 1
+    return np.concatenate(found)
+
+
 def fingerprints(texts: list[str]) -> list[str]:
     """Fingerprints of a batch of texts: hexadecimal, two digits for each place up to the last one in the text."""
-    at, stretch, step = places()
-    out = np.zeros((len(texts), PLACES), np.uint8)
-    known = [classes(x) for x in texts]
-    rows, starts, sizes, which, stops = [], [], [], [], []
-    base = 0
-    for i, x in enumerate(known):
-        for s in range(-(-len(x) // STRETCH)):
-            starts.append(base + s * STRETCH)
-            sizes.append(min(STRETCH, len(x) - s * STRETCH))
-            rows.append(i)
-            which.append(s)
-            stops.append(base + len(x))
-        base += len(x) + 1
-    if not rows:
-        return [x.tobytes().rstrip(b"\0").hex() for x in out]
-    flat = np.zeros(base + 1, np.uint8)
-    lo = 0
-    for x in known:
-        flat[lo : lo + len(x)] = x
-        lo += len(x) + 1
-    order = np.argsort(-np.array(sizes), kind="stable")
-    starts, sizes = np.array(starts)[order], np.array(sizes)[order]
-    rows, which = np.array(rows)[order], np.array(which)[order]
-    ends, here = np.array(stops)[order], starts.copy()
-    walk = bits()
-    # In a stretch, the places' steps; a step may serve places of several stretches.
-    by_step = sorted(set(step.tolist()))
-    asked = {t: np.flatnonzero(step == t) for t in by_step}
-    active = len(starts)
-    pending: list[tuple[int, np.ndarray]] = []
-    falling = -sizes
-    for t in range(sizes[0] * STEPS + SPAN):
-        active = int(np.searchsorted(falling, -((t - SPAN) // STEPS), side="right")) if t > SPAN else active
-        if not active:
-            break
-        now = here[:active]
-        symbol = np.where(now < ends[:active], flat[now], 0)
-        if t in asked:
-            pending.append((t, np.zeros(len(starts), np.uint32)))
-        for born, value in pending:
-            value[:active] = value[:active] * np.uint32(0x01000193) + symbol
-        if pending and t - pending[0][0] == SPAN - 1:
-            born, value = pending.pop(0)
-            hashed = np.where(value > 0, ((value * np.uint32(0x9E3779B1)) >> np.uint32(24)) % 255 + 1, 0)
-            for p in asked[born]:
-                hit = np.flatnonzero((which == stretch[p]) & (sizes * STEPS > born))
-                out[rows[hit], p] = hashed[hit]
-        now += walk[t][symbol]
-    return [x.tobytes().rstrip(b"\0").hex() for x in out]
+    at, _, step = places()
+    span, found = np.arange(SPAN), []
+    for text in texts:
+        known = classes(text)
+        if not len(known):
+            found.append("")
+            continue
+        asked = step[: np.searchsorted(at, len(known))]
+        symbols = np.append(known, np.uint8(0)).astype(np.uint32)
+        # Under the pointer at each step of a place: the character after those already left.
+        seen = symbols[np.searchsorted(leavings(known.tobytes()), asked[:, None] + span, side="right")]
+        value = np.zeros(len(asked), np.uint32)
+        for i in range(SPAN):
+            value = value * np.uint32(0x01000193) + seen[:, i]
+        hashed = np.where(value > 0, ((value * np.uint32(0x9E3779B1)) >> np.uint32(24)) % 255 + 1, 0)
+        found.append(hashed.astype(np.uint8).tobytes().rstrip(b"\0").hex())
+    return found
 
 
 @functools.lru_cache(maxsize=1)
