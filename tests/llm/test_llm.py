@@ -492,6 +492,30 @@ def test_near_duplicates_by_fingerprint(spark, monkeypatch):
     assert fingerprints.near_duplicates(prints.filter("false")).count() == 0
 
 
+def test_near_duplicates_by_fingerprint_lose_nothing(spark, tmp_path):
+    rng, texts = random.Random(8), [""]
+    for i in range(50):
+        base = prose(i, 40)[: rng.choice([3, 6, 12, 24, 33, 50, 66, 100, 200])]
+        texts.append(base)
+        for _ in range(3):
+            cut = len(base) - rng.randint(0, len(base) // 6)
+            at = rng.randrange(cut // 2, cut)
+            texts.append(base[:at] + rng.choice("#%&") + base[at + 1 : cut])
+    table(spark, texts).union(table(spark, ["another text with a repeated id"], 3)).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = fingerprints.op9_fingerprints(spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts) + 1
+    prints = [(r["doc_id"], r["fingerprint"]) for r in rows]
+    near = [(a, b) for b in range(len(rows)) for a in range(b) if fingerprints.likeness(prints[a][1], prints[b][1]) >= 0.8]
+    degree = collections.Counter(x for pair in near for x in pair)
+    component = brute_components(len(rows), near)
+    least = collections.defaultdict(list)
+    for i, r in enumerate(rows):
+        least[component[i]].append(r["doc_id"])
+    for i, r in enumerate(rows):
+        assert (r["n_links"], r["component_id"]) == (degree[i], min(least[component[i]]))
+    assert len(near) > 60
+
+
 # --- WARC
 
 

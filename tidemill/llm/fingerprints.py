@@ -13,7 +13,7 @@ symbol has (and is left out at a fingerprint's end), so lengths are compared too
 longer text that it stands for, less what unrelated texts have in common by chance.
 
 ``near_duplicates`` bands the sampled places: documents with an equal band are candidates, and pairs are verified by
-likeness. Null texts are empty; empty texts have fingerprints of marks alone and are like each other (1) and unlike all
+likeness; no pair at the threshold is lost. Null texts are empty; empty texts have fingerprints of marks alone and are like each other (1) and unlike all
 others (0). Equal texts have equal fingerprints. Repeated rows and ids are handled one by one; the order among rows
 with one id is by the text. An empty table gives no rows.
 """
@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.blocks import forest, in_blocks, runs
-from tidemill.llm.common import table, written
+from tidemill.llm.common import sized, table, written
 from tidemill.llm.components import connected_components
 
-BAND = 8  # sampled places of a band
+BAND = 4  # sampled places of a band; a divisor of EACH, so that the places of a band have one weight
 BLOCK = 512
 STEPS = 2  # steps for each character: the pointer moves at every second step on average
 SCALES, EACH = 24, 32  # doublings of the length that have sampled places, and places in each
@@ -237,22 +237,35 @@ def likenesses(x: np.ndarray, others: np.ndarray) -> np.ndarray:
     return np.where((others == x).all(axis=1), 1.0, np.clip((share - CHANCE) / (1 - CHANCE), 0.0, 1.0))
 
 
-def near_duplicates(prints: DataFrame, id_col: str = "doc_id", print_col: str = "fingerprint", threshold: float = 0.8) -> DataFrame:
+def lowest(threshold: float) -> np.ndarray:
+    """The first band in use by the number of places of a fingerprint: bands before it have too little weight to be
+    needed, and are the ones that texts with a common beginning share."""
+    total = np.append(0, weights().cumsum())
+    spare = 0.999 * max(0.0, 1 - BAND * (1 - CHANCE) * (1 - threshold))
+    return np.searchsorted(total[::BAND], spare * total, side="right").clip(1) - 1
+
+
+def near_duplicates(prints: DataFrame, id_col: str = "doc_id", print_col: str = "fingerprint", threshold: float = 0.8,
+                    keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each document: doc_id, n_links (other documents linked directly) and component_id (the smallest id
     that links reach).
 
-    Two fingerprints are candidates when they share a band: ``BAND`` sampled places in a row, all within both texts.
+    Two fingerprints are candidates when they share a band: ``BAND`` sampled places in a row, or the rest at the end. No
+    pair at the threshold is lost: its unequal places have at most (1 - CHANCE) * (1 - threshold) of the weight, each
+    spoils one band of ``BAND`` times its weight, and ``lowest`` leaves out less than what remains (from a threshold of
+    0.75 on; below, some pairs share no band).
     Every pair of a bucket is verified by its likeness, in blocks, and counts in the first band that it shares, so pairs
-    never become rows; equal fingerprints are one node with its number of copies. A fingerprint without a whole band
-    (under some eight characters, or empty) is linked with its equals only. Null fingerprints link with nothing. An empty
-    table gives no rows."""
-    own = prints.select(F.col(id_col).cast("long").alias("doc_id"), F.col(print_col).alias("print"))
+    never become rows; equal fingerprints are one node with its number of copies. Empty fingerprints are linked with
+    their equals only. Null fingerprints link with nothing. An empty table gives no rows. The columns of ``keep`` stay."""
+    own = prints.select(F.col(id_col).cast("long").alias("doc_id"), F.col(print_col).alias("print"), *keep)
     own = own.withColumn("node", F.when(F.col("print").isNotNull(), F.xxhash64("print")))
     nodes = own.filter("node is not null").groupBy("node").agg(F.first("print").alias("print"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     nodes = written(nodes, "prints")
     at = F.sequence(F.lit(0), F.lit(PLACES // BAND - 1))
     bands = F.transform(at, lambda i: F.substring("print", i * 2 * BAND + 1, 2 * BAND))
-    dealt = nodes.select("node", F.posexplode(bands).alias("band", "value")).filter(F.length("value") == 2 * BAND)
+    low = lowest(threshold)
+    first = F.element_at(F.array(*map(F.lit, low.tolist())), (F.length("print") / 2).cast("int") + 1)
+    dealt = nodes.select("node", first.alias("low"), F.posexplode(bands).alias("band", "value")).filter("value != '' and band >= low")
     dealt = written(dealt.select("node", "band", F.xxhash64("band", "value").alias("bucket")), "print-bands")
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = dealt.join(sizes, "bucket")
@@ -261,7 +274,7 @@ def near_duplicates(prints: DataFrame, id_col: str = "doc_id", print_col: str =
         for rows in runs(batches, ["bucket", "first", "second"]):
             raw = [bytes.fromhex(x) for x in rows["print"].to_pylist()]
             x = np.frombuffer(b"".join(v.ljust(PLACES, b"\0") for v in raw), np.uint8).reshape(-1, PLACES)
-            whole = np.array([len(v) // BAND for v in raw])  # whole bands of each
+            begins, ends = low[[len(v) for v in raw]], np.array([-(-len(v) // BAND) for v in raw])  # bands of each
             node, copies = rows["node"].to_numpy(), rows["copies"].to_numpy()
             first, second, side = rows["first"][0].as_py(), rows["second"][0].as_py(), rows["own"].to_numpy()
             band = rows["band"][0].as_py()
@@ -271,7 +284,8 @@ def near_duplicates(prints: DataFrame, id_col: str = "doc_id", print_col: str =
                 j = right[right > i] if first == second else right
                 j = j[likenesses(x[i], x[j]) >= threshold]
                 equal = (x[i] == x[j]).reshape(len(j), PLACES // BAND, BAND).all(axis=2)
-                equal &= np.arange(PLACES // BAND) < np.minimum(whole[i], whole[j])[:, None]
+                equal &= np.arange(PLACES // BAND) < np.minimum(ends[i], ends[j])[:, None]
+                equal &= np.arange(PLACES // BAND) >= np.maximum(begins[i], begins[j])[:, None]
                 j = j[equal.argmax(axis=1) == band] if len(j) else j
                 pairs.append(np.stack([np.full(len(j), i), j]))
             if pairs and len((found := np.concatenate(pairs, axis=1))[0]):
@@ -293,9 +307,11 @@ def near_duplicates(prints: DataFrame, id_col: str = "doc_id", print_col: str =
     by_node = by_node.withColumn("component", F.coalesce("component", "node"))
     smallest = by_node.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_node = by_node.join(smallest, "component").select("node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    joined = own.select("doc_id", "node").join(by_node, "node", "left")
-    return joined.select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    by_node = written(by_node.filter("n_links > 0"), "print-components")
+    joined = own.drop("print").join(sized(by_node, by_node.count()), "node", "left")
+    return joined.select("doc_id", *keep, F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op9_fingerprints(spark, sf_dir):
-    return fingerprint_chain(table(spark, sf_dir, "documents"))
+    chain = written(fingerprint_chain(table(spark, sf_dir, "documents")), "print-chain")
+    return near_duplicates(chain, keep=tuple(chain.columns[1:]))
