@@ -255,6 +255,12 @@ def test_quality(spark):
 # --- embeddings
 
 
+def test_compressibility_covers_the_whole_text():
+    for text in ("buy this now and win a prize today. " * 1000, prose(3, 3000), "x" * 4095 + prose(4, 2), prose(5, 40)):
+        assert quality.statistics(text)[-2] == len(zlib.compress(text.encode(), 1)) / len(text.encode())
+    assert quality.statistics("buy this now and win a prize today. " * 1000)[-2] < 0.02
+
+
 def brute_components(n, edges):
     parent = list(range(n))
 
