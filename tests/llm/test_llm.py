@@ -210,6 +210,12 @@ def test_language_path_equals_brute_force():
         assert value(tuple(path)) == pytest.approx(best)
 
 
+def test_language_path_of_two_halves_that_share_a_switch():
+    own = language.Labeller(language.Model(["a", "b", "c"], {}, {}), 12.0)
+    scores = np.array([[0.0, -6.0, -2.0]] * 5 + [[-6.0, 0.0, -2.0]] * 5)
+    assert own.path(scores).tolist() == [0] * 5 + [1] * 5
+
+
 def test_language_without_labels(spark):
     docs = table(spark, ["some text", None])
     model = language.fit(docs)
