@@ -43,7 +43,6 @@ def library():
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(token_ids.default_vocabulary())
-    found.encode_special_tokens = True
     return lambda x: found.encode(x or "", add_special_tokens=False).ids
 
 

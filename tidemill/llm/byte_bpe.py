@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Memo, chunks, gathered, groups_of, marked_chunks, numbered_words, table, texts
+from tidemill.llm.common import Memo, chunks, gathered, marked_chunks, numbered_words, parts_of, table
 
 
 def default_ranks() -> str:
@@ -103,8 +103,8 @@ class Bpe:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.decimal = [str(i) for i in range(len(self.bytes_of))]
-        self.words = Memo(self._word, 200_000)
-        self.memo = Memo(self._chunk)
+        self.words = Memo(self._word, 20_000_000)
+        self.memo = Memo(self._chunk, 60_000_000)
 
     def merge(self, token: bytes) -> list[int]:
         """Ids of a pre-token by merging: lowest rank first, leftmost among equals."""
@@ -172,10 +172,9 @@ def encode(
     def run(batches):
         own = bpe(path, pattern)
         for batch in batches:
-            items = texts(batch, "text")
-            for lo, hi in groups_of(items, 4_000_000):
-                ids = pa.array(list(own.encode(items[lo:hi])), pa.binary())
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), ids], ["doc_id", "ids"])
+            for part, items in parts_of(batch, "text", 2_000_000):
+                ids = pa.array(list(own.encode(items)), pa.binary())
+                yield pa.record_batch([part.column(0), ids], ["doc_id", "ids"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return kept.mapInArrow(run, "doc_id long, ids binary")

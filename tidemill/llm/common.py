@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a session within one
+    machine gets a temporary one; on a cluster that is an error, as other machines could not read it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tidemill-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -55,42 +58,59 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+def parts_of(batch: pa.RecordBatch | pa.Array, column: str = "", most_chars: int = 1_000_000):
+    """Slices of a batch (or of a column) whose texts have about ``most_chars`` bytes together, each with its texts (null
+    as the empty text): a worker holds the strings of one slice, not those of the batch."""
+    own = batch.column(column) if column else batch
+    sizes = np.nan_to_num(pc.binary_length(own).to_numpy(zero_copy_only=False).astype(float))
+    at = 0
+    while at < len(own):
+        upto = max(at + 1, int(np.searchsorted(sizes[at:].cumsum(), most_chars, side="right")) + at)
+        yield batch.slice(at, upto - at), [x or "" for x in own.slice(at, upto - at).to_pylist()]
+        at = upto
+
+
+#: Bytes of an entry of a memo besides its key's and value's own (two objects' heads and a place in the dictionary).
+ENTRY = 180
+
+
 class Memo(dict):
-    """A memo of a pure function, bounded to about ``most`` entries or ``most_chars`` characters of keys: it is emptied
-    beyond. Forgotten keys are computed again, so the bound never changes a result."""
+    """A memo of a pure function, bounded to about ``most`` bytes, values and overhead included: it is emptied beyond.
+    Forgotten keys are computed again, so the bound never changes a result."""
 
     #: All memos of a worker process.
     known: list[weakref.ref] = []
 
-    def __init__(self, make, most: int = 500_000, most_chars: int = 15_000_000):
-        self.make, self.most, self.most_chars, self.chars = make, most, most_chars, 0
+    def __init__(self, make, most: int = 40_000_000):
+        self.make, self.most, self.bytes = make, most, 0
         Memo.known = [x for x in Memo.known if x() is not None] + [weakref.ref(self)]
 
     @classmethod
     def begin(cls, *memos: Memo) -> None:
         """Empties all memos but these: a worker that goes from one operator to another keeps one operator's memos."""
         for ref in cls.known:
-            if (memo := ref()) and not any(memo is x for x in memos):
-                memo.clear()
-                memo.chars = 0
+            if (memo := ref()) and not any(memo is x for x in memos) and len(memo):
+                memo.trim()
+                pa.default_memory_pool().release_unused()
 
     def __missing__(self, key):
-        if len(self) >= self.most or self.chars > self.most_chars:
-            self.trim()
+        self.room()
         value = self[key] = self.make(key)
-        self.chars += len(key)
+        self.bytes += ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 0)
         return value
 
-    def trim(self, keep=()) -> None:
-        """Empties the memo but for the keys of ``keep``."""
-        kept = {k: self[k] for k in keep if k in self}
+    def room(self) -> None:
+        """Empties the memo where it is full."""
+        if self.bytes > self.most:
+            self.trim()
+
+    def trim(self) -> None:
         self.clear()
-        if len(kept) < self.most // 2:
-            self.update(kept)
-        self.chars = sum(map(len, self))
+        self.bytes = 0
 
-    def fill(self, keys: list, values) -> None:
-        self.chars += sum(map(len, keys))
+    def fill(self, keys: list, values: list[bytes]) -> None:
+        """Takes in the entries of one group of texts, whatever their number: call ``room`` before looking them up."""
+        self.bytes += sum(map(len, keys)) + sum(map(len, values)) + ENTRY * len(keys)
         self.update(zip(keys, values, strict=True))
 
 
@@ -131,7 +151,7 @@ def groups_of(items: list[str], most_chars: int = 1_000_000):
         yield at, len(items)
 
 
-def numbered_words(texts: list[str], cut, odd_words, most_chars: int = 3_000_000):
+def numbered_words(texts: list[str], cut, odd_words, most_chars: int = 1_000_000):
     """Parts of many texts, numbered by Arrow: yields (distinct words, numbers, borders, odd) for runs of texts. ``cut``
     gives a text with a NUL between its parts, or None for a text that must be parted by ``odd_words``; ``odd`` has the
     words of those by their place in the run. Text i has the numbers from borders[i] to borders[i + 1]."""

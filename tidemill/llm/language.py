@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Memo, fold, groups_of, table, texts, written
+from tidemill.llm.common import Memo, fold, groups_of, parts_of, table, written
 
 TRAIN_DOCS = 4_000
 N_GRAMS = 60_000
@@ -85,8 +85,8 @@ class Labeller:
 
     def __init__(self, model: Model, switch: float = SWITCH):
         self.model, self.switch, self.k = model, switch, len(model.langs)
-        self.memo = Memo(lambda word: self._scored([word])[0])
-        self.by_letters = Memo(lambda letters: self._rows([letters])[0])
+        self.memo = Memo(lambda word: self._scored([word])[0], 30_000_000)
+        self.by_letters = Memo(lambda letters: self._rows([letters])[0], 20_000_000)
         items = sorted((gram_key(g), row) for g, row in model.logs.items() if len(g) <= 3)
         self.keys = np.array([key for key, _ in items], np.int64)
         self.logs = np.array([row for _, row in items]).reshape(len(items), self.k)
@@ -132,9 +132,8 @@ class Labeller:
     def _scored(self, words: list[str]) -> list[bytes]:
         """Rows of words as they stand in texts; those of the same letters are looked up once."""
         letters, known = list(map(letters_of, words)), self.by_letters
+        known.room()
         if new := list(set(letters).difference(known, [""])):
-            if len(known) + len(new) > known.most:
-                known.trim(letters)
             known.fill(new, self._rows(new))
         return [known[x] if x else self.blank for x in letters]
 
@@ -146,9 +145,8 @@ class Labeller:
         memo, found = self.memo, []
         for lo, hi in groups_of(texts):
             words = [x.split() for x in texts[lo:hi]]
+            memo.room()
             if new := list(set().union(*words).difference(memo)):
-                if len(memo) + len(new) > memo.most:
-                    memo.trim(set().union(*words))
                 memo.fill(new, self._scored(new))
             found += [self._label(b"".join(map(memo.__getitem__, x))) for x in words]
         return found
@@ -247,21 +245,21 @@ def label_spans(docs: DataFrame, model: Model, text_col: str = "text", switch: f
     """Adds ``lang_pred``, ``score`` and ``spans`` (first and last word, language) to the columns of ``docs``; columns
     of these names are replaced. One pass, no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by N_GRAMS
-    kept = docs.drop("lang_pred", "score", "spans")
-    span = "array<struct<first:int,last:int,lang:string>>"
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    found = "lang_pred string, score double, spans array<struct<first:int,last:int,lang:string>>"
 
-    def run(batches):
+    @F.arrow_udf(found)
+    def run(column: pa.Array) -> pa.Array:
         own = labeller(sent, switch)
-        kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())]))
-        for batch in batches:
-            found = own.labels(texts(batch, text_col))
-            spans = [[{"first": a, "last": b, "lang": model_lang(own, k)} for a, b, k in x[2]] for x in found]
-            out = batch.append_column("lang_pred", pa.array([x[0] for x in found], pa.string()))
-            out = out.append_column("score", pa.array([x[1] for x in found], pa.float64()))
-            yield out.append_column("spans", pa.array(spans, kind))
-
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double, spans {span}")
+        span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())]))
+        kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("spans", span)])
+        rows = []
+        for _, items in parts_of(column):
+            for lang, score, spans in own.labels(items):
+                rows.append((lang, score, [(a, b, model_lang(own, k)) for a, b, k in spans]))
+        return pa.array([dict(zip(("lang_pred", "score", "spans"), x, strict=True)) for x in rows], kind)
+
+    named = docs.drop("lang_pred", "score", "spans").withColumn("__found", run(F.col(text_col)))
+    return named.select("*", "__found.*").drop("__found")
 
 
 def model_lang(own: Labeller, k: int) -> str:

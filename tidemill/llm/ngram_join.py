@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from tidemill.llm.blocks import in_blocks, runs
-from tidemill.llm.common import Memo, sized, table, written
+from tidemill.llm.common import Memo, parts_of, sized, table, written
 from tidemill.llm.components import connected_components
 
 BLOCK = 1024
@@ -53,7 +53,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S33)
 
 
-_WORDS = Memo(xxh3_64_intdigest)
+_WORDS = Memo(xxh3_64_intdigest, 30_000_000)
 
 
 def keep_words() -> None:
@@ -195,20 +195,18 @@ def _index(docs: DataFrame, n: int, limit: Threshold, schemes: list[Scheme]) ->
         keep_words()
         seen: set[int] = set()
         for batch in batches:
-            sigs, nodes, docs, held = [], [], [], 0
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                tokens = shingles(text or "", n)
-                node = node_of(tokens) if len(tokens) else None
-                docs.append((doc_id, len(tokens), node))
-                if node is not None and node not in seen:
-                    seen.add(node)
-                    sigs.append(signatures(tokens, limit, schemes))
-                    nodes.append(np.full(len(sigs[-1]), node))
-                    held += len(sigs[-1])
-                if held > 500_000:
-                    yield out(sigs, nodes, docs)
-                    sigs, nodes, docs, held = [], [], [], 0
-            if docs:
+            for part, items in parts_of(batch, "text", 2_000_000):
+                sigs, nodes, docs = [], [], []
+                if len(seen) > 100_000:  # a set given again is the same entries again, which are told apart later
+                    seen.clear()
+                for doc_id, text in zip(part.column("doc_id").to_pylist(), items, strict=True):
+                    tokens = shingles(text, n)
+                    node = node_of(tokens) if len(tokens) else None
+                    docs.append((doc_id, len(tokens), node))
+                    if node is not None and node not in seen:
+                        seen.add(node)
+                        sigs.append(signatures(tokens, limit, schemes))
+                        nodes.append(np.full(len(sigs[-1]), node))
                 yield out(sigs, nodes, docs)
 
     def out(sigs, nodes, docs):
@@ -232,16 +230,9 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
         keep_words()
         for batch in batches:
-            rows, held = [], 0
-            for text in batch.column("text").to_pylist():
-                tokens = shingles(text or "", n)
-                rows.append((node_of(tokens), tokens.tobytes(), sketch(tokens).tobytes()))
-                held += 8 * len(tokens)
-                if held > 8_000_000:
-                    yield out(rows)
-                    rows, held = [], 0
-            if rows:
-                yield out(rows)
+            for _, items in parts_of(batch, "text", 2_000_000):
+                sets = [shingles(x, n) for x in items]
+                yield out([(node_of(x), x.tobytes(), sketch(x).tobytes()) for x in sets])
 
     def out(rows):
         kinds = (pa.int64(), pa.binary(), pa.binary())

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import table, texts
+from tidemill.llm.common import parts_of, table
 from tidemill.llm.token_ids import default_vocabulary, encoder
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, bucket int, sequence_id long, offset long"
@@ -44,21 +44,17 @@ def pack(
     def pieces(batches):
         own, partition, places = encoder(path), TaskContext.get().partitionId(), {}
         for batch in batches:
-            rows, size = [], 0
-            for doc_id, ids in zip(batch.column(0).to_pylist(), own.encode(texts(batch, "text")), strict=True):
-                ids, at = ids + end, 0
-                n = len(ids) // 4
-                for length in cuts(n, width):
-                    bucket = length.bit_length() - 1
-                    place = places[bucket] = places.get(bucket, -1) + 1
-                    number = bucket << 58 | partition << 34 | place
-                    rows.append((doc_id, at, length, ids[4 * at : 4 * (at + length)], n, bucket, number, 0))
-                    at += length
-                size += len(ids)
-                if size > 8_000_000:
-                    yield as_batch(rows)
-                    rows, size = [], 0
-            if rows:
+            for part, items in parts_of(batch, "text"):
+                rows = []
+                for doc_id, ids in zip(part.column(0).to_pylist(), own.encode(items), strict=True):
+                    ids, at = ids + end, 0
+                    n = len(ids) // 4
+                    for length in cuts(n, width):
+                        bucket = length.bit_length() - 1
+                        place = places[bucket] = places.get(bucket, -1) + 1
+                        number = bucket << 58 | partition << 34 | place
+                        rows.append((doc_id, at, length, ids[4 * at : 4 * (at + length)], n, bucket, number, 0))
+                        at += length
                 yield as_batch(rows)
 
     def as_batch(rows):

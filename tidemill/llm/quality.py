@@ -16,12 +16,11 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Memo, fold, table, texts
+from tidemill.llm.common import Memo, fold, parts_of, table
 
 TRAIN_ROWS = 12_000
 THRESHOLD = 0.3
@@ -132,9 +131,9 @@ def _measured(docs: DataFrame, keys: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            stats = pa.array([statistics(x) for x in texts(batch, "text")], pa.list_(pa.float64()))
-            kept = batch.drop_columns(["text"])
-            yield kept.append_column("stats", stats)
+            for part, items in parts_of(batch, "text"):
+                stats = pa.array([statistics(x) for x in items], pa.list_(pa.float64()))
+                yield part.drop_columns(["text"]).append_column("stats", stats)
 
     return docs.mapInArrow(run, f"{keys}, stats array<double>")
 
@@ -156,11 +155,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, trees: Trees, text_col: str = "text", name: str = "score") -> DataFrame:
     """Adds the score of each text to the columns of ``docs`` (replacing a column of that name). No shuffle."""
 
-    @F.pandas_udf("double")
-    def run(column: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def run(column: pa.Array) -> pa.Array:
         Memo.begin()
-        found = np.array([statistics(x or "") for x in column]).reshape(-1, FEATURES)
-        return pd.Series(trees.score(found))
+        found = [trees.score(np.array([statistics(x) for x in items])) for _, items in parts_of(column)]
+        return pa.array(np.concatenate([np.empty(0), *found]))
 
     return docs.withColumn(name, run(F.col(text_col)))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Memo, numbered_words, table, texts
+from tidemill.llm.common import Memo, numbered_words, parts_of, table
 
 MARK = "▁"
 
@@ -56,7 +56,7 @@ class Counter:
         self.unknown = min(pieces.values(), default=0.0) - 10.0
         self.bytes, self.prefix = byte_fallback, MARK if dummy_prefix else ""
         self.by_word = not any(MARK in p.lstrip(MARK) for p in pieces)
-        self.memo = Memo(self._packed)
+        self.memo = Memo(self._packed, 60_000_000)
 
     def _packed(self, word: str) -> bytes:
         score, count = self.solve(word)
@@ -150,9 +150,10 @@ def token_counts(
     def solve(batches):
         own = counter(path)
         for batch in batches:
-            scores, pieces = own.counts(texts(batch, "text"))
-            found = [batch.column(0), pa.array(pieces, pa.int64()), pa.array(scores, pa.float64())]
-            yield pa.record_batch(found, ["doc_id", "n_tokens", "score"])
+            for part, items in parts_of(batch, "text", 3_000_000):
+                scores, pieces = own.counts(items)
+                found = [part.column(0), pa.array(pieces, pa.int64()), pa.array(scores, pa.float64())]
+                yield pa.record_batch(found, ["doc_id", "n_tokens", "score"])
 
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return kept.mapInArrow(solve, "doc_id long, n_tokens long, score double")

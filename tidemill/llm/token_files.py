@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import sized, texts, work_path, written
+from tidemill.llm.common import Memo, parts_of, sized, work_path, written
 from tidemill.llm.token_ids import default_vocabulary, encoder
 
 INDEX = "doc_id long, shard int, path string, at long, n_tokens long"
@@ -64,14 +64,15 @@ class ShardWriter:
 
 
 class ShardReader:
-    """Random access to a shard: sequences, masks, or any run of ids."""
+    """Random access to a shard: sequences, masks, or any run of ids. ``mapped`` gives views of a mapped file (of local
+    files; those of others are read); otherwise batches are read by their places in the file, few at a time."""
 
-    def __init__(self, uri: str):
+    def __init__(self, uri: str, mapped: bool = True, kept: int = 4):
         fs, path = pafs.FileSystem.from_uri(uri)
-        local = isinstance(fs, pafs.LocalFileSystem)
-        self.file = pa.ipc.open_file(pa.memory_map(path) if local else fs.open_input_file(path))
+        self.source = pa.memory_map(path) if mapped and isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)
+        self.file = pa.ipc.open_file(self.source)
         self.width = self.file.schema.field("input_ids").type.list_size
-        self.batch = functools.lru_cache(maxsize=4)(self.file.get_batch)
+        self.batch = functools.lru_cache(maxsize=kept)(self.file.get_batch)
         self.rows = self.batch(0).num_rows if self.file.num_record_batches else 1
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,19 +108,20 @@ def write_token_files(
         own, context = encoder(path), TaskContext.get()
         number = context.partitionId()
         name = f"{uri}/shard-{number:06d}-{context.taskAttemptId()}.arrow"
-        out, rows = None, []
+        out = None
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), own.encode(texts(batch, "text")), strict=True):
+            for part, items in parts_of(batch, "text"):
                 out = out or ShardWriter(name, width, batch_rows, "<u2" if own.size < 1 << 16 else "<u4")
-                flat = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
-                rows.append((doc_id, number, name, out.total, len(flat)))
-                out.append(flat)
-        if out:
+                at, sizes = out.total, []
+                for ids in own.encode(items):
+                    flat = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
+                    sizes.append(len(flat))
+                    out.append(flat)
+                n = np.array(sizes, np.int64)
+                columns = [part.column(0), np.full(len(n), number, np.int32), [name] * len(n), at + n.cumsum() - n, n]
+                yield pa.record_batch([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], ["doc_id", "shard", "path", "at", "n_tokens"])
+        if out:  # an index row counts only once its task has ended, and with it its file
             out.close()
-            kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64())
-            for i in range(0, len(rows), 10_000):
-                columns = [pa.array(c, k) for c, k in zip(zip(*rows[i : i + 10_000], strict=True), kinds, strict=True)]
-                yield pa.record_batch(columns, ["doc_id", "shard", "path", "at", "n_tokens"])
 
     pafs_made(uri)
     kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -147,14 +149,19 @@ def read_token_files(index: DataFrame) -> DataFrame:
     fields = index.select("doc_id", "path", "at", "n_tokens", "start")
 
     def read(batches):
-        reader = functools.lru_cache(maxsize=2)(ShardReader)
+        Memo.begin()
+        reader = last = None
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("path", "at", "n_tokens")), strict=True)
             ids, size, lo = [], 0, 0
             for i, (path, at, n) in enumerate(rows):
-                ids.append(reader(path).ids(at, n).astype("<u4").tobytes())
+                if path != last:
+                    if reader:
+                        reader.source.close()
+                    reader, last = ShardReader(path, mapped=False, kept=1), path
+                ids.append(reader.ids(at, n).astype("<u4").tobytes())
                 size += len(ids[-1])
-                if size > 8_000_000 or i + 1 == batch.num_rows:
+                if size > 2_000_000 or i + 1 == batch.num_rows:
                     part = batch.slice(lo, i + 1 - lo)
                     yield part.append_column("ids", pa.array(ids, pa.binary()))
                     ids, size, lo = [], 0, i + 1

@@ -20,16 +20,17 @@ def default_vocabulary() -> str:
 class Encoder:
     """Encodes texts with the tokenizers library, each distinct chunk once while it is remembered.
 
-    Strings of special tokens are ordinary text. Ids come as little-endian unsigned integers of 32 bits."""
+    Ids are the library's own for the whole text: a text that holds the string of an added token is encoded in one
+    piece. They come as little-endian unsigned integers of 32 bits."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
-        self.memo = Memo(self._one, 650_000, 20_000_000)
+        self.memo = Memo(self._one, 60_000_000)
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 else None
 
@@ -58,19 +59,27 @@ class Encoder:
             found += [y + end if x[-1] == "\n" else y for x, y in zip(part, ids, strict=True)]
         return found
 
+    def _special(self, text: str) -> bool:
+        return any(map(text.__contains__, self.added))
+
+    def _cut(self, text: str) -> str | None:
+        return None if self._special(text) else marked_chunks(text)
+
+    def _odd(self, text: str) -> list[str]:
+        return [text] if self._special(text) else chunks(text)
+
     def encode(self, texts: list[str]):
         """Yields the ids of each text as bytes. The chunks of many texts are numbered by Arrow, so that only distinct
         ones are looked up; their ids are then dealt out by number."""
         memo = self.memo
-        for words, number, borders, odd in numbered_words(texts, marked_chunks, chunks):
+        for words, number, borders, odd in numbered_words(texts, self._cut, self._odd):
+            memo.room()
             held = list(map(memo.get, words))
             missed = [i for i, x in enumerate(held) if x is None]
             new = [words[i] for i in missed]
             fresh = self._plain(new) if self.feed is not None else list(map(self._one, new))
             for i, x in zip(missed, fresh, strict=True):
                 held[i] = x
-            if len(memo) + len(new) > memo.most:
-                memo.trim(words)  # words of the latest texts are likely to come again
             memo.fill(new, fresh)
             found = gathered(held, number, borders)
             for i, x in enumerate(found):
