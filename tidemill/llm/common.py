@@ -75,41 +75,51 @@ ENTRY = 180
 
 
 class Memo(dict):
-    """A memo of a pure function, bounded to about ``most`` bytes, values and overhead included: it is emptied beyond.
-    Forgotten keys are computed again, so the bound never changes a result."""
+    """A memo of a pure function, bounded to about ``most`` bytes, values and overhead included. It has two generations:
+    when the new one has half of the bound, it becomes the old one, and the old one is forgotten but for what is asked
+    for again. Forgotten keys are computed again, so the bound never changes a result."""
 
     #: All memos of a worker process.
     known: list[weakref.ref] = []
 
     def __init__(self, make, most: int = 40_000_000):
-        self.make, self.most, self.bytes = make, most, 0
+        self.make, self.most, self.bytes, self.old = make, most, 0, {}
         Memo.known = [x for x in Memo.known if x() is not None] + [weakref.ref(self)]
 
     @classmethod
     def begin(cls, *memos: Memo) -> None:
         """Empties all memos but these: a worker that goes from one operator to another keeps one operator's memos."""
         for ref in cls.known:
-            if (memo := ref()) and not any(memo is x for x in memos) and len(memo):
-                memo.trim()
+            if (memo := ref()) and not any(memo is x for x in memos) and (len(memo) or memo.old):
+                memo.clear()
+                memo.bytes, memo.old = 0, {}
                 pa.default_memory_pool().release_unused()
 
     def __missing__(self, key):
         self.room()
-        value = self[key] = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         self.bytes += ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 0)
         return value
 
     def room(self) -> None:
-        """Empties the memo where it is full."""
-        if self.bytes > self.most:
-            self.trim()
-
-    def trim(self) -> None:
-        self.clear()
-        self.bytes = 0
+        """Starts a new generation where this one is full."""
+        if self.bytes > self.most // 2:
+            self.old, self.bytes = dict(self), 0
+            self.clear()
+
+    def lacking(self, keys) -> list:
+        """Those of a group's keys that are not remembered; all others are then in this generation. After ``fill`` with
+        their values, so are all."""
+        self.room()
+        new = set(keys).difference(self)
+        again = [x for x in new if x in self.old]
+        self.fill(again, list(map(self.old.__getitem__, again)))
+        return list(new.difference(again))
 
     def fill(self, keys: list, values: list[bytes]) -> None:
-        """Takes in the entries of one group of texts, whatever their number: call ``room`` before looking them up."""
         self.bytes += sum(map(len, keys)) + sum(map(len, values)) + ENTRY * len(keys)
         self.update(zip(keys, values, strict=True))
 
@@ -151,7 +161,7 @@ def groups_of(items: list[str], most_chars: int = 1_000_000):
         yield at, len(items)
 
 
-def numbered_words(texts: list[str], cut, odd_words, most_chars: int = 1_000_000):
+def numbered_words(texts: list[str], cut, odd_words, most_chars: int = 2_000_000):
     """Parts of many texts, numbered by Arrow: yields (distinct words, numbers, borders, odd) for runs of texts. ``cut``
     gives a text with a NUL between its parts, or None for a text that must be parted by ``odd_words``; ``odd`` has the
     words of those by their place in the run. Text i has the numbers from borders[i] to borders[i + 1]."""

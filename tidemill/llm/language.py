@@ -132,8 +132,7 @@ class Labeller:
     def _scored(self, words: list[str]) -> list[bytes]:
         """Rows of words as they stand in texts; those of the same letters are looked up once."""
         letters, known = list(map(letters_of, words)), self.by_letters
-        known.room()
-        if new := list(set(letters).difference(known, [""])):
+        if new := known.lacking(filter(None, letters)):
             known.fill(new, self._rows(new))
         return [known[x] if x else self.blank for x in letters]
 
@@ -145,8 +144,7 @@ class Labeller:
         memo, found = self.memo, []
         for lo, hi in groups_of(texts):
             words = [x.split() for x in texts[lo:hi]]
-            memo.room()
-            if new := list(set().union(*words).difference(memo)):
+            if new := memo.lacking(set().union(*words)):
                 memo.fill(new, self._scored(new))
             found += [self._label(b"".join(map(memo.__getitem__, x))) for x in words]
         return found

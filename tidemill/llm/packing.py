@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import parts_of, table
-from tidemill.llm.token_ids import default_vocabulary, encoder
+from tidemill.llm.token_ids import MEMO, default_vocabulary, encoder
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, bucket int, sequence_id long, offset long"
 KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
@@ -32,9 +32,10 @@ def cuts(n: int, width: int) -> list[int]:
 
 def pack(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 1,
-    width: int = 2048,
+    width: int = 2048, memo: int = MEMO,
 ) -> DataFrame:
-    """One row for each piece, with its ids (little-endian unsigned 32-bit integers). ``width`` is a power of two."""
+    """One row for each piece, with its ids (little-endian unsigned 32-bit integers). ``width`` is a power of two;
+    ``memo`` bounds what a worker remembers, and has no effect on the rows."""
     if width & (width - 1) or width < 1:
         raise ValueError("width must be a power of two")
     path = vocabulary or default_vocabulary()
@@ -42,9 +43,9 @@ def pack(
     names = [x.split()[0] for x in PIECES.split(", ")]
 
     def pieces(batches):
-        own, partition, places = encoder(path), TaskContext.get().partitionId(), {}
+        own, partition, places = encoder(path, memo), TaskContext.get().partitionId(), {}
         for batch in batches:
-            for part, items in parts_of(batch, "text"):
+            for part, items in parts_of(batch, "text", 2_000_000):
                 rows = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), own.encode(items), strict=True):
                     ids, at = ids + end, 0

@@ -11,6 +11,10 @@ import numpy as np
 from tidemill.llm.common import Memo, chunks, gathered, marked_chunks, numbered_words
 
 
+#: Bytes of chunks and ids that a worker remembers.
+MEMO = 180_000_000
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -30,7 +34,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
-        self.memo = Memo(self._one, 60_000_000)
+        self.memo = Memo(self._one, MEMO)
         feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.feed = feed[0] if len(feed) == 1 else None
 
@@ -73,14 +77,9 @@ class Encoder:
         ones are looked up; their ids are then dealt out by number."""
         memo = self.memo
         for words, number, borders, odd in numbered_words(texts, self._cut, self._odd):
-            memo.room()
-            held = list(map(memo.get, words))
-            missed = [i for i, x in enumerate(held) if x is None]
-            new = [words[i] for i in missed]
-            fresh = self._plain(new) if self.feed is not None else list(map(self._one, new))
-            for i, x in zip(missed, fresh, strict=True):
-                held[i] = x
-            memo.fill(new, fresh)
+            if new := memo.lacking(words):
+                memo.fill(new, self._plain(new) if self.feed is not None else list(map(self._one, new)))
+            held = list(map(memo.__getitem__, words))
             found = gathered(held, number, borders)
             for i, x in enumerate(found):
                 yield b"".join(map(self._one, odd[i])) if i in odd else x
@@ -89,8 +88,9 @@ class Encoder:
 _made = functools.lru_cache(maxsize=2)(Encoder)
 
 
-def encoder(path: str) -> Encoder:
-    """A worker's encoder for a vocabulary."""
+def encoder(path: str, memo: int = MEMO) -> Encoder:
+    """A worker's encoder for a vocabulary, which remembers chunks within about ``memo`` bytes."""
     found = _made(path)
+    found.memo.most = memo
     Memo.begin(found.memo)
     return found
