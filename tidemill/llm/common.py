@@ -110,14 +110,24 @@ class Memo(dict):
             self.old, self.bytes = dict(self), 0
             self.clear()
 
-    def lacking(self, keys) -> list:
-        """Those of a group's keys that are not remembered; all others are then in this generation. After ``fill`` with
-        their values, so are all."""
+    def values_of(self, keys: list, make_all) -> list:
+        """Values of a group's distinct keys; ``make_all`` makes those of the keys that are not remembered at once."""
         self.room()
-        new = set(keys).difference(self)
-        again = [x for x in new if x in self.old]
-        self.fill(again, list(map(self.old.__getitem__, again)))
-        return list(new.difference(again))
+        held = list(map(self.get, keys))
+        missed = [i for i, x in enumerate(held) if x is None]
+        if missed and self.old:
+            again = [(i, x) for i in missed if (x := self.old.get(keys[i])) is not None]
+            self.fill([keys[i] for i, _ in again], [x for _, x in again])
+            for i, x in again:
+                held[i] = x
+            missed = [i for i in missed if held[i] is None]
+        if missed:
+            new = [keys[i] for i in missed]
+            made = make_all(new)
+            self.fill(new, made)
+            for i, x in zip(missed, made, strict=True):
+                held[i] = x
+        return held
 
     def fill(self, keys: list, values: list[bytes]) -> None:
         self.bytes += sum(map(len, keys)) + sum(map(len, values)) + ENTRY * len(keys)
@@ -161,7 +171,7 @@ def groups_of(items: list[str], most_chars: int = 1_000_000):
         yield at, len(items)
 
 
-def numbered_words(texts: list[str], cut, odd_words, most_chars: int = 2_000_000):
+def numbered_words(texts: list[str], cut, odd_words, most_chars: int = 4_000_000):
     """Parts of many texts, numbered by Arrow: yields (distinct words, numbers, borders, odd) for runs of texts. ``cut``
     gives a text with a NUL between its parts, or None for a text that must be parted by ``odd_words``; ``odd`` has the
     words of those by their place in the run. Text i has the numbers from borders[i] to borders[i + 1]."""

@@ -131,10 +131,11 @@ class Labeller:
 
     def _scored(self, words: list[str]) -> list[bytes]:
         """Rows of words as they stand in texts; those of the same letters are looked up once."""
-        letters, known = list(map(letters_of, words)), self.by_letters
-        if new := known.lacking(filter(None, letters)):
-            known.fill(new, self._rows(new))
-        return [known[x] if x else self.blank for x in letters]
+        letters = list(map(letters_of, words))
+        distinct = [x for x in dict.fromkeys(letters) if x]
+        known = dict(zip(distinct, self.by_letters.values_of(distinct, self._rows), strict=True))
+        known[""] = self.blank
+        return [known[x] for x in letters]
 
     def labels(self, texts: list[str]) -> list[tuple[str, float, list[tuple[int, int, int]]]]:
         """(language, score, spans as (first word, last word, language's place)) of each text. The new words of many
@@ -144,9 +145,9 @@ class Labeller:
         memo, found = self.memo, []
         for lo, hi in groups_of(texts):
             words = [x.split() for x in texts[lo:hi]]
-            if new := memo.lacking(set().union(*words)):
-                memo.fill(new, self._scored(new))
-            found += [self._label(b"".join(map(memo.__getitem__, x))) for x in words]
+            distinct = list(set().union(*words))
+            known = dict(zip(distinct, memo.values_of(distinct, self._scored), strict=True))
+            found += [self._label(b"".join(map(known.__getitem__, x))) for x in words]
         return found
 
     def label(self, text: str) -> tuple[str, float, list[tuple[int, int, int]]]:

@@ -45,7 +45,7 @@ def pack(
     def pieces(batches):
         own, partition, places = encoder(path, memo), TaskContext.get().partitionId(), {}
         for batch in batches:
-            for part, items in parts_of(batch, "text", 2_000_000):
+            for part, items in parts_of(batch, "text", 4_000_000):
                 rows = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), own.encode(items), strict=True):
                     ids, at = ids + end, 0

@@ -110,7 +110,7 @@ def write_token_files(
         name = f"{uri}/shard-{number:06d}-{context.taskAttemptId()}.arrow"
         out = None
         for batch in batches:
-            for part, items in parts_of(batch, "text", 2_000_000):
+            for part, items in parts_of(batch, "text", 4_000_000):
                 out = out or ShardWriter(name, width, batch_rows, "<u2" if own.size < 1 << 16 else "<u4")
                 at, sizes = out.total, []
                 for ids in own.encode(items):

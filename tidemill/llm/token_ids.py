@@ -77,9 +77,7 @@ class Encoder:
         ones are looked up; their ids are then dealt out by number."""
         memo = self.memo
         for words, number, borders, odd in numbered_words(texts, self._cut, self._odd):
-            if new := memo.lacking(words):
-                memo.fill(new, self._plain(new) if self.feed is not None else list(map(self._one, new)))
-            held = list(map(memo.__getitem__, words))
+            held = memo.values_of(words, self._plain if self.feed is not None else lambda new: list(map(self._one, new)))
             found = gathered(held, number, borders)
             for i, x in enumerate(found):
                 yield b"".join(map(self._one, odd[i])) if i in odd else x
