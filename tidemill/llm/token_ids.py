@@ -12,7 +12,7 @@ from tidemill.llm.common import Memo, chunks, gathered, marked_chunks, numbered_
 
 
 #: Bytes of chunks and ids that a worker remembers.
-MEMO = 180_000_000
+MEMO = 240_000_000
 
 
 def default_vocabulary() -> str:
