@@ -311,7 +311,7 @@ def test_code_bounds_lose_nothing():
     x = np.concatenate([x, x + 0.1 * rng.normal(size=x.shape)])
     unit = embeddings.unit_of(x)
     at = np.arange(len(x))
-    i, j = embeddings.near(unit, 0.98, at, at, 1.0)
+    i, j = embeddings.near(unit, *embeddings.codes_of(unit), 0.98, at, at, 1.0)
     assert set(zip(i, j, strict=True)) == set(zip(*np.nonzero(unit @ unit.T >= 0.98), strict=True))
 
 
@@ -563,3 +563,58 @@ def test_ranks_file():
     with open(path, "rb") as f:
         first = f.readline().split()
     assert byte_bpe.read_ranks(path)[base64.b64decode(first[0])] == int(first[1])
+
+
+def test_warc_rows_that_repeat_or_lack_an_id(spark):
+    a, b, c = "a" * 200, "b" * 200, "c" * 200
+    pages = spark.createDataFrame([(1, "u", a, 0), (2, "u", b, 0), (5, "u", a, 0), (5, "u", b, 0), (5, "u", c, 0), (None, "u", c, 0), (None, None, None, 0)], "page_id long, url string, html string, digest int")
+    found = warc.read_archives(warc.normalise(warc.write_archives(pages))).collect()
+    got = collections.Counter((r["page_id"], r["record_type"], r["refers_to"], None if r["payload"] is None else r["payload"].decode()) for r in found)
+    assert got == collections.Counter([
+        (1, "response", None, a), (2, "response", None, b), (5, "revisit", 1, None), (5, "revisit", 2, None), (5, "response", None, c),
+        (None, "response", None, c), (None, "response", None, ""),
+    ])
+
+
+def test_embeddings_that_repeat_or_lack_an_id(spark):
+    rows = [(1, [1.0, 0.0, 0.0, 0.0], "x"), (1, [0.0, 1.0, 0.0, 0.0], "x"), (2, [1.0, 0.01, 0.0, 0.0], "x"), (3, [0.01, 1.0, 0.0, 0.0], "x"),
+            (4, [0.0, 0.0, 1.0, 0.0], "x"), (None, [0.0, 0.0, 1.0, 0.01], "x"), (None, [0.0, 0.0, 0.0, 1.0], "x"), (9, [0.0, 0.0, 0.0, 1.0], None)]
+    for kind in ("array<double>", "array<float>"):
+        df = spark.createDataFrame([(*r, 7) for r in rows], f"vec_id long, embedding {kind}, label string, node int")
+        found = embeddings.near_duplicates(df).collect()
+        got = collections.Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in found)
+        assert got == collections.Counter([
+            (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (None, 1, 4, False), (None, 0, None, True), (9, 0, 9, True),
+        ])
+
+
+def test_dedup_stage_goes_by_id_and_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    docs = spark.createDataFrame([(1, a, 0), (7, a, 0), (7, b, 0), (8, b, 0), (7, b, 0)], "doc_id long, text string, text_key int")
+    kept = ngram_join.dedup_stage(spark, docs, "")
+    assert kept.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, a), (7, b)]
+
+
+def test_language_with_clashing_columns_and_ties(spark):
+    model = language.Model(["aa", "bb"], {"latin": [0, 1]}, {})
+    docs = spark.createDataFrame([(1, "same score", 1, 2.0, "x")], "doc_id long, text string, found int, score double, spans string")
+    row = language.label_spans(docs, model).first()
+    assert (row["lang_pred"], row["score"], row["found"]) == ("aa", 1.0, 1)
+
+
+def test_memos_forget_but_give_the_same_values():
+    from tidemill.llm.common import Memo
+
+    made = []
+    memo = Memo(lambda k: made.append(k) or k.encode() * 2, 4_000)
+    for i in range(300):
+        assert memo["common"] == b"commoncommon" and memo[f"rare{i}"] == f"rare{i}".encode() * 2
+        keys = [f"k{j}" for j in range(i % 7)]
+        assert memo.values_of(keys, lambda new: [x.encode() for x in new]) == [x.encode() for x in keys]
+        assert memo.bytes < 6_000 and len(memo.old) < 40
+    assert made.count("common") == 1
+
+
+def test_texts_with_special_strings_equal_the_library(library):
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x\n<|endoftext|>\n\ny  z"):
+        assert np.frombuffer(next(iter(token_ids.encoder(token_ids.default_vocabulary()).encode([text]))), "<u4").tolist() == library(text)

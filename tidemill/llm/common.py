@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
+import sys
 import tempfile
 import uuid
 import weakref
@@ -44,6 +47,13 @@ def sized(small: DataFrame, rows: int, most: int = 500_000) -> DataFrame:
     return F.broadcast(small) if rows <= most else small
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no column of that name."""
+    while name.lower() in map(str.lower, df.columns):
+        name = f"_{name}"
+    return name
+
+
 def fold(column: str, parts: int) -> Column:
     """crc32 of an id as text, modulo ``parts``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % parts
@@ -88,12 +98,17 @@ class Memo(dict):
 
     @classmethod
     def begin(cls, *memos: Memo) -> None:
-        """Empties all memos but these: a worker that goes from one operator to another keeps one operator's memos."""
-        for ref in cls.known:
-            if (memo := ref()) and not any(memo is x for x in memos) and (len(memo) or memo.old):
+        """Empties all memos but these: a worker that goes from one operator to another keeps one operator's memos, and
+        gives the memory of others back."""
+        others = [x for ref in cls.known if (x := ref()) is not None and not any(x is y for y in memos)]
+        if any(len(x) or x.old for x in others):
+            for memo in others:
                 memo.clear()
                 memo.bytes, memo.old = 0, {}
-                pa.default_memory_pool().release_unused()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
 
     def __missing__(self, key):
         self.room()

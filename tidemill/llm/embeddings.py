@@ -11,8 +11,12 @@ vectors, and their number is set so that a pair at the threshold itself is misse
 most ``MISS``. Buckets are compared in blocks, and a pair counts in the first table that holds it, so links are
 counted without ever being rows. Equal vectors are one class; links and components are between classes.
 
+Codes and corrections are made once for each class and stored beside the vector. Classes are named by 64-bit hashes of
+label and vector: among n classes, two share a name with a probability below n * n / 2 ** 65.
+
 Null, zero and non-finite vectors, those with a null component and those without a label link with nothing. Vectors of
-different lengths never link. A repeated id counts as a vector of its own. An empty table gives no rows.
+different lengths never link. Rows that repeat an id are vectors of their own; a vector without an id has links like any
+other, and gives no name to a component (null where no vector of the component has an id). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -66,14 +70,21 @@ def unit_of(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def near(unit: np.ndarray, threshold: float, left: np.ndarray, right: np.ndarray, confidence: float):
-    """Pairs (places in ``left``, places in ``right``) at or above the threshold: bounds from codes, then exactly."""
+def codes_of(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed signs of the rotated vectors, and their corrections."""
     dim = unit.shape[1]
     turned = unit @ rotations(dim, 1)[:, :dim]
-    codes = np.where(turned[left] > 0, 1.0, -1.0) / math.sqrt(dim)
-    a = (codes * turned[left]).sum(axis=1)
+    return np.packbits(turned > 0, axis=1), np.abs(turned).sum(axis=1) / math.sqrt(dim)
+
+
+def near(unit: np.ndarray, packed: np.ndarray, factor: np.ndarray, threshold: float, left: np.ndarray, right: np.ndarray, confidence: float):
+    """Pairs (places in ``left``, places in ``right``) at or above the threshold: bounds from stored codes, then exactly."""
+    dim = unit.shape[1]
+    turned = unit[right] @ rotations(dim, 1)[:, :dim]
+    codes = (np.unpackbits(packed[left], axis=1, count=dim) * 2.0 - 1.0) / math.sqrt(dim)
+    a = factor[left]
     slack = confidence * np.sqrt(np.maximum(0, 1 - a * a)) * math.sqrt(1 - threshold * threshold)
-    r, c = np.nonzero(codes @ turned[right].T >= (a * threshold - slack - 1e-9)[:, None])
+    r, c = np.nonzero(codes @ turned.T >= (a * threshold - slack - 1e-9)[:, None])
     kept_r, kept_c = [], []
     for lo in range(0, len(r), 100_000):
         i, j = r[lo : lo + 100_000], c[lo : lo + 100_000]
@@ -88,18 +99,31 @@ def near_duplicates(
 ) -> DataFrame:
     """One row for each vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
-    vector = F.col(vector_col).cast("array<double>")
+    vector = F.col(vector_col)
+    if vectors.schema[vector_col].dataType.simpleString() != "array<float>":  # floats are widened in the tasks
+        vector = vector.cast("array<double>")
     own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), vector.alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
     good = F.coalesce(F.col("label").isNotNull() & finite & F.exists("vector", lambda x: x != 0), F.lit(False))
-    known = F.when(good, F.xxhash64("label", "vector")), F.when(good, F.xxhash64(F.lit("tidemill"), "label", "vector"))
-    own = own.withColumns({"h1": known[0], "h2": known[1]})
-    classes = own.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"))
+    own = own.withColumn("node", F.when(good, F.xxhash64("label", "vector")))
+    classes = own.filter("node is not null").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = written(classes, "vector-classes")
     n = classes.count()
     bits, tables = plan(n, threshold)
-    picked = own.withColumnRenamed("vec_id", "node").join(classes, ["h1", "h2", "node"]).dropDuplicates(["h1", "h2"])
-    picked = written(picked.select("node", "label", "vector", "copies"), "vectors")
+    picked = own.filter("node is not null").select("node", "label", "vector").dropDuplicates(["node"])
+
+    def coded(batches):
+        for batch in batches:
+            sizes = np.diff(batch.column("vector").offsets.to_numpy())
+            for dim in np.unique(sizes):
+                part = batch.take(pa.array(np.flatnonzero(sizes == dim)))
+                packed, factor = codes_of(unit_of(vectors_of(part.column("vector"))))
+                yield part.append_column("code", pa.array(map(bytes, packed), pa.binary())).append_column("factor", pa.array(factor))
+
+    kind = picked.schema["vector"].dataType.simpleString()
+    label = picked.schema["label"].dataType.simpleString()
+    picked = picked.mapInArrow(coded, f"node long, label {label}, vector {kind}, code binary, factor double")
+    picked = written(picked.join(classes.select("node", "copies"), "node"), "vectors")
 
     def deal(batches):
         for batch in batches:
@@ -131,7 +155,8 @@ def near_duplicates(
             if not len(left) or not len(right):
                 continue
             unit = unit_of(vectors_of(rows["vector"]))
-            i, j = near(unit, threshold, left, right, confidence)
+            packed = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(len(node), -1)
+            i, j = near(unit, packed, rows["factor"].to_numpy(), threshold, left, right, confidence)
             i, j = left[i], right[j]
             if first == second:
                 i, j = i[i < j], j[i < j]
@@ -152,11 +177,13 @@ def near_duplicates(
     found = written(in_blocks(members, BLOCK).mapInArrow(compare, "a long, b long, n long"), "vector-links")
     counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     reached = connected_components(found.filter("a != b"))
-    by_class = classes.join(counts, "node", "left").join(reached, "node", "left")
-    by_class = by_class.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    rows = own.select("vec_id", "h1", "h2").join(by_class, ["h1", "h2"], "left")
-    component = F.coalesce("component_id", "vec_id")
-    return rows.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    by_class = classes.join(counts, "node", "left").join(reached, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = by_class.groupBy("component").agg(F.min("rep").alias("component_id"))
+    by_class = by_class.join(smallest, "component").select("node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    rows = own.select("vec_id", "node").join(by_class, "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    kept = F.col("vec_id").eqNullSafe(component)
+    return rows.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), kept.alias("kept"))
 
 
 def op5_embedding_dedup(spark, sf_dir):

@@ -230,8 +230,8 @@ def fingerprint_chain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def likenesses(x: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Likeness of one fingerprint to each of others; all as rows of ``PLACES`` bytes."""
-    w = weights()
+    """Likeness of one fingerprint to each of others; all as rows of as many bytes, beyond which all are 0."""
+    w = weights()[: len(x)]
     there = (x > 0) | (others > 0)
     share = ((others == x) & there) @ w / np.maximum(there @ w, 1e-9)
     return np.where((others == x).all(axis=1), 1.0, np.clip((share - CHANCE) / (1 - CHANCE), 0.0, 1.0))
@@ -273,7 +273,8 @@ def near_duplicates(prints: DataFrame, id_col: str = "doc_id", print_col: str =
     def compare(batches):
         for rows in runs(batches, ["bucket", "first", "second"]):
             raw = [bytes.fromhex(x) for x in rows["print"].to_pylist()]
-            x = np.frombuffer(b"".join(v.ljust(PLACES, b"\0") for v in raw), np.uint8).reshape(-1, PLACES)
+            width = -(-max(map(len, raw)) // BAND) * BAND  # places beyond hold 0 in all of them
+            x = np.frombuffer(b"".join(v.ljust(width, b"\0") for v in raw), np.uint8).reshape(-1, width)
             begins, ends = low[[len(v) for v in raw]], np.array([-(-len(v) // BAND) for v in raw])  # bands of each
             node, copies = rows["node"].to_numpy(), rows["copies"].to_numpy()
             first, second, side = rows["first"][0].as_py(), rows["second"][0].as_py(), rows["own"].to_numpy()
@@ -283,9 +284,9 @@ def near_duplicates(prints: DataFrame, id_col: str = "doc_id", print_col: str =
             for i in left.tolist():
                 j = right[right > i] if first == second else right
                 j = j[likenesses(x[i], x[j]) >= threshold]
-                equal = (x[i] == x[j]).reshape(len(j), PLACES // BAND, BAND).all(axis=2)
-                equal &= np.arange(PLACES // BAND) < np.minimum(ends[i], ends[j])[:, None]
-                equal &= np.arange(PLACES // BAND) >= np.maximum(begins[i], begins[j])[:, None]
+                equal = (x[i] == x[j]).reshape(len(j), width // BAND, BAND).all(axis=2)
+                equal &= np.arange(width // BAND) < np.minimum(ends[i], ends[j])[:, None]
+                equal &= np.arange(width // BAND) >= np.maximum(begins[i], begins[j])[:, None]
                 j = j[equal.argmax(axis=1) == band] if len(j) else j
                 pairs.append(np.stack([np.full(len(j), i), j]))
             if pairs and len((found := np.concatenate(pairs, axis=1))[0]):

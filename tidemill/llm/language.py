@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Memo, fold, groups_of, parts_of, table, written
+from tidemill.llm.common import Memo, fold, groups_of, parts_of, table, unused, written
 
 TRAIN_DOCS = 4_000
 N_GRAMS = 60_000
@@ -85,8 +85,8 @@ class Labeller:
 
     def __init__(self, model: Model, switch: float = SWITCH):
         self.model, self.switch, self.k = model, switch, len(model.langs)
-        self.memo = Memo(lambda word: self._scored([word])[0], 30_000_000)
-        self.by_letters = Memo(lambda letters: self._rows([letters])[0], 20_000_000)
+        self.memo = Memo(lambda word: self._scored([word])[0], 50_000_000)
+        self.by_letters = Memo(lambda letters: self._rows([letters])[0], 30_000_000)
         items = sorted((gram_key(g), row) for g, row in model.logs.items() if len(g) <= 3)
         self.keys = np.array([key for key, _ in items], np.int64)
         self.logs = np.array([row for _, row in items]).reshape(len(items), self.k)
@@ -257,8 +257,9 @@ def label_spans(docs: DataFrame, model: Model, text_col: str = "text", switch: f
                 rows.append((lang, score, [(a, b, model_lang(own, k)) for a, b, k in spans]))
         return pa.array([dict(zip(("lang_pred", "score", "spans"), x, strict=True)) for x in rows], kind)
 
-    named = docs.drop("lang_pred", "score", "spans").withColumn("__found", run(F.col(text_col)))
-    return named.select("*", "__found.*").drop("__found")
+    kept = docs.drop("lang_pred", "score", "spans")
+    name = unused(kept, "found")
+    return kept.withColumn(name, run(F.col(text_col))).select(*kept.columns, f"{name}.*")
 
 
 def model_lang(own: Labeller, k: int) -> str:
@@ -289,7 +290,7 @@ def op2_language(spark, sf_dir):
 def language_stage(spark, docs, sf_dir):
     """Keeps documents whose main language is known and has at least ``LEAST`` of their letters."""
     model = fit(docs.filter(fold("doc_id", 4) != 2))
-    names = {c: f"__{c}" for c in ("lang_pred", "score", "spans") if c in docs.columns}
+    names = {c: unused(docs, f"own_{c}") for c in ("lang_pred", "score", "spans") if c in docs.columns}
     found = label_spans(docs.withColumnsRenamed(names), model)
     found = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST)).drop("lang_pred", "score", "spans")
     return found.withColumnsRenamed({v: k for k, v in names.items()}).select(docs.columns)

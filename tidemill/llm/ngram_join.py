@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from tidemill.llm.blocks import in_blocks, runs
-from tidemill.llm.common import Memo, parts_of, sized, table, written
+from tidemill.llm.common import Memo, parts_of, sized, table, unused, written
 from tidemill.llm.components import connected_components
 
 BLOCK = 1024
@@ -184,7 +184,7 @@ def sketch(tokens: np.ndarray) -> np.ndarray:
 
 
 def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
 
 
 def _index(docs: DataFrame, n: int, limit: Threshold, schemes: list[Scheme]) -> DataFrame:
@@ -199,10 +199,10 @@ def _index(docs: DataFrame, n: int, limit: Threshold, schemes: list[Scheme]) ->
                 sigs, nodes, docs = [], [], []
                 if len(seen) > 100_000:  # a set given again is the same entries again, which are told apart later
                     seen.clear()
-                for doc_id, text in zip(part.column("doc_id").to_pylist(), items, strict=True):
+                for doc_id, key, text in zip(part.column("doc_id").to_pylist(), part.column("key").to_pylist(), items, strict=True):
                     tokens = shingles(text, n)
                     node = node_of(tokens) if len(tokens) else None
-                    docs.append((doc_id, len(tokens), node))
+                    docs.append((doc_id, len(tokens), node, key))
                     if node is not None and node not in seen:
                         seen.add(node)
                         sigs.append(signatures(tokens, limit, schemes))
@@ -217,11 +217,11 @@ def _index(docs: DataFrame, n: int, limit: Threshold, schemes: list[Scheme]) ->
         sig = pa.array(np.concatenate([entries, spread]))
         named = pa.array(np.concatenate([np.empty(0, np.int64), *nodes]), pa.int64())
         node = pa.concat_arrays([named, pa.array([x[2] for x in docs], pa.int64())])
-        kind = pa.struct([("doc_id", pa.int64()), ("n", pa.int64())])
-        own = pa.StructArray.from_arrays([ids, pa.array([x[1] for x in docs], pa.int64())], fields=list(kind))
+        kind = pa.struct([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64())])
+        own = pa.StructArray.from_arrays([ids, *(pa.array([x[i] for x in docs], pa.int64()) for i in (1, 3))], fields=list(kind))
         return pa.record_batch([sig, node, pa.concat_arrays([pa.nulls(len(entries), kind), own])], ["sig", "node", "doc"])
 
-    return docs.mapInArrow(run, "sig long, node long, doc struct<doc_id:long,n:long>")
+    return docs.mapInArrow(run, "sig long, node long, doc struct<doc_id:long,n:long,key:long>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -306,7 +306,8 @@ def _apart(members: DataFrame, limit: Threshold) -> DataFrame:
 def ngram_components(
     docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id (the smallest id its links reach)."""
+    """One row for each document: doc_id, n_shingles, component_id (the smallest id its links reach), key (a hash of its
+    text) and component_key (that of the row which gives the component its id)."""
     limit = Threshold(*threshold)
     if not 0 < limit.num <= limit.den:
         raise ValueError("the threshold must be above 0 and at most 1")
@@ -321,8 +322,8 @@ def ngram_components(
     entries = _index(own, n, limit, schemes)
     entries = entries.withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket)})
     entries = written(entries.filter("low < high or doc is not null").select("sig", "node", "doc"), "shared-entries")
-    light = entries.filter("doc is not null").select("doc.doc_id", F.col("doc.n").alias("n_shingles"), "node")
-    nodes = light.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    light = entries.filter("doc is not null").select("doc.doc_id", F.col("doc.n").alias("n_shingles"), "doc.key", "node")
+    nodes = light.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("first"), F.max("n_shingles").alias("n"))
     nodes = written(nodes, "set-nodes")
     shared = entries.filter("doc is null").select("sig", "node").distinct()
     sizes = shared.groupBy("sig").agg(F.count("*").alias("size"))
@@ -348,25 +349,27 @@ def ngram_components(
     more = _apart(in_blocks(placed, BLOCK, about), limit).distinct()
     more = written(_verified(written(more, "open-pairs"), sets, limit), "set-links")
     final = reached if more.isEmpty() else connected_components(links.union(more))
-    smallest = nodes.join(final, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    smallest = nodes.join(final, "node").groupBy("component").agg(F.min("first").alias("low"))
     by_node = nodes.join(final, "node", "left").join(smallest, "component", "left")
-    by_node = by_node.select("node", F.coalesce("component_id", "rep").alias("component_id"))
+    by_node = by_node.select("node", F.coalesce("low", "first").alias("low"))
     joined = light.join(by_node, "node", "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    component, key = F.coalesce("low.doc_id", "doc_id").alias("component_id"), F.coalesce("low.key", "key").alias("component_key")
+    return joined.select("doc_id", "n_shingles", component, "key", key)
 
 
 def op8_ngram_join(spark, sf_dir):
-    return ngram_components(table(spark, sf_dir, "documents"), 4, (85, 100))
+    return ngram_components(table(spark, sf_dir, "documents"), 4, (85, 100)).drop("key", "component_key")
 
 
 def dedup_stage(spark, docs, sf_dir):
-    """Keeps one document of each component: the one of the smallest id. Rows that repeat an id and a text stay once;
-    rows without an id stay."""
-    found = written(ngram_components(docs), "components")
-    gone = found.filter("doc_id != component_id").select("doc_id").distinct()
-    gone = written(gone, "duplicates")
-    twice = written(found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
-    kept = docs.join(sized(gone, gone.count()), "doc_id", "left_anti")
+    """Keeps one document of each component: the row of the smallest id (and, where that id repeats, of the smallest hash
+    of its text). Decisions go by id and text together. Rows that repeat both stay once; rows without an id stay."""
+    found, key = written(ngram_components(docs), "components"), unused(docs, "text_key")
+    gone = found.filter("doc_id != component_id or key != component_key").select("doc_id", F.col("key").alias(key)).distinct()
+    gone = written(gone.filter("doc_id is not null"), "duplicates")
+    twice = found.groupBy("doc_id", "key").count().filter("count > 1 and doc_id is not null")
+    twice = written(twice.select("doc_id").distinct(), "repeated-ids")
+    kept = docs.withColumn(key, F.xxhash64("text")).join(sized(gone, gone.count()), ["doc_id", key], "left_anti")
     if n := twice.count():
         once = kept.join(sized(twice, n), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
         kept = kept.join(sized(twice, n), "doc_id", "left_anti").unionByName(once)

@@ -32,10 +32,10 @@ def cuts(n: int, width: int) -> list[int]:
 
 def pack(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, end_id: int = 1,
-    width: int = 2048, memo: int = MEMO,
+    width: int = 2048, memo: int = MEMO, most_chars: int = 4_000_000,
 ) -> DataFrame:
     """One row for each piece, with its ids (little-endian unsigned 32-bit integers). ``width`` is a power of two;
-    ``memo`` bounds what a worker remembers, and has no effect on the rows."""
+    ``memo`` and ``most_chars`` bound what a worker remembers and encodes at once, without effect on the rows."""
     if width & (width - 1) or width < 1:
         raise ValueError("width must be a power of two")
     path = vocabulary or default_vocabulary()
@@ -45,7 +45,7 @@ def pack(
     def pieces(batches):
         own, partition, places = encoder(path, memo), TaskContext.get().partitionId(), {}
         for batch in batches:
-            for part, items in parts_of(batch, "text", 4_000_000):
+            for part, items in parts_of(batch, "text", most_chars):
                 rows = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), own.encode(items), strict=True):
                     ids, at = ids + end, 0

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import Memo, fold, parts_of, table
+from tidemill.llm.common import Memo, fold, parts_of, table, unused
 
 TRAIN_ROWS = 12_000
 THRESHOLD = 0.3
@@ -178,5 +178,5 @@ def op4_quality(spark, sf_dir):
 def quality_stage(spark, docs, sf_dir):
     """Keeps the documents that the classifier accepts; their columns stay as they are."""
     trees = fit(docs, training_fold(table(spark, sf_dir, "labels")))
-    scored = score(docs, trees, name="__quality")
-    return scored.filter(F.col("__quality") >= THRESHOLD).drop("__quality")
+    name = unused(docs, "quality_score")
+    return score(docs, trees, name=name).filter(F.col(name) >= THRESHOLD).drop(name)

@@ -6,7 +6,8 @@ that any record can be read without those before it. Reading goes by that index.
 
 Of pages with equal payloads of at least ``SMALL`` bytes, the one with the smallest id is a response; the others are
 revisits of it: records without the payload whose HTTP head and digest still describe it. A null payload is empty.
-A page whose id equals the smallest one is a response too, so repeated rows give repeated responses. Pages without an id
+A page whose id equals the smallest one is a response too, so repeated rows give repeated responses, and what a row is
+goes by its id and its payload together: a row that repeats an id with a payload of its own keeps it. Pages without an id
 are written as responses and read back without one. Line feeds in an address are escaped. An empty table gives no file.
 
 Tasks write files under names of their own attempt; only those that Spark has committed to a table are read on.
@@ -125,13 +126,21 @@ def read_record(archive, at: int, length: int) -> tuple:
     return page_of(fields["warc-record-id"]), full, digest, fields["warc-type"], refers, url, None if revisit else payload
 
 
-def revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """Rows (page_id, refers_to) of the pages that repeat another's payload. Only digests are shuffled, and each
-    digest's smallest id is found before and after the shuffle, so a payload on many pages is no burden."""
+def _digest(html_col: str):
+    """SHA-256 of a payload that may be revisited; null for smaller ones."""
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    light = pages.filter(F.octet_length(payload) >= SMALL).select(F.col(id_col).cast("long").alias("page_id"), F.unhex(F.sha2(payload, 256)).alias("digest"))
-    first = light.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
-    return light.join(first, "digest").filter("page_id > refers_to").select("page_id", "refers_to").distinct()
+    return F.when(F.octet_length(payload) >= SMALL, F.unhex(F.sha2(payload, 256)))
+
+
+def revisits(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """Rows (page_id, digest, refers_to) of the pages that repeat another's payload. Only digests are shuffled; each
+    digest's smallest id is found before and after the shuffle, and the digests on more than one page are broadcast where
+    they are few enough; beyond, Spark joins by shuffle and splits skewed digests."""
+    light = pages.select(F.col(id_col).cast("long").alias("page_id"), _digest(html_col).alias("digest")).filter("digest is not null")
+    light = written(light, "payload-digests")
+    first = light.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = written(first, "first-pages")
+    return light.join(sized(first, first.count()), "digest").filter("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", level: int = 1) -> DataFrame:
@@ -141,8 +150,8 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     fs, path = pafs.FileSystem.from_uri(uri)
     fs.create_dir(path, recursive=True)
     repeated = written(revisits(pages, id_col, html_col), "revisits")
-    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    own = own.join(sized(repeated, repeated.count()), "page_id", "left")
+    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"), _digest(html_col).alias("digest"))
+    own = own.join(sized(repeated, repeated.count()), ["page_id", "digest"], "left").drop("digest")
 
     def write(batches):
         context = TaskContext.get()
