@@ -11,8 +11,8 @@ from tidemill.llm.quality import quality_stage
 
 def packing_stage(spark, docs, sf_dir):
     """The pieces of every kept document, with the crc32 of their ids. Executors are full after the stages before, so
-    workers remember less."""
-    return digests(pack(docs, memo=60_000_000))
+    workers remember less and take fewer texts at once."""
+    return digests(pack(docs, memo=30_000_000, most_chars=1_000_000))
 
 
 STAGES = [
