@@ -169,13 +169,15 @@ class Labeller:
         return self.model.langs[top], float(by_lang[top] / total), spans
 
     def path(self, scores: np.ndarray) -> np.ndarray:
-        """Best language of each word. Where no stretch of words gains more by any other language than half of what
-        a switch costs (two stretches may share one switch), the best single language is the whole path, and the loop is
-        not needed."""
+        """Best language of each word. The best single language is the whole path, and the loop is not needed, where no
+        other path can gain on it: no stretch of words gains more by another language than a switch costs, and neither do
+        the best first stretch and the best last one together (a path of r stretches in other languages has r - 1
+        switches if it both begins and ends with one, r if it does either, and r + 1 otherwise)."""
         n = len(scores)
         top = int(scores.sum(axis=0).argmax())
         gain = np.vstack([np.zeros(self.k), (scores - scores[:, top : top + 1]).cumsum(axis=0)])
-        if (gain - np.minimum.accumulate(gain)).max() <= self.switch / 2:
+        ends = gain.max() + (gain[-1] - gain).max()
+        if ends <= self.switch and (gain - np.minimum.accumulate(gain)).max() <= self.switch:
             return np.full(n, top)
         best, back = scores[0].tolist(), np.empty((n, self.k), np.int16)
         for i in range(1, n):
