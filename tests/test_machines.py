@@ -80,7 +80,7 @@ def test_orders_have_an_end():
 
     orders = []
     fold([bar(i, 100, 101, 99, 100) for i in range(6)], Settings(), Pending().decide, None, orders)
-    assert [o[-1] for o in orders] == ["expired", "expired", "active_at_end"]
+    assert [o[4] for o in orders] == ["expired", "expired", "active_at_end"]
 
 
 def test_bounds():

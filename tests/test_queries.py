@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from tidemill.plans import machines, more  # noqa: F401  register their queries
+from tidemill.plans import machines, more, setups  # noqa: F401  register their queries
 from tidemill.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"

@@ -36,11 +36,18 @@ def log_audit(log: DataFrame, keys: list[str], ordinal: str, step: int, ts: str
     return backs.join(gaps, keys).withColumn("duplicates", F.col("n_rows") - F.col("n_ts"))
 
 
-def gap_class(missing: Column, start: Column, closed_weekdays: list[int] = [5, 6]) -> Column:
-    """NONE, SESSION (it begins on a day the market is closed), SHORT, LONG or OUTAGE."""
-    return (
-        F.when(missing <= 0, "NONE").when(F.weekday(start).isin(closed_weekdays), "SESSION").when(missing <= 4, "SHORT").when(missing <= 96, "LONG").otherwise("OUTAGE")
-    )
+def gap_class(before: Column, after: Column, step: int = 900, covered_from: Column | None = None, covered_to: Column | None = None, session: Column | None = None) -> Column:
+    """What kind of gap lies between two neighbouring bars: NOT_A_GAP up to one step, SESSION_GAP at a session's border,
+    REPLAY_DATA_GAP where the replay's quotes cover it, MISSING_DATA_GAP where they do not cover all of it, else
+    MARKET_GAP (also where a neighbour is missing, or without coverage)."""
+    found = F.when(before.isNull() | after.isNull(), "MARKET_GAP").when(seconds(after) - seconds(before) <= step, "NOT_A_GAP")
+    if session is not None:
+        found = found.when(session, "SESSION_GAP")
+    if covered_from is not None and covered_to is not None:
+        known = covered_from.isNotNull() & covered_to.isNotNull()
+        inside = (before >= covered_from) & (after <= covered_to)
+        found = found.when(known & inside, "REPLAY_DATA_GAP").when(known, "MISSING_DATA_GAP")
+    return found.otherwise("MARKET_GAP")
 
 
 def warmup_bars(fast_bars: int, hours: int, step: int = 900) -> int:
@@ -65,7 +72,11 @@ def finished(bars: DataFrame, now: Column, step: int = 900, ts: str = "ts") -> D
     return bars.filter(F.col(ts) + F.make_dt_interval(secs=F.lit(step)) <= now)
 
 
-def freshness(last: Column, now: Column, step: int = 900) -> Column:
-    """LIVE, DELAYED or STALE by the age of the last finished bar."""
-    age = seconds(now) - seconds(last)
-    return F.when(last.isNull(), "NO DATA").when(age <= 2 * step, "LIVE").when(age <= 8 * step, "DELAYED").otherwise("STALE")
+def freshness(last: Column, now: Column, live: Column | None = None, server: Column | None = None) -> Column:
+    """How current a feed is. A stored one goes by its last bar (30 minutes), a live one by its server's clock (20
+    seconds): ``live`` says which, ``server`` is the clock."""
+    live, server = F.lit(False) if live is None else live, F.lit(None).cast("timestamp") if server is None else server
+    age = seconds(now) - seconds(server)
+    stored = F.when(seconds(now) - seconds(last) <= 1800, "HISTORICAL SNAPSHOT").otherwise("HISTORICAL \u00b7 STALE")
+    current = F.when(server.isNull(), "LIVE CLOCK UNAVAILABLE").when(age.between(0, 20), "LIVE").otherwise("STALE LIVE FEED")
+    return F.when(last.isNull(), F.when(live, "NOT CONNECTED").otherwise("NO DATA")).when(live, current).otherwise(stored)

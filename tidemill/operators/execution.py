@@ -9,10 +9,16 @@ then the exit of an open position, on the entry bar too; then the bar's own sign
 cancels a pending order and ends an open position's series (groups are continuous segments, so it cannot occur inside).
 If one bar touches stop and target, the stop counts first. An open beyond the stop fills at the open; an open beyond the
 target fills at the target.
+
+A signal is known when its bar has closed: its time is the bar's open time and one step. A pending trigger must lie beyond
+that close. Sizes come from a risk budget, which is also what results are measured in (``r``): a gap or a capped size
+changes the result, not the budget. A ``spread`` column makes bars bids: buying (LONG entries, SHORT exits) goes by the
+ask, the bid and the bar's spread; signals always go by the bid.
 """
 
 from __future__ import annotations
 
+from collections import namedtuple
 from dataclasses import dataclass
 
 import pandas as pd
@@ -22,7 +28,9 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Settings:
-    """Money management and costs, in percent of balance or price."""
+    """Money management and costs, in percent of balance or price. ``price_distance`` sizes by the distance from entry to
+    stop alone; otherwise slippage and commissions at the stop count too. Actions outside the window of ``trade_start``
+    (included) and ``trade_end`` (not) are ignored."""
 
     initial: float = 10_000.0
     risk_percent: float = 1.0
@@ -32,29 +40,57 @@ class Settings:
     slippage_percent: float = 0.0
     leverage: float | None = None
     stop_first: bool = True
+    price_distance: bool = False
+    min_quantity: float = 0.0
+    step: int = 900
+    trade_start: object = None
+    trade_end: object = None
+
+    def __post_init__(self):
+        if not (self.initial > 0 and self.reward > 0 and self.risk_percent > 0 and (self.risk_amount is None or self.risk_amount > 0)):
+            raise ValueError("balance, risk and reward must be positive")
+        if not (0 <= self.commission_percent < 100 and 0 <= self.slippage_percent < 100 and self.min_quantity >= 0 and (self.leverage is None or self.leverage > 0)):
+            raise ValueError("costs must be from 0 to 100 percent, leverage positive, and the least quantity not negative")
 
 
 TRADE = (
     "trade_id long, direction string, signal_ts timestamp_ntz, entry_ts timestamp_ntz, entry double, stop double, target double, quantity double, "
-    "exit_ts timestamp_ntz, exit double, reason string, ambiguous boolean, bars_held long, pnl double, r double, balance double"
+    "exit_ts timestamp_ntz, exit double, reason string, ambiguous boolean, bars_held long, pnl double, r double, balance double, "
+    "risk double, estimated_loss double, capped boolean, entry_cost double, exit_cost double, return_percent double, gap_entry boolean, entry_gap double"
 )
 
 
+class Refused(ValueError):
+    """An order that cannot be opened."""
+
+
 def slipped(price: float, buying: bool, s: Settings) -> float:
     return price * (1 + s.slippage_percent / 100 if buying else 1 - s.slippage_percent / 100)
 
 
-def size(balance: float, entry: float, stop: float, long: bool, s: Settings) -> float:
-    """Quantity by the risk budget: the loss at the slipped stop, with the commission of both sides."""
-    out = slipped(stop, not long, s)
-    loss = abs(entry - out) + s.commission_percent / 100 * (entry + out)
+def sized(balance: float, entry: float, stop: float, long: bool, s: Settings) -> dict:
+    """Quantity, risk budget and estimated loss at the stop, for a slipped entry."""
+    sign = 1 if long else -1
+    distance = sign * (entry - stop)
+    if not (entry > 0 and stop > 0 and distance > 0):
+        raise Refused("the stop is not beyond the entry")
     budget = s.risk_amount if s.risk_amount is not None else balance * s.risk_percent / 100
-    quantity = budget / loss if loss > 0 else 0.0
-    return min(quantity, balance * s.leverage / entry) if s.leverage else quantity
+    out = slipped(stop, not long, s)
+    loss = sign * (entry - out) + s.commission_percent / 100 * (entry + out)
+    if budget <= 0 or loss <= 0:
+        raise Refused("no risk budget")
+    quantity = budget / (distance if s.price_distance else loss)
+    most = balance * s.leverage / entry if s.leverage else quantity
+    if most <= 0:
+        raise Refused("no exposure is left")
+    capped, quantity = quantity > most, min(quantity, most)
+    if quantity < s.min_quantity:
+        raise Refused("below the least quantity")
+    return {"quantity": quantity, "risk": budget, "loss": quantity * loss, "capped": capped}
 
 
 def exit_of(bar, position: dict, s: Settings, opened_inside: bool):
-    """(price, reason, ambiguous) where a bar ends a position, else None."""
+    """(price, reason, ambiguous) where a bar, as its side of the quote, ends a position, else None."""
     long, stop, target = position["long"], position["stop"], position["target"]
     sign = 1 if long else -1
     adverse, favourable = (bar.low, bar.high) if long else (bar.high, bar.low)
@@ -77,116 +113,149 @@ def by_columns(bar, slot: str, balance: float):
         return None
     trigger = None if bar.trigger is None or bar.trigger != bar.trigger else bar.trigger
     expiry = 1 if bar.expiry is None or bar.expiry != bar.expiry else int(bar.expiry)
-    return bar.direction, bar.stop, trigger, expiry
-
-
-def fold(bars, s: Settings, decide=by_columns, closed=None, orders: list | None = None) -> list[tuple]:
+    target = getattr(bar, "target", None)
+    return bar.direction, bar.stop, trigger, expiry, None if target != target else target
+
+
+Quote = namedtuple("Quote", "open high low close")
+
+
+def quote(bar, buying: bool) -> Quote:
+    """The bar's bid, or its ask where one buys."""
+    more = (getattr(bar, "spread", 0.0) or 0.0) if buying else 0.0
+    if not more >= 0:
+        raise ValueError("spreads must not be negative")
+    return Quote(bar.open + more, bar.high + more, bar.low + more, bar.close + more)
+
+
+def opened(order: dict, base: float, ts, s: Settings) -> dict:
+    """The position of an order that fills at ``base``, before slippage. A pending order keeps its size."""
+    long, sign = order["long"], 1 if order["long"] else -1
+    entry = slipped(base, long, s)
+    money = order if "quantity" in order else sized(order["balance"], entry, order["stop"], long, s)
+    distance = sign * (entry - order["stop"])
+    if distance <= 0:
+        raise Refused("the stop is not beyond the fill")
+    target = order.get("target")
+    target = entry + sign * s.reward * distance if target is None else target
+    if not (target > 0 and sign * (target - entry) > 0):
+        raise Refused("the target is not beyond the entry")
+    return order | money | {"entry": entry, "target": target, "entry_ts": ts, "held": 1, "cost": entry * money["quantity"] * s.commission_percent / 100}
+
+
+def closing(position: dict, ts, found: tuple, number: int, balance: float, s: Settings) -> tuple:
+    """A trade, a row of ``TRADE``."""
+    price, reason, ambiguous = found
+    long, sign, quantity = position["long"], 1 if position["long"] else -1, position["quantity"]
+    out = slipped(price, not long, s)
+    cost = out * quantity * s.commission_percent / 100
+    pnl = sign * (out - position["entry"]) * quantity - position["cost"] - cost
+    return (
+        number, "LONG" if long else "SHORT", position["signal_ts"], position["entry_ts"], position["entry"], position["stop"], position["target"],
+        quantity, ts, out, reason, ambiguous, position["held"], pnl, pnl / position["risk"], balance + pnl,
+        position["risk"], position["loss"], position["capped"], position["cost"], cost, pnl / (position["entry"] * quantity) * 100,
+        position.get("gap", 0.0) > 0, position.get("gap", 0.0),
+    )
+
+
+def fold(bars, s: Settings, decide=by_columns, closed=None, orders: list | None = None, still_open: list | None = None) -> list[tuple]:
     """Trades of one ordered series of bars.
 
     ``decide(bar, slot, balance)`` gives an order, "CANCEL" or None after each bar; ``slot`` is FREE, PENDING or POSITION, and
-    orders count only in a free slot. ``closed(bar, pnl, balance)`` hears of each closed trade. ``orders`` gets a row for
-    each order that ends: (signal time, end time, direction, trigger, status)."""
+    orders count only in a free slot. An order is (direction, stop, trigger or None, bars to expiry) and, for market
+    orders, maybe a target. ``closed(bar, pnl, balance)`` hears of each closed trade. ``orders`` gets a row for each order
+    that ends: (signal time, end time, direction, trigger, status, stop, reason, fill price); ``still_open`` the position
+    that the series leaves: (direction, signal time, entry time, entry, stop, target, quantity, balance)."""
     balance, position, pending, market, trades, last = s.initial, None, None, None, [], None
 
-    def ended(order: dict, ts, status: str) -> None:
+    def ended(order: dict, ts, status: str, reason: str | None = None, price: float | None = None) -> None:
         if orders is not None:
-            orders.append((order["signal_ts"], ts, "LONG" if order["long"] else "SHORT", order.get("trigger"), status))
+            orders.append((order["signal_ts"], ts, "LONG" if order["long"] else "SHORT", order.get("trigger"), status, order["stop"], reason, price))
 
     for bar in bars:
         inside, last = False, bar
-        if market is not None:
-            long = market["long"]
-            entry = slipped(bar.open, long, s)
-            sign = 1 if long else -1
-            distance = sign * (entry - market["stop"])
-            quantity = size(balance, entry, market["stop"], long, s) if distance > 0 else 0.0
-            ended(market, bar.ts, "triggered" if quantity > 0 else "rejected")
-            if quantity > 0:
-                position = market | {"entry": entry, "target": entry + sign * s.reward * distance, "quantity": quantity, "entry_ts": bar.ts, "held": 0}
-            market = None
-        elif pending is not None:
-            long = pending["long"]
-            touched = bar.high >= pending["trigger"] if long else bar.low <= pending["trigger"]
-            pending["left"] -= 1
+        if position is not None:
+            position["held"] += 1
+        order, market = market or pending, None
+        if order is not None:
+            side, long, trigger = quote(bar, order["long"]), order["long"], order.get("trigger")
+            touched = trigger is None or (side.high >= trigger if long else side.low <= trigger)
+            order["left"] -= 1
             if touched:
-                base = max(pending["trigger"], bar.open) if long else min(pending["trigger"], bar.open)
-                entry, sign = slipped(base, long, s), 1 if long else -1
-                distance = sign * (entry - pending["stop"])
-                ended(pending, bar.ts, "triggered" if distance > 0 else "rejected")
-                if distance > 0:
-                    position = pending | {"entry": entry, "target": entry + sign * s.reward * distance, "entry_ts": bar.ts, "held": 0}
-                    inside = base == pending["trigger"] and bar.open != base
+                base = side.open if trigger is None else max(trigger, side.open) if long else min(trigger, side.open)
+                gap = 0.0 if trigger is None else abs(base - trigger)
                 pending = None
-            elif pending["left"] <= 0:
-                ended(pending, bar.ts, "expired")
+                try:
+                    position = opened(order, base, bar.ts, s) | {"gap": gap}
+                    inside = trigger is not None and not gap and side.open != trigger
+                    ended(order, bar.ts, "triggered", None, position["entry"])
+                except Refused as e:
+                    ended(order, bar.ts, "rejected", str(e))
+            elif order["left"] <= 0:
+                ended(order, bar.ts, "expired", "not triggered by the end of its last bar")
                 pending = None
-        if position is not None:
-            found = exit_of(bar, position, s, inside)
-            if found:
-                price, reason, ambiguous = found
-                long, sign = position["long"], 1 if position["long"] else -1
-                out = slipped(price, not long, s)
-                gross = sign * (out - position["entry"]) * position["quantity"]
-                pnl = gross - s.commission_percent / 100 * (out + position["entry"]) * position["quantity"]
-                risk = abs(position["entry"] - position["stop"]) * position["quantity"]
-                balance += pnl
-                trades.append((
-                    len(trades) + 1, "LONG" if long else "SHORT", position["signal_ts"], position["entry_ts"], position["entry"], position["stop"], position["target"],
-                    position["quantity"], bar.ts, out, reason, ambiguous, position["held"], pnl, pnl / risk if risk else None, balance,
-                ))
-                position = None
-                if closed:
-                    closed(bar, pnl, balance)
-            else:
-                position["held"] += 1
+        if position is not None and (found := exit_of(quote(bar, not position["long"]), position, s, inside)):
+            trades.append(closing(position, bar.ts, found, len(trades) + 1, balance, s))
+            pnl, balance, position = trades[-1][13], trades[-1][15], None
+            if closed:
+                closed(bar, pnl, balance)
         slot = "POSITION" if position else "PENDING" if pending else "FREE"
         order = decide(bar, slot, balance)
+        if (s.trade_start is not None and bar.ts < s.trade_start) or (s.trade_end is not None and bar.ts >= s.trade_end):
+            continue
         if order == "CANCEL":
             if pending:
-                ended(pending, bar.ts, "cancelled")
+                ended(pending, bar.ts, "cancelled", "by its maker")
                 pending = None
         elif order and slot == "FREE":
-            direction, stop, trigger, expiry = order
-            made = {"long": direction == "LONG", "stop": stop, "signal_ts": bar.ts}
+            direction, stop, trigger, expiry, *target = order
+            made = {"long": direction == "LONG", "stop": stop, "signal_ts": bar.ts, "left": expiry or 1, "balance": balance}
             if trigger is None:
-                market = made
-            elif (trigger - stop) * (1 if made["long"] else -1) > 0:
-                quantity = size(balance, slipped(trigger, made["long"], s), stop, made["long"], s)
-                pending = made | {"trigger": trigger, "quantity": quantity, "left": expiry}
+                market = made | {"target": target[0] if target else None}
+                continue
+            made["trigger"] = trigger
+            try:
+                if (trigger - bar.close) * (1 if made["long"] else -1) <= 0:
+                    raise Refused("the trigger is not beyond the close")
+                pending = made | sized(balance, slipped(trigger, made["long"], s), stop, made["long"], s)
+            except Refused as e:
+                ended(made, bar.ts, "rejected", str(e))
     if pending is not None:
-        ended(pending, last.ts, "active_at_end")
+        ended(pending, last.ts, "active_at_end", "the data ended before")
+    if position is not None and still_open is not None:
+        still_open.append(("LONG" if position["long"] else "SHORT", *(position[k] for k in ("signal_ts", "entry_ts", "entry", "stop", "target", "quantity")), balance))
     return trades
 
 
-ORDER = "signal_ts timestamp_ntz, end_ts timestamp_ntz, direction string, trigger double, status string"
+ORDER = "signal_ts timestamp_ntz, end_ts timestamp_ntz, direction string, trigger double, status string, stop double, reason string, fill_price double"
+OPEN = "direction string, signal_ts timestamp_ntz, entry_ts timestamp_ntz, entry double, stop double, target double, quantity double, balance double"
 
 
 def simulate(bars: DataFrame, keys: list[str], settings: Settings = Settings(), machine=None, output: str = "trades") -> DataFrame:
-    """Trades (or ``output="orders"``: ended orders) of every series; ``keys`` name series, segment and configuration.
-
-    Without a machine, ``bars`` has ts, open, high, low, close, direction, stop, trigger and expiry. ``machine`` is a
-    function of no arguments that makes a new decision maker for each group: an object with ``decide`` and ``closed``, which
-    sees all columns of ``bars``."""
-    wanted = bars.columns if machine else [*keys, "ts", "open", "high", "low", "close", "direction", "stop", "trigger", "expiry"]
-    numbers = ("open", "high", "low", "close", "stop", "trigger", "expiry")
+    """Trades (or ``output="orders"``: ended orders, ``"open"``: positions left open) of every series; ``keys`` name series,
+    segment and configuration.
+
+    Without a machine, ``bars`` has ts, open, high, low, close, direction, stop, trigger and expiry, and maybe spread.
+    ``machine`` is a function of no arguments that makes a new decision maker for each group: an object with ``decide``
+    and ``closed``, which sees all columns of ``bars``."""
+    own = [*keys, "ts", "open", "high", "low", "close", "direction", "stop", "trigger", "expiry"]
+    wanted = bars.columns if machine else [*own, *[c for c in ("spread", "target") if c in bars.columns and c not in keys]]
+    numbers = {"open", "high", "low", "close", "stop", "trigger", "expiry", "spread", "target"} - set(keys)
     kept = bars.select(*[F.col(c).cast("double").alias(c) if c in numbers else F.col(c) for c in wanted])
     fields = ", ".join(f"{k} {kept.schema[k].dataType.simpleString()}" for k in keys)
-    schema = TRADE if output == "trades" else ORDER
+    schema = {"trades": TRADE, "orders": ORDER, "open": OPEN}[output]
     names = [*keys, *[x.strip().split()[0] for x in schema.split(",")]]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values("ts", kind="stable").itertuples(index=False)
-        maker, orders = machine() if machine else None, []
-        trades = fold(rows, settings, maker.decide if maker else by_columns, maker.closed if maker else None, orders)
-        return pd.DataFrame([(*key, *t) for t in (trades if output == "trades" else orders)], columns=names)
+        maker, orders, left = machine() if machine else None, [], []
+        trades = fold(rows, settings, maker.decide if maker else by_columns, maker.closed if maker else None, orders, left)
+        return pd.DataFrame([(*key, *t) for t in {"trades": trades, "orders": orders, "open": left}[output]], columns=names)
 
-    return kept.groupBy(*keys).applyInPandas(run, f"{fields}, {schema}")
+    found = kept.groupBy(*keys).applyInPandas(run, f"{fields}, {schema}")
+    return found.withColumn("signal_ts", F.col("signal_ts") + F.make_dt_interval(secs=F.lit(settings.step)))
 
 
 def spread_grid(bars: DataFrame, spreads: list[float]) -> DataFrame:
-    """Bars for each of a few spreads: a LONG trade's entry is on the ask (the bid plus the spread), a SHORT one's on
-    the bid, so triggers and stops move by the spread instead of the bars."""
-    grid = F.explode(F.array(*map(F.lit, spreads)))
-    rows = bars.withColumn("spread", grid)
-    buy = F.col("direction") == "LONG"
-    return rows.withColumns({"trigger": F.when(buy, F.col("trigger") - F.col("spread")).otherwise(F.col("trigger")), "stop": F.when(buy, F.col("stop")).otherwise(F.col("stop") - F.col("spread"))})
+    """Bars for each of a few spreads (column ``spread``), to be simulated as bids, with keys that hold ``spread``."""
+    return bars.withColumn("spread", F.explode(F.array(*[F.lit(float(x)) for x in spreads])))

@@ -73,9 +73,9 @@ def with_indicators(
 ) -> DataFrame:
     """Adds ema_fast, ema_slow, atr, rsi, plus_di, minus_di and adx to bars of series without gaps (``keys`` include
     the segment). Null while an indicator is not seeded."""
-    kept = bars.select(*keys, "ts", "open", "high", "low", "close", "volume")
+    kept = bars.drop("ema_fast", "ema_slow", "atr", "rsi", "plus_di", "minus_di", "adx")
     names = ["ema_fast", "ema_slow", "atr", "rsi", "plus_di", "minus_di", "adx"]
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts", kind="stable")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tidemill.operators.segments import seconds
 
 
-def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], value: str, ts: str = "ts", chunk: int = 86_400) -> DataFrame:
-    """Adds the value of the last right row at or before each left row. Ordered windows cover one chunk of time each;
+def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], value: str, ts: str = "ts", chunk: int = 86_400, within: int | None = None) -> DataFrame:
+    """Adds the value of the last right row at or before each left row, and (with ``within``) fewer seconds away; null
+    where there is none. Ordered windows cover one chunk of time each;
     the last right row of earlier chunks is carried by a table with a row for each chunk."""
     piece = F.floor(seconds(ts) / chunk)
     names = left.columns
@@ -22,6 +23,8 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], value: str
     chunks = chunks.select(*keys, "_p", F.max("_max").over(before).alias("_carry"))
     inside = Window.partitionBy(*keys, "_p").orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
     joined = both.join(chunks, [*keys, "_p"]).withColumn("_found", F.coalesce(F.last("_v", ignorenulls=True).over(inside), F.col("_carry")))
+    if within is not None:
+        joined = joined.withColumn("_found", F.when(seconds(ts) - seconds(f"_found.{ts}") < within, F.col("_found")))
     return joined.filter("_side = 1").select(*names, F.col(f"_found.{ts}").alias(f"asof_{ts}"), F.col(f"_found.{value}").alias(f"asof_{value}"))
 
 

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.candles import div
 
+#: Trades of a list that is resampled: 16 MB, sent to every task.
+MOST_RESULTS = 2_000_000
+
 
 def grid(spark: SparkSession, values: dict[str, list[float]]) -> DataFrame:
     """All combinations of a few parameter values, with an id made of them."""
@@ -39,9 +42,12 @@ def select_candidate(candidates: DataFrame, groups: list[str], order: list) -> D
 
 
 def folds(spark: SparkSession, start: str, end: str, train_months: int, test_months: int, anchored: bool = False) -> DataFrame:
-    """Walk-forward folds: half-open train and test ranges that step by the test length and end by ``end``."""
+    """Walk-forward folds: half-open train and test ranges that step by the test length and end by ``end`` (dates). The
+    table has a row for each ``test_months`` of the range."""
+    (y0, m0), (y1, m1) = (map(int, str(x).split("-")[:2]) for x in (start, end))
+    most = max(0, ((y1 - y0) * 12 + m1 - m0) // test_months + 1)
     first, last = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
-    many = spark.range(600).select(F.col("id").alias("fold"))
+    many = spark.range(most).select(F.col("id").alias("fold"))
     shift = F.make_ym_interval(F.lit(0), (F.col("fold") * test_months).cast("int"))
     begin = first if anchored else first + shift
     split = first + shift + F.make_ym_interval(F.lit(0), F.lit(train_months))
@@ -64,7 +70,9 @@ def leakage(rows: DataFrame, ts: str = "ts") -> DataFrame:
 def bootstrap(spark: SparkSession, results: list[float], paths: int, block: int = 1, seed: int = 7, permute: bool = False, ruin: float = 0.5, fraction: float = 0.01) -> DataFrame:
     """Metrics of resampled result paths: permutations, independent draws (block 1) or moving blocks. Paths are dealt to
     tasks; each has a random stream of its own, so results do not depend on how they are dealt. ``results`` is one
-    bounded trade list."""
+    whole trade list of at most ``MOST_RESULTS`` trades; more raise an error."""
+    if len(results) > MOST_RESULTS:
+        raise ValueError(f"{len(results)} results: more than {MOST_RESULTS}")
     own = np.asarray(results, float)
     n = len(own)
 
@@ -83,11 +91,8 @@ def bootstrap(spark: SparkSession, results: list[float], paths: int, block: int
                 curve = np.concatenate([[0.0], path.cumsum()])
                 drop = float((np.maximum.accumulate(curve) - curve).max())
                 equity = np.maximum(0, 1 + fraction * path).cumprod()
-                lost = path < 0
-                run_length, longest = 0, 0
-                for x in lost.tolist():
-                    run_length = run_length + 1 if x else 0
-                    longest = max(longest, run_length)
+                breaks = np.flatnonzero(np.concatenate([[True], path >= 0, [True]]))
+                longest = int(np.diff(breaks).max()) - 1
                 rows.append((sim, float(curve[-1]), drop, longest, bool((equity <= 1 - ruin).any())))
             yield pd.DataFrame(rows, columns=["sim", "terminal_r", "max_drawdown_r", "losing_streak", "ruined"])
 

@@ -14,7 +14,7 @@ from tidemill.operators import metrics as M
 from tidemill.operators import replay as P
 from tidemill.operators import reports as D
 from tidemill.operators import segments as S
-from tidemill.plans.queries import EQUITY, FEEDS, KEY, SEG, STATS, TRADES, W1, _rounded, bars, bars_sql, feeds, positions, query, r6, seg_sql, series, table, ticks, trades
+from tidemill.plans.queries import EQUITY, FEEDS, KEY, SEG, STATS, TRADES, W1, _rounded, bars, bars_sql, feeds, month_range, positions, query, r6, seg_sql, series, table, ticks, trades
 
 
 @query(f"""WITH {bars_sql()}, n AS (SELECT symbol, ts, count(*) AS n FROM b GROUP BY 1, 2), q AS (SELECT symbol, CAST(sum(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS BIGINT) AS repeated_ts FROM n GROUP BY 1)
@@ -34,11 +34,15 @@ def log_audit(spark, d):
 
 
 @query(f"""WITH {seg_sql('15 minutes', 900)}, n AS (SELECT *, lead(segment_start) OVER (PARTITION BY symbol ORDER BY segment_start) AS nx FROM seg),
-g AS (SELECT symbol, segment_end + interval '15 minutes' AS gap_start, CAST((epoch(nx) - epoch(segment_end)) / 900 - 1 AS BIGINT) AS missing FROM n WHERE nx IS NOT NULL)
-SELECT symbol, CASE WHEN missing <= 0 THEN 'NONE' WHEN isodow(gap_start) >= 6 THEN 'SESSION' WHEN missing <= 4 THEN 'SHORT' WHEN missing <= 96 THEN 'LONG' ELSE 'OUTAGE' END AS kind, count(*) AS n FROM g GROUP BY 1, 2""")
+g AS (SELECT symbol, segment_end, nx, segment_end + interval '15 minutes' AS gap_start FROM n WHERE nx IS NOT NULL)
+SELECT symbol, CASE WHEN isodow(gap_start) = 7 AND isodow(nx) = 1 THEN 'SESSION_GAP' WHEN segment_end >= TIMESTAMP '2024-01-10' AND nx <= TIMESTAMP '2024-01-20' THEN 'REPLAY_DATA_GAP' ELSE 'MISSING_DATA_GAP' END AS kind, count(*) AS n FROM g GROUP BY 1, 2""")
 def gap_classes(spark, d):
+    step = F.expr("interval 15 minutes")
     gaps = S.missing_gaps(S.segments(bars(spark, d), KEY), KEY)
-    return gaps.groupBy("symbol", A.gap_class(F.col("missing"), F.col("gap_start")).alias("kind")).agg(F.count("*").alias("n"))
+    before, after = F.col("gap_start") - step, F.col("gap_start") + F.make_dt_interval(secs=F.col("missing") * 900)
+    session = (F.weekday("gap_start") == 6) & (F.weekday(after) == 0)
+    kind = A.gap_class(before, after, 900, F.lit("2024-01-10").cast("timestamp_ntz"), F.lit("2024-01-20").cast("timestamp_ntz"), session)
+    return gaps.groupBy("symbol", kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {seg_sql()} SELECT *, CASE WHEN candles > 12 AND candles - 12 >= 6 THEN segment_start + interval '12 hours' END AS trade_start,
@@ -178,9 +182,11 @@ def move_scaling(spark, d):
     return D.move_scaling(bars(spark, d, 3600), KEY, [1, 2, 4, 8], 3600).select(F.round("exponent", 5).alias("exponent"), F.round("intercept", 5).alias("intercept"))
 
 
-@query(f"""WITH {TRADES}, w AS (SELECT range AS k, TIMESTAMP '1995-01-01' + to_months(CAST(range AS INTEGER)) AS a, TIMESTAMP '1995-01-01' + to_months(CAST(range + 3 AS INTEGER)) AS z FROM range(24)) SELECT a AS window_start, count(*) AS n, round(sum(r), 4) AS total_r FROM t JOIN w ON ts >= a AND ts < z GROUP BY 1""")
+@query(f"""WITH {TRADES}, m AS (SELECT date_trunc('month', min(ts)) AS m0, date_diff('month', min(ts), max(ts)) + 1 AS k FROM t), w AS (SELECT m0 + to_months(CAST(i AS INTEGER)) AS a, m0 + to_months(CAST(i + 3 AS INTEGER)) AS z FROM (SELECT m0, unnest(range(k)) AS i FROM m)) SELECT a AS window_start, count(*) AS n, round(sum(r), 4) AS total_r FROM t JOIN w ON ts >= a AND ts < z GROUP BY 1""")
 def rolling_calendar(spark, d):
-    return D.rolling_months(trades(spark, d), "1995-01-01", 24, 3).withColumn("total_r", F.round("total_r", 4))
+    start, end = month_range(trades(spark, d))
+    months = (end.year - start.year) * 12 + end.month - start.month
+    return D.rolling_months(trades(spark, d), str(start), months, 3).withColumn("total_r", F.round("total_r", 4))
 
 
 @query("""WITH s AS (SELECT event_type AS symbol, list_sort(list(abs(value - 50))) AS v FROM events GROUP BY 1) SELECT symbol, len(v) AS n, round(v[CAST(round_even(0.95 * (len(v) - 1), 0) AS INTEGER) + 1], 6) AS p95, round(v[len(v)], 6) AS worst FROM s""")

@@ -63,6 +63,12 @@ def trades(spark, d) -> DataFrame:
     )
 
 
+def month_range(rows: DataFrame, ts: str = "ts"):
+    """First day of a table's first month, and of the month after its last."""
+    found = rows.agg(F.date_trunc("month", F.min(ts)).cast("date").alias("a"), F.add_months(F.date_trunc("month", F.max(ts)).cast("date"), 1).alias("b")).first()
+    return found["a"], found["b"]
+
+
 def r6(*names: str) -> dict:
     return {n: F.round(n, 6) for n in names}
 
@@ -384,8 +390,7 @@ def rsi(spark, d):
 def prepared_bars(spark, d, width: int = 3600) -> DataFrame:
     rows = R.previous_extremes(R.previous_extremes(series(spark, d, width), SEG, 5), SEG, 8)
     found = I.with_indicators(rows, SEG, fast=5, slow=12, atr=7, strength=7, adx=7)
-    extremes = rows.select(*SEG, "ts", "prev_high_5", "prev_low_5", "prev_high_8", "prev_low_8")
-    return found.join(extremes, [*SEG, "ts"])
+    return found
 
 
 @query()
@@ -398,18 +403,14 @@ def regime_classify(spark, d):
     return prepared_bars(spark, d).withColumn("regime", G.regime()).groupBy("symbol", "regime").agg(F.count("*").alias("bars"))
 
 
-def _signals(rows: DataFrame, name: str) -> DataFrame:
-    return rows.filter("direction is not null").select(*SEG, "ts", F.lit(name).alias("setup"), "direction", "trigger", "stop", "expiry")
-
-
 @query()
 def signals_all(spark, d):
-    rows = prepared_bars(spark, d)
-    found = [_signals(G.ema_cross(rows, SEG, 12), "cross"), _signals(G.breakout(rows, SEG, adx=10.0, body=0.3), "breakout"), _signals(G.sweep(rows, body=0.1, most=2.0), "sweep"), _signals(G.overshoot(rows, adx=40.0, near=0.2), "overshoot")]
-    first = found[0]
-    for f in found[1:]:
-        first = first.unionByName(f)
-    return first
+    rows, parts = prepared_bars(spark, d), ("direction", "trigger", "stop", "expiry")
+    makers = {"cross": lambda x: G.ema_cross(x, SEG, 12), "breakout": lambda x: G.breakout(x, SEG, adx=10.0, body=0.3), "sweep": lambda x: G.sweep(x, body=0.1, most=2.0), "overshoot": lambda x: G.overshoot(x, adx=40.0, near=0.2)}
+    for name, make in makers.items():  # one build of the bars: each signal is a column, and then a row
+        rows = make(rows).withColumn(f"_{name}", F.struct(F.lit(name).alias("setup"), *parts)).drop(*parts)
+    found = rows.select(*SEG, "ts", F.explode(F.array(*[f"_{name}" for name in makers])).alias("_s"))
+    return found.select(*SEG, "ts", "_s.*").filter("direction is not null")
 
 
 # --- candle functions
@@ -575,18 +576,22 @@ def select_candidate(spark, d):
     return V.select_candidate(rows, ["fold"], [F.desc_nulls_last("score"), "direction", "symbol"]).withColumn("score", F.round("score", 4))
 
 
-@query(f"""WITH {TRADES}, f AS (SELECT range AS fold, TIMESTAMP '1995-01-01' + to_months(CAST(range * 3 AS INTEGER)) AS train_start, TIMESTAMP '1995-01-01' + to_months(CAST(range * 3 + 6 AS INTEGER)) AS train_end, TIMESTAMP '1995-01-01' + to_months(CAST(range * 3 + 9 AS INTEGER)) AS test_end FROM range(600)),
-x AS (SELECT f.fold, CASE WHEN ts < train_end THEN 'train' ELSE 'test' END AS role, r FROM t JOIN f ON ts >= train_start AND ts < test_end WHERE test_end <= TIMESTAMP '1997-01-01')
+@query(f"""WITH {TRADES}, m AS (SELECT date_trunc('month', min(ts)) AS m0, date_trunc('month', max(ts)) + INTERVAL 1 MONTH AS m1 FROM t),
+f AS (SELECT range AS fold, m0 + to_months(CAST(range * 3 AS INTEGER)) AS train_start, m0 + to_months(CAST(range * 3 + 6 AS INTEGER)) AS train_end, m0 + to_months(CAST(range * 3 + 9 AS INTEGER)) AS test_end, m1 FROM range(1000), m),
+x AS (SELECT f.fold, CASE WHEN ts < train_end THEN 'train' ELSE 'test' END AS role, r FROM t JOIN f ON ts >= train_start AND ts < test_end WHERE test_end <= m1)
 SELECT fold, role, count(*) AS n, round(sum(r), 4) AS total_r FROM x GROUP BY 1, 2""")
 def walk_forward_folds(spark, d):
-    rows = V.by_fold(trades(spark, d), V.folds(spark, "1995-01-01", "1997-01-01", 6, 3))
+    start, end = month_range(trades(spark, d))
+    rows = V.by_fold(trades(spark, d), V.folds(spark, str(start), str(end), 6, 3))
     return rows.groupBy("fold", "role").agg(F.count("*").alias("n"), F.round(F.sum("r"), 4).alias("total_r"))
 
 
 @query()
 def bootstrap_paths(spark, d):
-    best = trades(spark, d).orderBy("trade_id").select("r").limit(500)  # the resampled trade list is a bounded parameter
-    results = [x["r"] for x in best.collect()]
+    rows = trades(spark, d)
+    if (n := rows.count()) > V.MOST_RESULTS:
+        raise ValueError(f"{n} trades: more than {V.MOST_RESULTS}")
+    results = rows.orderBy("ts", "trade_id").select("r").toPandas()["r"].tolist()
     return V.bootstrap(spark, results, 2000, block=4)
 
 
