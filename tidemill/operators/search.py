@@ -90,10 +90,11 @@ def bootstrap(spark: SparkSession, results: list[float], paths: int, block: int
                     path = own[(starts[:, None] + np.arange(block)).ravel()[:n]]
                 curve = np.concatenate([[0.0], path.cumsum()])
                 drop = float((np.maximum.accumulate(curve) - curve).max())
-                equity = np.maximum(0, 1 + fraction * path).cumprod()
+                with np.errstate(divide="ignore"):
+                    equity = np.log(np.maximum(0, 1 + fraction * path)).cumsum()
                 breaks = np.flatnonzero(np.concatenate([[True], path >= 0, [True]]))
                 longest = int(np.diff(breaks).max()) - 1
-                rows.append((sim, float(curve[-1]), drop, longest, bool((equity <= 1 - ruin).any())))
+                rows.append((sim, float(curve[-1]), drop, longest, bool((equity <= np.log(1 - ruin)).any())))
             yield pd.DataFrame(rows, columns=["sim", "terminal_r", "max_drawdown_r", "losing_streak", "ruined"])
 
     schema = "sim long, terminal_r double, max_drawdown_r double, losing_streak long, ruined boolean"

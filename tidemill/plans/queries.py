@@ -603,12 +603,12 @@ def backtest_next_open(spark, d):
 
 @query()
 def backtest_pending(spark, d):
-    rows = G.sweep(prepared_bars(spark, d), body=0.1, most=2.0)
+    rows = G.breakout(prepared_bars(spark, d), SEG, adx=10.0, body=0.1)
     return X.simulate(rows, SEG, X.Settings(commission_percent=0.05))
 
 
 @query()
 def backtest_spread_grid(spark, d):
-    rows = X.spread_grid(G.sweep(prepared_bars(spark, d), body=0.1, most=2.0), [0.0, 0.05, 0.1])
+    rows = X.spread_grid(G.breakout(prepared_bars(spark, d), SEG, adx=10.0, body=0.1), [0.0, 0.05, 0.1])
     found = X.simulate(rows, [*SEG, "spread"])
     return M.trade_stats(found, ["spread"], r="r")
