@@ -86,11 +86,13 @@ def classes(text: str) -> np.ndarray:
     return ((codes ^ (codes >> 7)) % 255 + 1).astype(np.uint8)
 
 
-def leavings(known: bytes) -> np.ndarray:
-    """The step at which the pointer has left each character of a text, given as classes."""
-    skips, found, at, period = bits().skips, [], 0, 0
+def leavings(known: bytes, done: np.ndarray = np.empty(0, np.int64)) -> np.ndarray:
+    """The step at which the pointer has left each character of a text, given as classes; ``done`` are the steps of its
+    first characters, where they are known."""
+    skips, found, at = bits().skips, [done], len(done)
+    period, t = divmod(int(done[-1]), PERIOD) if at else (0, 0)
     while at < len(known):
-        t, left = 0, []
+        left = []
         part = known[at : at + PERIOD]
         try:
             for c in part.translate(bits().turned(period)) if period else part:
@@ -99,29 +101,31 @@ def leavings(known: bytes) -> np.ndarray:
         except IndexError:  # the period has ended
             pass
         found.append(np.array(left, np.int64) + period * PERIOD)
-        at, period = at + len(left), period + 1
+        at, period, t = at + len(left), period + 1, 0
     return np.concatenate(found)
 
 
-def fingerprints(texts: list[str]) -> list[str]:
-    """Fingerprints of a batch of texts: hexadecimal, two digits for each place up to the last one in the text."""
+def walked(text: str, done: np.ndarray = np.empty(0, np.int64)) -> tuple[str, np.ndarray]:
+    """A text's fingerprint (hexadecimal, two digits for each place up to the last one in the text) and its leavings."""
     at, _, step = places()
-    span, found = np.arange(SPAN), []
-    for text in texts:
-        known = classes(text)
-        if not len(known):
-            found.append("")
-            continue
-        asked = step[: np.searchsorted(at, len(known))]
-        symbols = np.append(known, np.uint8(0)).astype(np.uint32)
-        # Under the pointer at each step of a place: the character after those already left.
-        seen = symbols[np.searchsorted(leavings(known.tobytes()), asked[:, None] + span, side="right")]
-        value = np.zeros(len(asked), np.uint32)
-        for i in range(SPAN):
-            value = value * np.uint32(0x01000193) + seen[:, i]
-        hashed = np.where(value > 0, ((value * np.uint32(0x9E3779B1)) >> np.uint32(24)) % 255 + 1, 0)
-        found.append(hashed.astype(np.uint8).tobytes().rstrip(b"\0").hex())
-    return found
+    known = classes(text)
+    if not len(known):
+        return "", np.empty(0, np.int64)
+    left = leavings(known.tobytes(), done)
+    asked = step[: np.searchsorted(at, len(known))]
+    symbols = np.append(known, np.uint8(0)).astype(np.uint32)
+    # Under the pointer at each step of a place: the character after those already left.
+    seen = symbols[np.searchsorted(left, asked[:, None] + np.arange(SPAN), side="right")]
+    value = np.zeros(len(asked), np.uint32)
+    for i in range(SPAN):
+        value = value * np.uint32(0x01000193) + seen[:, i]
+    hashed = np.where(value > 0, ((value * np.uint32(0x9E3779B1)) >> np.uint32(24)) % 255 + 1, 0)
+    return hashed.astype(np.uint8).tobytes().rstrip(b"\0").hex(), left
+
+
+def fingerprints(texts: list[str]) -> list[str]:
+    """Fingerprints of a batch of texts."""
+    return [walked(x)[0] for x in texts]
 
 
 @functools.lru_cache(maxsize=1)
@@ -179,11 +183,13 @@ def fingerprint_chain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     next document's. Texts are shuffled once."""
 
     def run(batches):
-        held = None  # (id, text, fingerprint, part) of a document whose next one is still to come
+        # (id, text, fingerprint, part, leavings of the half that the edited text keeps) of a document whose next one is
+        # still to come
+        held = None
         for ids, texts, parts, extra in pieces(batches):
-            prints = fingerprints(texts)
+            walks = [(x, left[: len(text) - len(text) // 2].copy()) for text in texts for x, left in [walked(text)]]
             chain = [] if held is None else [held]
-            chain += zip(ids, texts, prints, parts, strict=True)
+            chain += [(i, x, w[0], p, w[1]) for i, x, w, p in zip(ids, texts, walks, parts, strict=True)]
             ends = [] if held is None else [False]
             ends += extra
             rows, changed = [], []
@@ -201,7 +207,7 @@ def fingerprint_chain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             at, size = 0, 0
             for i, text in enumerate(kept[1]):
                 size += len(text) + 200
-                if size > 6_000_000 or i + 1 == len(kept[1]):
+                if size > 3_000_000 or i + 1 == len(kept[1]):
                     yield [x[at : i + 1] for x in kept]
                     at, size = i + 1, 0
 
@@ -210,7 +216,7 @@ def fingerprint_chain(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
         if not rows:
             return
-        prints = fingerprints(changed)
+        prints = [walked(text, a[4])[0] for (a, _), text in zip(rows, changed, strict=True)]
         found = [
             (a[0], len(a[1]), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), a[2], p, likeness(a[2], p), likeness(a[2], b[2]))
             for (a, b), text, p in zip(rows, changed, prints, strict=True)
@@ -258,21 +264,21 @@ def near_duplicates(prints: DataFrame, id_col: str = "doc_id", print_col: str =
     never become rows; equal fingerprints are one node with its number of copies. Empty fingerprints are linked with
     their equals only. Null fingerprints link with nothing. An empty table gives no rows. The columns of ``keep`` stay."""
     own = prints.select(F.col(id_col).cast("long").alias("doc_id"), F.col(print_col).alias("print"), *keep)
-    own = own.withColumn("node", F.when(F.col("print").isNotNull(), F.xxhash64("print")))
+    own = own.withColumns({"node": F.when(F.col("print").isNotNull(), F.xxhash64("print")), "print": F.unhex("print")})
     nodes = own.filter("node is not null").groupBy("node").agg(F.first("print").alias("print"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     nodes = written(nodes, "prints")
     at = F.sequence(F.lit(0), F.lit(PLACES // BAND - 1))
-    bands = F.transform(at, lambda i: F.substring("print", i * 2 * BAND + 1, 2 * BAND))
+    bands = F.transform(at, lambda i: F.substring("print", i * BAND + 1, F.lit(BAND)))
     low = lowest(threshold)
-    first = F.element_at(F.array(*map(F.lit, low.tolist())), (F.length("print") / 2).cast("int") + 1)
-    dealt = nodes.select("node", first.alias("low"), F.posexplode(bands).alias("band", "value")).filter("value != '' and band >= low")
+    first = F.element_at(F.array(*map(F.lit, low.tolist())), F.octet_length("print") + 1)
+    dealt = nodes.select("node", first.alias("low"), F.posexplode(bands).alias("band", "value")).filter("octet_length(value) > 0 and band >= low")
     dealt = written(dealt.select("node", "band", F.xxhash64("band", "value").alias("bucket")), "print-bands")
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = dealt.join(sizes, "bucket")
 
     def compare(batches):
         for rows in runs(batches, ["bucket", "first", "second"]):
-            raw = [bytes.fromhex(x) for x in rows["print"].to_pylist()]
+            raw = rows["print"].to_pylist()
             width = -(-max(map(len, raw)) // BAND) * BAND  # places beyond hold 0 in all of them
             x = np.frombuffer(b"".join(v.ljust(width, b"\0") for v in raw), np.uint8).reshape(-1, width)
             begins, ends = low[[len(v) for v in raw]], np.array([-(-len(v) // BAND) for v in raw])  # bands of each
