@@ -272,7 +272,7 @@ def near_duplicates(prints: DataFrame, id_col: str = "doc_id", print_col: str =
     low = lowest(threshold)
     first = F.element_at(F.array(*map(F.lit, low.tolist())), F.octet_length("print") + 1)
     dealt = nodes.select("node", first.alias("low"), F.posexplode(bands).alias("band", "value")).filter("octet_length(value) > 0 and band >= low")
-    dealt = written(dealt.select("node", "band", F.xxhash64("band", "value").alias("bucket")), "print-bands")
+    dealt = dealt.select("node", "band", F.xxhash64("band", "value").alias("bucket"))  # made twice rather than written
     sizes = dealt.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     members = dealt.join(sizes, "bucket")
 
