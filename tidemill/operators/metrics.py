@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.candles import div
+from tidemill.operators.carry import chunked, numbered, running, with_overlap
 
 EPS = 1e-9
 
@@ -43,10 +44,10 @@ def trade_stats(trades: DataFrame, keys: list[str], pnl: str = "pnl", r: str | N
 
 def with_equity(trades: DataFrame, keys: list[str], order: list[str], initial: float, pnl: str = "pnl") -> DataFrame:
     """Adds balance, peak, drawdown and drawdown percent on the curve of closed trades; the initial balance is its first
-    point."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = trades.withColumn("balance", F.lit(float(initial)) + F.sum(pnl).over(w))
-    rows = rows.withColumn("peak", F.greatest(F.lit(float(initial)), F.max("balance").over(w)))
+    point, and a null result counts as 0."""
+    rows = running(chunked(trades, keys, order), keys, order, sums={"_sum": F.col(pnl)}).withColumn("balance", F.lit(float(initial)) + F.col("_sum"))
+    rows = running(rows, keys, order, maxima={"_high": F.col("balance")}).withColumn("peak", F.greatest(F.lit(float(initial)), "_high"))
+    rows = rows.drop("_chunk", "_sum", "_high")
     return rows.withColumns({"drawdown": F.col("peak") - F.col("balance"), "drawdown_percent": div((F.col("peak") - F.col("balance")) * 100, F.col("peak"))})
 
 
@@ -59,11 +60,10 @@ def max_drawdown(trades: DataFrame, keys: list[str], order: list[str], initial:
 def streaks(trades: DataFrame, keys: list[str], order: list[str], pnl: str = "pnl", breakeven_resets: bool = True) -> DataFrame:
     """Longest runs of wins and of losses. A breakeven ends both runs, or (``breakeven_resets`` false) leaves the run
     of losses as it is."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     is_win, is_loss = F.coalesce(win(pnl), F.lit(False)), F.coalesce(loss(pnl), F.lit(False))
     ends_loss = ~is_loss if breakeven_resets else is_win
-    rows = trades.select(*keys, is_win.alias("_w"), is_loss.alias("_l"), F.sum((~is_win).cast("int")).over(upto).alias("_gw"), F.sum(ends_loss.cast("int")).over(upto).alias("_gl"))
+    rows = chunked(trades.select(*keys, *order, is_win.alias("_w"), is_loss.alias("_l"), ends_loss.alias("_e")), keys, order)
+    rows = running(rows, keys, order, sums={"_gw": (~F.col("_w")).cast("int"), "_gl": F.col("_e").cast("int")})
     wins = rows.groupBy(*keys, "_gw").agg(F.sum(F.col("_w").cast("long")).alias("_n")).groupBy(*keys).agg(F.max("_n").alias("max_wins"))
     losses = rows.groupBy(*keys, "_gl").agg(F.sum(F.col("_l").cast("long")).alias("_n")).groupBy(*keys).agg(F.max("_n").alias("max_losses"))
     return wins.join(losses, keys)
@@ -71,22 +71,21 @@ def streaks(trades: DataFrame, keys: list[str], order: list[str], pnl: str = "pn
 
 def worst_rolling(trades: DataFrame, keys: list[str], order: list[str], n: int, value: str = "r") -> DataFrame:
     """Smallest sum of ``n`` trades in a row."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(n - 1), 0)
-    rows = trades.withColumn("_s", F.when(F.count(value).over(w) == n, F.sum(value).over(w)))
-    return rows.groupBy(*keys).agg(F.min("_s").alias("worst_rolling"))
+    rows = with_overlap(numbered(trades.select(*keys, *order, value), keys, order, "_no"), "_no", n)
+    w = Window.partitionBy(*keys, "_block").orderBy("_no").rowsBetween(-(n - 1), 0)
+    rows = rows.withColumn("_s", F.when(F.count(value).over(w) == n, F.sum(value).over(w)))
+    return rows.groupBy(*keys).agg(F.min(F.when(F.col("_own"), F.col("_s"))).alias("worst_rolling"))
 
 
 def longest_recovery(trades: DataFrame, keys: list[str], order: list[str], value: str = "r") -> DataFrame:
     """Most trades from a peak of the running sum (0 before the first trade) until it is reached again; an
     unfinished recovery counts up to the last trade."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = trades.withColumns({"_c": F.sum(value).over(upto), "_n": F.row_number().over(w)})
-    before = F.greatest(F.lit(0.0), F.max("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("_under", F.col("_c") < before)
-    rows = rows.withColumn("_peak", F.coalesce(F.max(F.when(~F.col("_under"), F.col("_n"))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("_was", F.coalesce(F.lag("_under").over(w), F.lit(False)))
-    span = F.when(F.col("_under") | F.col("_was"), F.col("_n") - F.col("_peak")).otherwise(0)
+    rows = running(chunked(trades.select(*keys, *order, value), keys, order), keys, order, sums={"_c": F.col(value), "_n": F.lit(1)})
+    rows = running(rows, keys, order, maxima={"_high": F.col("_c")}, before=True)
+    rows = rows.withColumn("_under", F.col("_c") < F.greatest(F.lit(0.0), "_high"))
+    rows = running(rows, keys, order, maxima={"_peak": F.when(~F.col("_under"), F.col("_n"))}, before=True)
+    peak = F.coalesce("_peak", F.lit(0))
+    span = F.when(F.col("_under") | (peak < F.col("_n") - 1), F.col("_n") - peak).otherwise(0)
     return rows.withColumn("_span", span).groupBy(*keys).agg(F.max("_span").alias("longest_recovery"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.candles import div
+from tidemill.operators.carry import cumulative
 from tidemill.operators.metrics import loss, trade_stats, win, with_equity
 
 
@@ -30,11 +31,12 @@ def cost_grid(trades: DataFrame, spreads: list[float], keys: list[str]) -> DataF
     return trade_stats(rows, ["spread", *keys])
 
 
-def tail_loss(trades: DataFrame, keys: list[str], value: str, order: list[str], share: float = 0.05) -> DataFrame:
-    """Mean of the worst share (rounded up) of each group."""
-    w = Window.partitionBy(*keys)
-    rows = trades.withColumns({"_k": F.row_number().over(w.orderBy(value, *order)), "_n": F.count("*").over(w)})
-    return rows.filter(F.col("_k") <= F.ceil(F.col("_n") * share)).groupBy(*keys).agg(F.avg(value).alias("tail_mean"), F.count("*").alias("n"))
+def tail_loss(trades: DataFrame, keys: list[str], value: str, share: float = 0.05) -> DataFrame:
+    """Mean of the worst share (rounded up) of each group, from the ranks of its distinct values."""
+    most = F.ceil(F.col("total") * share)
+    taken = F.greatest(F.least(F.col("n"), most - F.col("below")), F.lit(0))
+    rows = cumulative(trades, keys, F.col(value)).withColumn("_taken", taken)
+    return rows.groupBy(*keys).agg(div(F.sum(F.when(F.col("_taken") > 0, F.col("value") * F.col("_taken"))), F.sum("_taken")).alias("tail_mean"), F.sum("_taken").alias("n"))
 
 
 def effect_sizes(trades: DataFrame, keys: list[str], features: list[str], pnl: str = "pnl") -> DataFrame:
@@ -75,8 +77,8 @@ def rolling_months(trades: DataFrame, start: str, windows: int, months: int) ->
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: Column, share: float = 0.95) -> DataFrame:
-    """Nearest-rank quantile (half ranks to even) and the largest value of each group, by ranks rather than lists."""
-    w = Window.partitionBy(*keys)
-    ranked = rows.select(*keys, value.alias("_v")).withColumns({"_k": F.row_number().over(w.orderBy("_v")) - 1, "_n": F.count("*").over(w)})
-    at = F.bround(F.lit(share) * (F.col("_n") - 1), 0)
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.max(F.when(F.col("_k") == at, F.col("_v"))).alias("p95"), F.max("_v").alias("worst"))
+    """Nearest-rank quantile (half ranks to even) and the largest value of each group, from the ranks of its distinct
+    values."""
+    at = F.bround(F.lit(share) * (F.col("total") - 1), 0)
+    here = (F.col("below") <= at) & (at < F.col("below") + F.col("n"))
+    return cumulative(rows, keys, value).groupBy(*keys).agg(F.max("total").alias("n"), F.max(F.when(here, F.col("value"))).alias("p95"), F.max("value").alias("worst"))

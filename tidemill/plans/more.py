@@ -163,7 +163,7 @@ def cost_sensitivity(spark, d):
 
 @query(f"""WITH {TRADES}, k AS (SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY r, trade_id) AS n, count(*) OVER (PARTITION BY symbol) AS m FROM t) SELECT symbol, round(avg(r), 6) AS tail_mean, count(*) AS n FROM k WHERE n <= ceil(m * 0.05) GROUP BY 1""")
 def tail_loss(spark, d):
-    return D.tail_loss(trades(spark, d), KEY, "r", ["trade_id"]).withColumns(r6("tail_mean"))
+    return D.tail_loss(trades(spark, d), KEY, "r").withColumns(r6("tail_mean"))
 
 
 @query(f"""WITH {TRADES}, f AS (SELECT symbol, CASE WHEN pnl > 1e-9 THEN price END AS w, CASE WHEN pnl < -1e-9 THEN price END AS l, price FROM t) SELECT symbol, 'price' AS feature, round(abs(quantile_cont(w, 0.5) - quantile_cont(l, 0.5)) / nullif(quantile_cont(price, 0.75) - quantile_cont(price, 0.25), 0), 6) AS effect FROM f GROUP BY 1""")
