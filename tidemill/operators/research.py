@@ -204,9 +204,15 @@ def signal_match(left: DataFrame, right: DataFrame, step: int = 900) -> DataFram
         rest_l = left.join(found.select(F.col("left_id").alias("id")), "id", "left_anti")
         rest_r = right.join(found.select(F.col("right_id").alias("id")), "id", "left_anti").withColumn("direction", side)
         found = found.union(greedy_match(rest_l, rest_r, ["direction"], step).select("left_id", "right_id", F.lit(label).alias("match")))
-    lone_l = left.join(found.select(F.col("left_id").alias("id")), "id", "left_anti").select(F.col("id").alias("left_id"), F.lit(None).cast("long").alias("right_id"), F.lit("LEFT_ONLY").alias("match"))
-    lone_r = right.join(found.select(F.col("right_id").alias("id")), "id", "left_anti").select(F.lit(None).cast("long").alias("left_id"), F.col("id").alias("right_id"), F.lit("RIGHT_ONLY").alias("match"))
-    return found.union(lone_l).union(lone_r)
+    ends = F.array(
+        F.struct(F.lit(0).alias("side"), F.col("left_id").alias("id"), F.col("right_id").alias("other"), F.col("match").alias("match")),
+        F.struct(F.lit(1).alias("side"), F.col("right_id").alias("id"), F.col("left_id").alias("other"), F.col("match").alias("match")),
+    )
+    both = left.select(F.lit(0).alias("side"), "id").union(right.select(F.lit(1).alias("side"), "id"))
+    rows = both.join(found.select(F.inline(ends)), ["side", "id"], "left").filter("side = 0 or match is null")
+    mine = F.col("side") == 0
+    alone = F.when(mine, "LEFT_ONLY").otherwise("RIGHT_ONLY")
+    return rows.select(F.when(mine, F.col("id")).alias("left_id"), F.when(mine, F.col("other")).otherwise(F.col("id")).alias("right_id"), F.coalesce("match", alone).alias("match"))
 
 
 def trade_match(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
