@@ -21,6 +21,11 @@ def grid(spark: SparkSession, values: dict[str, list[float]]) -> DataFrame:
     return rows.withColumn("candidate", F.concat_ws("|", *[F.concat(F.lit(f"{n}="), F.col(n).cast("string")) for n in values]))
 
 
+def random_grid(spark: SparkSession, values: dict[str, list[float]], count: int, seed: int) -> DataFrame:
+    """A repeatable random choice of ``count`` of the combinations (all, if there are fewer)."""
+    return grid(spark, values).orderBy(F.xxhash64(F.lit(seed), "candidate"), "candidate").limit(count)
+
+
 def neighbour_stability(candidates: DataFrame, params: list[str], steps: dict[str, float], score: str = "score", share: float = 0.8) -> DataFrame:
     """For each candidate of a regular grid: its neighbours (one step in one parameter), their mean score, and how many
     reach ``share`` of its own. Each candidate is dealt to its possible neighbours' places: a join by equality."""
@@ -67,10 +72,10 @@ def leakage(rows: DataFrame, ts: str = "ts") -> DataFrame:
     return found.withColumn("clean", F.col("last_train") < F.col("first_test"))
 
 
-def bootstrap(spark: SparkSession, results: list[float], paths: int, block: int = 1, seed: int = 7, permute: bool = False, ruin: float = 0.5, fraction: float = 0.01) -> DataFrame:
-    """Metrics of resampled result paths: permutations, independent draws (block 1) or moving blocks. Paths are dealt to
-    tasks; each has a random stream of its own, so results do not depend on how they are dealt. ``results`` is one
-    whole trade list of at most ``MOST_RESULTS`` trades; more raise an error."""
+def bootstrap(spark: SparkSession, results: list[float], paths: int, block: int = 1, seed: int = 7, permute: bool = False, ruin: float = 0.5, fraction: float = 0.01, circular: bool = False) -> DataFrame:
+    """Metrics of resampled result paths: permutations, independent draws (block 1) or moving blocks, which
+    wrap around the end if ``circular``. Paths are dealt to tasks; each has a random stream of its own, so results do not
+    depend on how they are dealt. ``results`` is one whole trade list of at most ``MOST_RESULTS`` trades; more raise an error."""
     if len(results) > MOST_RESULTS:
         raise ValueError(f"{len(results)} results: more than {MOST_RESULTS}")
     own = np.asarray(results, float)
@@ -86,8 +91,8 @@ def bootstrap(spark: SparkSession, results: list[float], paths: int, block: int
                 elif block <= 1:
                     path = own[rng.integers(0, n, n)]
                 else:
-                    starts = rng.integers(0, n - block + 1, -(-n // block))
-                    path = own[(starts[:, None] + np.arange(block)).ravel()[:n]]
+                    starts = rng.integers(0, n if circular else n - block + 1, -(-n // block))
+                    path = own[(starts[:, None] + np.arange(block)).ravel()[:n] % n]
                 curve = np.concatenate([[0.0], path.cumsum()])
                 drop = float((np.maximum.accumulate(curve) - curve).max())
                 with np.errstate(divide="ignore"):
