@@ -59,14 +59,15 @@ def test_isolated_candidate_gives_way(spark):
 
 def test_walk_forward(spark):
     """Of two with equal scores the one with the better neighbour is chosen (its own result comes later in the order) and judged
-    in test; a fold in which all lose has no selection."""
+    in test. In fold 1 training has losses, and the neighbour with the smaller drawdown gives the higher score. A fold in which
+    all lose has no selection."""
     days = [START + dt.timedelta(days=i) for i in range(0, 360, 3)]
     gain = lambda a, day: (1.0 if day < START + dt.timedelta(days=150) else -1.0) * (10.0 if a == 2 else 1.0)
     rows = [(f"{a}|1", float(a), 1.0, day, i, gain(a, day) + (i % 2) * 0.25, gain(a, day) / 10) for a in (1, 2) for i, day in enumerate(days)]
     trades = spark.createDataFrame(rows, "candidate string, a double, b double, ts timestamp_ntz, trade_id int, pnl double, r double")
     folds = V.folds(spark, "2020-01-01", "2020-12-01", 3, 2)
     found = W.walk_forward(trades, trades.select("candidate", "a", "b").distinct(), folds, {"a": (1, 2), "b": (1, 1)}, ["ts", "trade_id"]).orderBy("fold").collect()
-    assert [(r["fold"], r["status"], r["candidate"]) for r in found] == [(0, "SELECTED", "1|1"), (1, "SELECTED", "1|1"), (2, "NO_SELECTION", None), (3, "NO_SELECTION", None)]
+    assert [(r["fold"], r["status"], r["candidate"]) for r in found] == [(0, "SELECTED", "1|1"), (1, "SELECTED", "2|1"), (2, "NO_SELECTION", None), (3, "NO_SELECTION", None)]
     assert found[0]["total_trades"] == sum(d < dt.datetime(2020, 4, 1) for d in days)
     inside = [r for r in rows if r[0] == "1|1" and dt.datetime(2020, 4, 1) <= r[3] < dt.datetime(2020, 6, 1)]
     assert (found[0]["test_total_trades"], found[0]["test_pnl"]) == (len(inside), pytest.approx(sum(r[5] for r in inside)))
