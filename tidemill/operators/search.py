@@ -61,8 +61,11 @@ def folds(spark: SparkSession, start: str, end: str, train_months: int, test_mon
 
 
 def by_fold(rows: DataFrame, fold_table: DataFrame, ts: str = "ts") -> DataFrame:
-    """Rows with the folds (a small table) that they belong to, and their role there."""
-    joined = rows.join(F.broadcast(fold_table), (F.col(ts) >= F.col("train_start")) & (F.col(ts) < F.col("test_end")))
+    """Rows with the folds that they belong to, and their role there. Folds are dealt to the calendar months they touch and meet
+    rows there by equality; Spark broadcasts them if they are small."""
+    month = lambda c: F.year(c) * 12 + F.month(c)
+    dealt = fold_table.withColumn("_month", F.explode(F.sequence(month("train_start"), month("test_end"))))
+    joined = rows.withColumn("_month", month(ts)).join(dealt, "_month").filter((F.col(ts) >= F.col("train_start")) & (F.col(ts) < F.col("test_end"))).drop("_month")
     return joined.withColumn("role", F.when(F.col(ts) < F.col("train_end"), "train").otherwise("test"))
 
 
