@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from tidemill.llm import (
     byte_bpe,
+    decontamination,
     embeddings,
     fingerprints,
+    importance,
     language,
     ngram_join,
     packing,
@@ -26,7 +28,12 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_packing": packing.op10_packing,
+    "op11_decontamination": decontamination.op11_decontamination,
+    "op12_importance": importance.op12_importance,
 }
 
-#: None of these can be written in SQL: their tests use brute force, round trips or held-out accuracy.
-ORACLE_SQL: dict[str, str] = {}
+#: The others cannot be written in SQL: their tests use brute force, round trips or held-out accuracy.
+ORACLE_SQL: dict[str, str] = {
+    "op11_decontamination": decontamination.ORACLE_SQL,
+    "op12_importance": importance.ORACLE_SQL,
+}
