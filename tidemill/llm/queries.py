@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemill.llm import (
+    alignment,
     byte_bpe,
     decontamination,
     embeddings,
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
     "op11_decontamination": decontamination.op11_decontamination,
     "op12_importance": importance.op12_importance,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 #: The others cannot be written in SQL: their tests use brute force, round trips or held-out accuracy.
