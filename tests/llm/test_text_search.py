@@ -92,17 +92,22 @@ def test_affected_documents_go(spark, benchmark):
 def test_longest_matches_equal_brute_force(spark, benchmark, shard):
     docs, items = benchmark
     rows = {r["item_id"]: r for r in decontamination.longest_matches(table(spark, docs), spark.createDataFrame(items, "item_id string, text string"), window=3, shard=shard).collect()}
+    places = collections.defaultdict(list)
+    for d, t in docs:
+        own = words(t)
+        for j in range(len(own)):
+            for n in range(1, 10):
+                if j + n <= len(own):
+                    places[tuple(own[j : j + n])].append((str(d) if d is not None else None, j))
     best = {}
     for name, passage in items:
         sought = words(passage)
-        for i in range(len(sought)):
+        for i in range(len(sought) if name is not None else 0):
             for n in range(len(sought) - i, 0, -1):
                 if n < 3 and not (i == 0 and n == len(sought)):
                     break
-                run = sought[i : i + n]
-                where = [(str(d) if d is not None else None, j) for d, t in docs for j in range(len(words(t)) - n + 1) if words(t)[j : j + n] == run]
-                if where:
-                    if name is not None and (name not in best or (-n, i) < (-best[name][0], best[name][1])):
+                if where := places.get(tuple(sought[i : i + n])):
+                    if name not in best or (-n, i) < (-best[name][0], best[name][1]):
                         best[name] = (n, i, where)
                     break
     assert set(rows) == set(best)

@@ -24,7 +24,6 @@ import functools
 import hashlib
 import itertools
 import json
-import operator
 import os
 import re
 
@@ -40,7 +39,7 @@ from tidemill.llm.blocks import runs
 from tidemill.llm.common import parts_of, plain, table, written
 
 #: Bytes of text in a slice, and links that are looked at together.
-SLICE, LINKS = 16_000_000, 2_000_000
+SLICE, LINKS = 10_000_000, 2_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -119,8 +118,9 @@ class Pair:
         return first, second
 
     def align(self, segments: list[str]) -> pa.RecordBatch:
-        """A row for each segment: ids of both, groups, the links as 64-bit numbers (first id, second id), the groups as
-        text. A segment that a vocabulary does not give back has -1 groups and nothing else."""
+        """A row for each segment: its ids in both vocabularies, and its alignment as one byte for each link: 1 where the
+        first vocabulary's token ends with it, 2 where the second's does, 3 where both do (which ends a group). All
+        are null for a segment that a vocabulary does not give back."""
         first, second = self.ids(segments)
         raw = [x.encode() for x in segments]
         right = np.array([
@@ -134,21 +134,60 @@ class Pair:
         end = (np.fromiter(map(len, raw), np.int64, len(raw)) * right).cumsum()
         # both cover the same bytes, so between two ends of tokens there is one token of each
         every = np.union1d(a_end, b_end)
-        links = a[np.searchsorted(a_end, every)] << 32 | b[np.searchsorted(b_end, every)]
-        common = np.intersect1d(a_end, b_end, assume_unique=True)
-        a_to, b_to = (np.append(0, np.searchsorted(x, common, side="right")).tolist() for x in (a_end, b_end))
-        a_text, b_text = (list(map(str, x.tolist())) for x in (a, b))
-        groups = [
-            f"{','.join(a_text[p:q])}|{','.join(b_text[r:s])}" for p, q, r, s in zip(a_to, a_to[1:], b_to, b_to[1:], strict=False)
-        ]
-        g_at, l_at = (np.append(0, np.searchsorted(x, end, side="right")) for x in (common, every))
-        texts = [";".join(groups[p:q]) for p, q in zip(g_at.tolist(), g_at[1:].tolist(), strict=False)]
-        return pa.record_batch({
-            "n_a": pa.array(list(map(len, first)), pa.int32()), "n_b": pa.array(list(map(len, second)), pa.int32()),
-            "n_groups": pa.array(np.where(right, np.diff(g_at), -1), pa.int32()),
-            "links": pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer((8 * l_at).astype(np.int32)), pa.py_buffer(links)]),
-            "groups": pa.array([x.encode() for x in texts], pa.binary()),
-        })
+        ends = (x[np.searchsorted(x, every)] == every if len(x) else np.zeros(0, bool) for x in (a_end, b_end))
+        steps = (next(ends) * 1 + next(ends) * 2).astype(np.uint8)
+        counts = (np.append(0, np.cumsum(list(map(len, x)))).astype(np.int64) for x in (first, second))
+        at = np.append(0, np.searchsorted(every, end, side="right"))
+        held = [(a.astype(ID), next(counts)), (b.astype(ID), next(counts)), (steps, at)]
+        return pa.record_batch([_binary(x, borders, right) for x, borders in held], ["a", "b", "steps"])
+
+
+#: How ids are stored.
+ID = np.dtype("<u4")
+
+
+def _binary(items: np.ndarray, borders: np.ndarray, valid: np.ndarray) -> pa.Array:
+    """Runs of items as binary values, null where not valid."""
+    offsets = pa.py_buffer((borders * items.itemsize).astype(np.int32))
+    mask = pa.array(valid).buffers()[1]
+    return pa.Array.from_buffers(pa.binary(), len(valid), [mask, offsets, pa.py_buffer(np.ascontiguousarray(items))])
+
+
+def _flat(column: pa.ChunkedArray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The items of binary values in a row, and where each value's begin."""
+    held = pc.fill_null(column.combine_chunks().cast(pa.large_binary()), b"")
+    held = held.combine_chunks() if isinstance(held, pa.ChunkedArray) else held
+    at = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
+    data = np.frombuffer(held.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    return data.view(kind), (at - at[0]) // kind.itemsize
+
+
+class Segments:
+    """The alignments of a slice's segments, in order of their numbers."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.sort_by("no")
+        self.a, self.a_at = _flat(rows["a"], ID)
+        self.b, self.b_at = _flat(rows["b"], ID)
+        self.steps, self.at = _flat(rows["steps"], np.dtype(np.uint8))
+        self.bad = rows["steps"].is_null().to_numpy()
+        self.a_upto, self.b_upto = ((self.steps & k > 0).cumsum() for k in (1, 2))
+
+    def links(self) -> np.ndarray:
+        """Each link as a number: the first vocabulary's id, and the second's in the lower 32 bits."""
+        a, b = self.a_upto - (self.steps & 1), self.b_upto - (self.steps >> 1)
+        return self.a[a].astype(np.int64) << 32 | self.b[b]
+
+    def groups(self) -> tuple[pa.Array, np.ndarray]:
+        """Each segment's groups as text, and their number."""
+        ends = np.flatnonzero(self.steps == 3)
+        sides = []
+        for ids, upto in ((self.a, self.a_upto), (self.b, self.b_upto)):
+            borders = pa.array(np.append(0, upto[ends]), pa.int32())
+            sides.append(pc.binary_join(pa.ListArray.from_arrays(borders, pa.array(ids).cast(pa.string())), ","))
+        at = np.searchsorted(ends, self.at)
+        texts = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pc.binary_join_element_wise(*sides, "|"))
+        return pc.binary_join(texts, ";"), np.diff(at)
 
 
 @functools.lru_cache(maxsize=4)
@@ -215,7 +254,7 @@ def _batch(n: int, slice: int, no, seg, key, nos=None) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.full(n, slice), pa.int64()), held["no"], held["seg"], own, held["nos"]], ["slice", "no", "seg", "key", "nos"])
 
 
-ALIGNED = "slice long, no int, n_a int, n_b int, n_groups int, links binary, groups binary"
+ALIGNED = "slice long, no int, a binary, b binary, steps binary"
 
 
 def aligned(slices: DataFrame, first: str, second: str) -> DataFrame:
@@ -246,16 +285,8 @@ def by_slice(kinds: list[DataFrame]) -> DataFrame:
     return every.repartition("slice").sortWithinPartitions("slice", "kind")
 
 
-def of_kind(rows: pa.Table, kind: int, order: str | None = None) -> pa.Table:
-    found = rows.filter(pc.equal(rows["kind"], kind))
-    return found.sort_by(order) if order else found
-
-
-def links_of(segments: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The links of a slice's segments in a row, and where each segment's begin."""
-    held = segments["links"].to_pylist()
-    at = np.append(0, np.fromiter(map(len, held), np.int64, len(held)).cumsum()) // 8
-    return np.frombuffer(b"".join(held), np.int64), at
+def of_kind(rows: pa.Table, kind: int) -> pa.Table:
+    return rows.filter(pc.equal(rows["kind"], kind))
 
 
 def spread(at: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -269,14 +300,13 @@ PAIRS = "slice long, pair long, n long"
 
 def pair_counts(slices: DataFrame, alignments: DataFrame) -> DataFrame:
     """In how many documents of a slice each pair of ids is linked."""
-    rows = by_slice([alignments.select("slice", "no", "n_groups", "links"), slices.filter("nos is not null").select("slice", "nos")])
+    rows = by_slice([alignments, slices.filter("nos is not null").select("slice", "nos")])
 
     def count(batches):
         for held in runs(batches, ["slice"]):
-            segments = of_kind(held, 0, "no")
-            links, at = links_of(segments)
-            pairs, local = np.unique(links, return_inverse=True)
-            bad = segments["n_groups"].to_numpy() < 0
+            segments = Segments(of_kind(held, 0))
+            at, bad = segments.at, segments.bad
+            pairs, local = np.unique(segments.links(), return_inverse=True)
             n = np.zeros(len(pairs), np.int64)
             docs, some = [], 0
             for nos in map(lambda x: np.frombuffer(x, np.int32), of_kind(held, 1)["nos"].to_pylist()):
@@ -315,28 +345,26 @@ def composed(slices: DataFrame, alignments: DataFrame, counts: DataFrame) -> Dat
 
     def compose(batches):
         for held in runs(batches, ["slice"]):
-            segments, pairs = of_kind(held, 0, "no"), of_kind(held, 1, "pair")
-            links, at = links_of(segments)
+            segments, pairs = Segments(of_kind(held, 0)), of_kind(held, 1).sort_by("pair")
             code, n, best = (pairs[c].to_numpy() for c in ("pair", "n", "best"))
+            links = segments.links()
             place = np.searchsorted(code, links)
             there = np.append(code, -1)[place] == links  # pairs that only documents without tokens hold have no count
             place = np.where(there, place, len(code))
             sums = [np.append(0, np.append(x, 0)[place].cumsum()) for x in (best.astype(np.int64), n)]
-            figures = np.stack([
-                *(segments[c].to_numpy().astype(np.int64) for c in ("n_a", "n_b", "n_groups")), np.diff(at), *(np.diff(x[at]) for x in sums),
-            ], axis=1)
-            groups = segments["groups"].to_pylist()
-            bad = figures[:, 2] < 0
-            for part in of_kind(held, 2).to_batches():
-                found, digests = np.zeros((len(part), len(names)), np.int64), []
-                for i, raw in enumerate(part.column("nos").to_pylist()):
-                    nos = np.frombuffer(raw, np.int32)
-                    if not len(nos) or bad[nos].any():
-                        digests.append("")
-                        continue
-                    found[i] = figures[nos].sum(axis=0)
-                    text = operator.itemgetter(*nos.tolist())(groups) if len(nos) > 1 else (groups[nos[0]],)
-                    digests.append(hashlib.sha256(b";".join(text)).hexdigest())
+            texts, n_groups = segments.groups()
+            sizes = [np.diff(x) for x in (segments.a_at, segments.b_at)]
+            figures = np.stack([*sizes, n_groups, np.diff(segments.at), *(np.diff(x[segments.at]) for x in sums)], axis=1)
+            docs = of_kind(held, 2)
+            del held, links, place, there, sums, pairs
+            for part in docs.to_batches(max_chunksize=200):
+                nos, borders = _flat(pa.chunked_array([part.column("nos")]), np.dtype(np.int32))
+                size = np.diff(borders)
+                doc = np.repeat(np.arange(len(size)), size)
+                good = (size > 0) & (np.bincount(doc, segments.bad[nos], len(size)) == 0)
+                found = np.stack([np.add.reduceat(np.append(c[nos], 0), borders[:-1]) for c in figures.T], axis=1) * good[:, None]
+                joined = (pc.binary_join(pa.ListArray.from_arrays(pa.array([0, q - p], pa.int32()), texts.take(pa.array(nos[p:q]))), ";")[0] for p, q in zip(borders, borders[1:], strict=False))
+                digests = [hashlib.sha256(x.as_buffer()).hexdigest() if ok else "" for x, ok in zip(joined, good.tolist(), strict=True)]
                 yield pa.record_batch([part.column("key"), *map(pa.array, found.T.copy()), pa.array(digests, pa.string())], ["key", *names, "groups_sha256"])
 
     return rows.mapInArrow(compose, schema)
