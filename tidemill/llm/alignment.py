@@ -39,7 +39,7 @@ from tidemill.llm.blocks import runs
 from tidemill.llm.common import parts_of, plain, table, written
 
 #: Bytes of text in a slice, and links that are looked at together.
-SLICE, LINKS = 10_000_000, 2_000_000
+SLICE, LINKS = 16_000_000, 2_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -117,10 +117,10 @@ class Pair:
         second = [y if x[0] == " " and len(x) > 1 else [self.blank] if x == " " else y[1:] for x, y in zip(segments, second, strict=True)]
         return first, second
 
-    def align(self, segments: list[str]) -> pa.RecordBatch:
-        """A row for each segment: its ids in both vocabularies, and its alignment as one byte for each link: 1 where the
-        first vocabulary's token ends with it, 2 where the second's does, 3 where both do (which ends a group). All
-        are null for a segment that a vocabulary does not give back."""
+    def align(self, segments: list[str]) -> tuple[np.ndarray, ...]:
+        """For each segment the number of ids in the first vocabulary, all of these, the same of the second, and the same of
+        its alignment, a step for each link: 1 where the first vocabulary's token ends with it, 2 where the second's
+        does, 3 where both do (which ends a group). A segment that a vocabulary does not give back has none of them."""
         first, second = self.ids(segments)
         raw = [x.encode() for x in segments]
         right = np.array([
@@ -136,47 +136,49 @@ class Pair:
         every = np.union1d(a_end, b_end)
         ends = (x[np.searchsorted(x, every)] == every if len(x) else np.zeros(0, bool) for x in (a_end, b_end))
         steps = (next(ends) * 1 + next(ends) * 2).astype(np.uint8)
-        counts = (np.append(0, np.cumsum(list(map(len, x)))).astype(np.int64) for x in (first, second))
+        n = [np.fromiter(map(len, x), np.int64, len(raw)) for x in (first, second)]
         at = np.append(0, np.searchsorted(every, end, side="right"))
-        held = [(a.astype(ID), next(counts)), (b.astype(ID), next(counts)), (steps, at)]
-        return pa.record_batch([_binary(x, borders, right) for x, borders in held], ["a", "b", "steps"])
+        return n[0], a, n[1], b, np.diff(at), steps
 
 
-#: How ids are stored.
-ID = np.dtype("<u4")
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers below 2**32 in one compressed value: their lengths, then their bytes, all lowest bytes first."""
+    planes = b"".join(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in arrays)
+    return np.array(list(map(len, arrays)), "<u4").tobytes() + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _binary(items: np.ndarray, borders: np.ndarray, valid: np.ndarray) -> pa.Array:
-    """Runs of items as binary values, null where not valid."""
-    offsets = pa.py_buffer((borders * items.itemsize).astype(np.int32))
-    mask = pa.array(valid).buffers()[1]
-    return pa.Array.from_buffers(pa.binary(), len(valid), [mask, offsets, pa.py_buffer(np.ascontiguousarray(items))])
+def unpack(value: bytes, n: int) -> list[np.ndarray]:
+    """The ``n`` arrays of a packed value."""
+    sizes = np.frombuffer(value[: 4 * n], "<u4").tolist()
+    raw, at, found = np.frombuffer(pa.decompress(value[4 * n :], 4 * sum(sizes), codec="zstd"), np.uint8), 0, []
+    for size in sizes:
+        found.append(raw[at : at + 4 * size].reshape(4, size).T.copy().view("<u4").ravel())
+        at += 4 * size
+    return found
 
 
-def _flat(column: pa.ChunkedArray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """The items of binary values in a row, and where each value's begin."""
-    held = pc.fill_null(column.combine_chunks().cast(pa.large_binary()), b"")
-    held = held.combine_chunks() if isinstance(held, pa.ChunkedArray) else held
-    at = np.frombuffer(held.buffers()[1], np.int64)[held.offset : held.offset + len(held) + 1]
-    data = np.frombuffer(held.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
-    return data.view(kind), (at - at[0]) // kind.itemsize
+def gathered(items: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``n`` items from each start on, in a row."""
+    return items[np.arange(n.sum()) + np.repeat(start - (n.cumsum() - n), n)]
 
 
 class Segments:
     """The alignments of a slice's segments, in order of their numbers."""
 
     def __init__(self, rows: pa.Table):
-        rows = rows.sort_by("no")
-        self.a, self.a_at = _flat(rows["a"], ID)
-        self.b, self.b_at = _flat(rows["b"], ID)
-        self.steps, self.at = _flat(rows["steps"], np.dtype(np.uint8))
-        self.bad = rows["steps"].is_null().to_numpy()
+        parts = [unpack(x, 7) for x in rows["packed"].to_pylist()] or [[np.zeros(0, np.uint32)] * 7]
+        no, *columns = (np.concatenate(x).astype(np.int64) for x in zip(*parts, strict=True))
+        order = np.argsort(no)
+        (self.a, self.a_n), (self.b, self.b_n), (self.steps, n) = (
+            (gathered(items, (size.cumsum() - size)[order], size[order]), size[order]) for size, items in zip(columns[::2], columns[1::2], strict=True)
+        )
+        self.at, self.bad = np.append(0, n.cumsum()), n == 0
         self.a_upto, self.b_upto = ((self.steps & k > 0).cumsum() for k in (1, 2))
 
     def links(self) -> np.ndarray:
         """Each link as a number: the first vocabulary's id, and the second's in the lower 32 bits."""
         a, b = self.a_upto - (self.steps & 1), self.b_upto - (self.steps >> 1)
-        return self.a[a].astype(np.int64) << 32 | self.b[b]
+        return self.a[a] << 32 | self.b[b]
 
     def groups(self) -> tuple[pa.Array, np.ndarray]:
         """Each segment's groups as text, and their number."""
@@ -222,12 +224,13 @@ def numbered(pair: Pair, texts: list[str]) -> tuple[pa.Array, list[np.ndarray]]:
 
 
 def sliced(docs: DataFrame, first: str, second: str, id_col: str, text_col: str, most: int = SLICE) -> DataFrame:
-    """Documents by slice: rows (slice, no, seg) for each distinct segment of a slice and (slice, key, nos) for each
-    document, whose segments' numbers are 32-bit integers in a row. The other columns are null."""
+    """Documents by slice: rows (slice, no, seg) for each distinct segment of a slice, the frequent ones first, and (slice,
+    keys, packed) for some documents each, with how many segments they have, and the numbers of these. The other columns
+    are null."""
     rows = docs.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").alias("text"))
     schema = T.StructType([
         T.StructField("slice", T.LongType()), T.StructField("no", T.IntegerType()), T.StructField("seg", T.StringType()),
-        T.StructField("key", rows.schema["key"].dataType), T.StructField("nos", T.BinaryType()),
+        T.StructField("keys", T.ArrayType(rows.schema["key"].dataType)), T.StructField("packed", T.BinaryType()),
     ])
 
     def cut(batches):
@@ -237,47 +240,92 @@ def sliced(docs: DataFrame, first: str, second: str, id_col: str, text_col: str,
                 name = partition << 32 | n
                 n += 1
                 segments, nos = numbered(pair, texts)
-                key = part.column("key")
+                key, size = part.column("key"), np.array(list(map(len, nos)), np.int64)
+                every = np.concatenate(nos) if len(nos) else np.zeros(0, np.int32)
+                order = np.argsort(-np.bincount(every, minlength=len(segments)), kind="stable")
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                kind = pa.list_(key.type)
+                segments = segments.take(pa.array(order))
                 for at in range(0, len(segments), 50_000):
-                    some = segments.slice(at, 50_000)
-                    yield _batch(len(some), slice=name, no=pa.array(np.arange(at, at + len(some)), pa.int32()), seg=some.cast(pa.string()), key=key.type)
-                yield _batch(len(key), slice=name, no=None, seg=None, key=key, nos=pa.array([x.tobytes() for x in nos], pa.binary()))
+                    some = segments.slice(at, 50_000).cast(pa.string())
+                    yield _batch(name, kind, no=pa.array(np.arange(at, at + len(some)), pa.int32()), seg=some)
+                for lo, hi in _runs(size, 200_000):
+                    own = place[every[size[:lo].sum() : size[:hi].sum()]]
+                    keys = pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), key.slice(lo, hi - lo))
+                    yield _batch(name, kind, keys=keys.cast(kind), packed=pa.array([pack(size[lo:hi], own)], pa.binary()))
 
     return written(rows.mapInArrow(cut, schema), "slices")
 
 
-def _batch(n: int, slice: int, no, seg, key, nos=None) -> pa.RecordBatch:
-    kinds = {"no": pa.int32(), "seg": pa.string(), "nos": pa.binary()}
-    held = {"no": no, "seg": seg, "nos": nos}
-    held = {k: pa.nulls(n, kinds[k]) if v is None else v for k, v in held.items()}
-    own = pa.nulls(n, key) if isinstance(key, pa.DataType) else key
-    return pa.record_batch([pa.array(np.full(n, slice), pa.int64()), held["no"], held["seg"], own, held["nos"]], ["slice", "no", "seg", "key", "nos"])
+def _runs(size: np.ndarray, most: int):
+    """Runs of consecutive places whose sizes add up to about ``most``; yields (from, to)."""
+    at, ends = 0, size.cumsum()
+    while at < len(size):
+        upto = max(at + 1, int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), side="right")))
+        yield at, upto
+        at = upto
+
 
+def _batch(slice: int, kind: pa.DataType, **held: pa.Array) -> pa.RecordBatch:
+    kinds = {"no": pa.int32(), "seg": pa.string(), "keys": kind, "packed": pa.binary()}
+    n = len(next(iter(held.values())))
+    columns = {"slice": pa.array(np.full(n, slice), pa.int64())} | {k: held[k] if k in held else pa.nulls(n, t) for k, t in kinds.items()}
+    return pa.record_batch(list(columns.values()), list(columns))
 
-ALIGNED = "slice long, no int, a binary, b binary, steps binary"
+
+ALIGNED = "slice long, packed binary"
+#: Rows of segments that a task packs together.
+PACKED = 400_000
 
 
 def aligned(slices: DataFrame, first: str, second: str) -> DataFrame:
-    """The alignment of each slice's segments. All rows of a segment stand together, so it is aligned once."""
+    """The alignments of each slice's segments. All rows of a segment stand together, so it is aligned once; what came out for
+    one slice is packed into few rows."""
     rows = slices.filter("seg is not null").select("slice", "no", "seg").repartition("seg").sortWithinPartitions("seg")
 
     def align(batches):
-        pair, last = pair_of(first, second), None
+        pair, last, held, n = pair_of(first, second), None, [], 0
         for batch in batches:
             coded = batch.column("seg").dictionary_encode()
             words = coded.dictionary.to_pylist()
             if not words:
                 continue
-            known = last if last is not None and last[0] == words[0] else None  # a segment whose rows began before
+            known = last is not None and last[0] == words[0]  # a segment whose rows began before
             found = pair.align(words[1:] if known else words)
-            found = pa.Table.from_batches([known[1], found] if known else [found]).combine_chunks().to_batches()[0]
-            last = (words[-1], found.slice(len(words) - 1, 1))
-            found = found.take(coded.indices)
-            yield pa.record_batch([batch.column("slice"), batch.column("no"), *found.columns], ["slice", "no", *found.schema.names])
+            if known:
+                found = tuple(np.append(x, y) for x, y in zip(last[1], found, strict=True))
+            last = (words[-1], tuple(x[len(x) - (1 if i % 2 == 0 else int(found[i - 1][-1])) :] for i, x in enumerate(found)))
+            held.append((batch.column("slice").to_numpy(), batch.column("no").to_numpy(), coded.indices.to_numpy(), found))
+            n += len(batch)
+            if n >= PACKED:
+                yield from _packed(held)
+                held, n = [], 0
+        yield from _packed(held)
 
     return written(rows.mapInArrow(align, ALIGNED), "alignments")
 
 
+def _packed(held: list[tuple]):
+    """Rows of ``ALIGNED`` from batches of (slices, numbers, places of the alignments, alignments)."""
+    if not held:
+        return
+    slices, no = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+    lengths = [len(x[3][0]) for x in held]
+    place = np.concatenate([x[2] + before for x, before in zip(held, np.cumsum([0, *lengths[:-1]]), strict=True)])
+    columns = [np.concatenate([x[3][i] for x in held]) for i in range(6)]
+    starts = [columns[i].cumsum() - columns[i] for i in (0, 2, 4)]
+    order = np.argsort(slices, kind="stable")
+    names, begin = np.unique(slices[order], return_index=True)
+    for name, lo, hi in zip(names.tolist(), begin, [*begin[1:], len(order)], strict=True):
+        own = order[lo:hi]
+        parts = [no[own]]
+        for i, start in zip((0, 2, 4), starts, strict=True):
+            size = columns[i][place[own]]
+            parts += [size, gathered(columns[i + 1], start[place[own]], size)]
+        yield pa.record_batch([pa.array([name], pa.int64()), pa.array([pack(*parts)], pa.binary())], ["slice", "packed"])
+
+
 def by_slice(kinds: list[DataFrame]) -> DataFrame:
     """Rows of several kinds, those of a slice together, a kind after the other."""
     both = [df.withColumn("kind", F.lit(i)) for i, df in enumerate(kinds)]
@@ -289,18 +337,12 @@ def of_kind(rows: pa.Table, kind: int) -> pa.Table:
     return rows.filter(pc.equal(rows["kind"], kind))
 
 
-def spread(at: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """The places ``at[w]`` up to ``at[w + 1]`` for each w."""
-    n = at[which + 1] - at[which]
-    return np.arange(n.sum()) + np.repeat(at[which] - (n.cumsum() - n), n)
-
-
 PAIRS = "slice long, pair long, n long"
 
 
 def pair_counts(slices: DataFrame, alignments: DataFrame) -> DataFrame:
     """In how many documents of a slice each pair of ids is linked."""
-    rows = by_slice([alignments, slices.filter("nos is not null").select("slice", "nos")])
+    rows = by_slice([alignments, slices.filter("packed is not null").select("slice", "packed")])
 
     def count(batches):
         for held in runs(batches, ["slice"]):
@@ -308,16 +350,12 @@ def pair_counts(slices: DataFrame, alignments: DataFrame) -> DataFrame:
             at, bad = segments.at, segments.bad
             pairs, local = np.unique(segments.links(), return_inverse=True)
             n = np.zeros(len(pairs), np.int64)
-            docs, some = [], 0
-            for nos in map(lambda x: np.frombuffer(x, np.int32), of_kind(held, 1)["nos"].to_pylist()):
-                if not len(nos) or bad[nos].any():
-                    continue
-                docs.append(np.unique(nos))
-                some += int((at[docs[-1] + 1] - at[docs[-1]]).sum())
-                if some > LINKS:
-                    n += in_docs(docs, local, at, len(pairs))
-                    docs, some = [], 0
-            n += in_docs(docs, local, at, len(pairs))
+            for packed in of_kind(held, 1)["packed"].to_pylist():
+                size, nos = (x.astype(np.int64) for x in unpack(packed, 2))
+                ends = size.cumsum()
+                for lo, hi in _runs(size, LINKS // 4):
+                    own = nos[ends[lo] - size[lo] : ends[hi - 1]]
+                    n += in_docs(np.repeat(np.arange(hi - lo), size[lo:hi]), own, bad, local, at, len(pairs))
             kept = np.flatnonzero(n)
             name = held["slice"][0].as_py()
             yield pa.record_batch([pa.array(np.full(len(kept), name), pa.int64()), pa.array(pairs[kept]), pa.array(n[kept])], ["slice", "pair", "n"])
@@ -325,23 +363,24 @@ def pair_counts(slices: DataFrame, alignments: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(count, PAIRS), "pairs")
 
 
-def in_docs(docs: list[np.ndarray], local: np.ndarray, at: np.ndarray, n_pairs: int) -> np.ndarray:
-    """In how many documents, given by their distinct segments, each pair is linked."""
-    if not docs:
-        return np.zeros(n_pairs, np.int64)
-    segments = np.concatenate(docs)
-    doc = np.repeat(np.arange(len(docs)), list(map(len, docs)))
-    held = np.repeat(doc, at[segments + 1] - at[segments]) * n_pairs + local[spread(at, segments)]
+def in_docs(doc: np.ndarray, segments: np.ndarray, bad: np.ndarray, local: np.ndarray, at: np.ndarray, n_pairs: int) -> np.ndarray:
+    """In how many documents (without bad segments) each pair is linked, given rows of documents and their segments."""
+    keep = (np.bincount(doc, bad[segments]) == 0)[doc] if len(doc) else np.zeros(0, bool)
+    held = np.unique(doc[keep] * len(bad) + segments[keep])
+    doc, segments = held // max(1, len(bad)), held % max(1, len(bad))
+    n = at[segments + 1] - at[segments]
+    held = np.repeat(doc, n) * n_pairs + gathered(local, at[segments], n)
     held.sort()
-    return np.bincount(held[np.append(True, held[1:] != held[:-1])] % n_pairs, minlength=n_pairs)
+    return np.bincount(held[np.append(True, held[1:] != held[:-1])[: len(held)]] % max(1, n_pairs), minlength=n_pairs)
 
 
 def composed(slices: DataFrame, alignments: DataFrame, counts: DataFrame) -> DataFrame:
     """Each document's figures from its segments' alignments and the counts (slice, pair, n, best) of its slice's pairs."""
-    docs = slices.filter("nos is not null").select("slice", "key", "nos")
+    docs = slices.filter("packed is not null").select("slice", "keys", "packed")
     rows = by_slice([alignments, counts, docs])
+    key = T.StructField("key", docs.schema["keys"].dataType.elementType)
     names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    schema = T.StructType([docs.schema["key"], *[T.StructField(n, T.LongType()) for n in names], T.StructField("groups_sha256", T.StringType())])
+    schema = T.StructType([key, *[T.StructField(n, T.LongType()) for n in names], T.StructField("groups_sha256", T.StringType())])
 
     def compose(batches):
         for held in runs(batches, ["slice"]):
@@ -353,19 +392,18 @@ def composed(slices: DataFrame, alignments: DataFrame, counts: DataFrame) -> Dat
             place = np.where(there, place, len(code))
             sums = [np.append(0, np.append(x, 0)[place].cumsum()) for x in (best.astype(np.int64), n)]
             texts, n_groups = segments.groups()
-            sizes = [np.diff(x) for x in (segments.a_at, segments.b_at)]
-            figures = np.stack([*sizes, n_groups, np.diff(segments.at), *(np.diff(x[segments.at]) for x in sums)], axis=1)
+            figures = np.stack([segments.a_n, segments.b_n, n_groups, np.diff(segments.at), *(np.diff(x[segments.at]) for x in sums)], axis=1)
             docs = of_kind(held, 2)
             del held, links, place, there, sums, pairs
-            for part in docs.to_batches(max_chunksize=200):
-                nos, borders = _flat(pa.chunked_array([part.column("nos")]), np.dtype(np.int32))
-                size = np.diff(borders)
+            for key, packed in zip(docs["keys"].combine_chunks(), docs["packed"].to_pylist(), strict=True):
+                size, nos = (x.astype(np.int64) for x in unpack(packed, 2))
+                borders = np.append(0, size.cumsum())
                 doc = np.repeat(np.arange(len(size)), size)
                 good = (size > 0) & (np.bincount(doc, segments.bad[nos], len(size)) == 0)
                 found = np.stack([np.add.reduceat(np.append(c[nos], 0), borders[:-1]) for c in figures.T], axis=1) * good[:, None]
                 joined = (pc.binary_join(pa.ListArray.from_arrays(pa.array([0, q - p], pa.int32()), texts.take(pa.array(nos[p:q]))), ";")[0] for p, q in zip(borders, borders[1:], strict=False))
                 digests = [hashlib.sha256(x.as_buffer()).hexdigest() if ok else "" for x, ok in zip(joined, good.tolist(), strict=True)]
-                yield pa.record_batch([part.column("key"), *map(pa.array, found.T.copy()), pa.array(digests, pa.string())], ["key", *names, "groups_sha256"])
+                yield pa.record_batch([key.values, *map(pa.array, found.T.copy()), pa.array(digests, pa.string())], ["key", *names, "groups_sha256"])
 
     return rows.mapInArrow(compose, schema)
 
