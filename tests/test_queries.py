@@ -6,7 +6,7 @@ import os
 
 import pytest
 
-from tidemill.plans import machines, more, research, setups, walk  # noqa: F401  register their queries
+from tidemill.plans import machines, more, replay, research, setups, systems, walk  # noqa: F401  register their queries
 from tidemill.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"

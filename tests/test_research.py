@@ -100,3 +100,26 @@ def test_fill_quality(spark):
     found = {(x["fill"], x["side"]): (x["trades"], x["net"]) for x in Z.fill_quality(rows, bar, K.gap_fill(F.col("direction"), F.col("open"), F.col("trigger"))).collect()}
     assert found[("B+1", "Long")] == (1, 5.0) and found[("B+2", "All")] == (1, -1.0) and ("B+2", "Long") not in found
     assert found[("Gap-through-trigger", "All")] == (1, 5.0) and found[("Normal", "All")] == (2, 0.0)
+
+
+def test_greedy_match_equals_a_plain_walk(spark):
+    import datetime as dt
+    import random
+
+    from tidemill.operators.compare import greedy_match
+
+    rng, day = random.Random(8), dt.datetime(2024, 1, 1)
+    sides = [[(rng.choice("ab"), day + dt.timedelta(seconds=rng.choice([1, 30, 600]) * rng.randrange(60)), i) for i in range(150)] for _ in range(2)]
+    left, right = (spark.createDataFrame(rows, "k string, ts timestamp_ntz, id long") for rows in sides)
+    for tolerance in (0, 5, 40, 900):
+        want = []
+        for key in "ab":
+            free = sorted((t, i) for k, t, i in sides[1] if k == key)
+            for t, i in sorted((t, i) for k, t, i in sides[0] if k == key):
+                near = [(abs((t - u).total_seconds()), u, j) for u, j in free if abs((t - u).total_seconds()) <= tolerance]
+                if near:
+                    gap, u, j = min(near)
+                    free.remove((u, j))
+                    want.append((key, i, j, int(gap)))
+        assert sorted(map(tuple, greedy_match(left, right, ["k"], tolerance).collect())) == sorted(want)
+    assert greedy_match(left, right.filter("false"), ["k"], 5).count() == 0

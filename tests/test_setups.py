@@ -83,9 +83,9 @@ def test_pooled_results_fall_as_spreads_grow(spark):
     prices = spark.createDataFrame([(T0 + dt.timedelta(minutes=15 * i), *p) for i, p in enumerate([(100.0, 100.0, 100.0, 100.0), (100.0, 106.0, 99.0, 105.0), (105.0, 106.0, 90.0, 92.0)])], "ts timestamp_ntz, open double, high double, low double, close double")
     first = F.col("ts") == F.lit(T0).cast("timestamp_ntz")
     signals = rows.join(prices, "ts").withColumns({"direction": F.when(first, "LONG"), "stop": F.when(first, 95.0), "trigger": F.when(first, 105.5), "expiry": F.lit(3)})
-    found = X.simulate(X.spread_grid(signals, [0.0, 1.0, 2.0]), ["symbol", "segment_id", "spread"], X.Settings(risk_amount=100.0, reward=3.0)).orderBy("spread").collect()
+    found = X.simulate(X.spread_grid(signals, [0.0, 1.0, 2.0]), ["symbol", "segment_id", "spread"], 900, X.Settings(risk_amount=100.0, reward=3.0)).orderBy("spread").collect()
     assert [r["signal_ts"] for r in found] == [T0 + dt.timedelta(minutes=15)] * 3 and [r["entry"] for r in found] == [105.5] * 3
-    assert X.simulate(signals, ["symbol", "segment_id"], output="open").count() == 0
+    assert X.simulate(signals, ["symbol", "segment_id"], 900, output="open").count() == 0
 
 
 def test_gap_classes_and_freshness(spark):

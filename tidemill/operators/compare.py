@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_left
+from collections import deque
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemill.functions.candles import div
 from tidemill.operators.segments import seconds
@@ -51,7 +56,8 @@ def greedy_match(left: DataFrame, right: DataFrame, keys: list[str], tolerance:
     choose in order of time, each the nearest free right row (the earlier of equals).
 
     Rows farther apart than the tolerance cannot compete, so each key's time line falls into blocks at steps of more than the
-    tolerance, and blocks are matched apart."""
+    tolerance, and blocks are matched apart. A block is read once, in order of time, and about two tolerances of it are held;
+    blocks without a gap are one task each."""
     from tidemill.operators.segments import running_count, with_previous
 
     a = left.select(*keys, F.col(ts).alias("ts"), F.col(left_id).cast("long").alias("id"), F.lit(0).alias("side"))
@@ -60,23 +66,70 @@ def greedy_match(left: DataFrame, right: DataFrame, keys: list[str], tolerance:
     stamps = with_previous(both.select(*keys, "ts").distinct(), keys, "ts")
     cut = F.when(seconds("ts") - seconds("prev_ts") <= tolerance, 0).otherwise(1)
     blocks = running_count(stamps, cut, keys, "ts", "block").drop("prev_ts")
-    rows = both.join(blocks, [*keys, "ts"]).withColumn("at", seconds("ts"))
-    fields = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-
-    def match(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        mine = pdf[pdf["side"] == 0].sort_values(["at", "id"])
-        free = pdf[pdf["side"] == 1].sort_values(["at", "id"]).reset_index(drop=True)
-        used = [False] * len(free)
-        stamps, ids, out = free["at"].to_numpy(), free["id"].to_numpy(), []
-        for at, own in zip(mine["at"], mine["id"], strict=True):
-            near = [(abs(int(stamps[i]) - at), i) for i in range(*stamps.searchsorted([at - tolerance, at + tolerance + 1])) if not used[i]]
-            if near:
-                gap, i = min(near)
-                used[i] = True
-                out.append((*key[: len(keys)], own, int(ids[i]), gap))
-        return pd.DataFrame(out, columns=[*keys, "left_id", "right_id", "gap"])
-
-    return rows.groupBy(*keys, "block").applyInPandas(match, f"{fields}, left_id long, right_id long, gap long")
+    rows = both.join(blocks, [*keys, "ts"]).withColumn("at", seconds("ts")).withColumn("_k", F.struct(*keys, "block"))
+    dealt = rows.repartition(*keys, "block").sortWithinPartitions(*keys, "block", "at", "side", "id")
+    schema = T.StructType([*[rows.schema[k] for k in keys], *[T.StructField(n, T.LongType()) for n in ("left_id", "right_id", "gap")]])
+    arrow = to_arrow_schema(schema)
+
+    def match(batches):
+        block, free, found = None, Free(tolerance), []
+        for batch in batches:
+            held = [batch.column(n).to_pylist() for n in ("_k", "side", "at", "id")]
+            for key, side, at, own in zip(*held, strict=True):
+                if key != block:
+                    found += free.rest()
+                    block, free = key, Free(tolerance, tuple(key[k] for k in keys))
+                found += free.add(side, at, own)
+            if len(found) > 10_000:
+                yield _rows(found, arrow)
+                found = []
+        yield _rows(found + free.rest(), arrow)
+
+    return dealt.select("_k", "side", "at", "id").mapInArrow(match, schema)
+
+
+def _rows(found: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*found, strict=True)) or [[]] * len(arrow)
+    return pa.record_batch([pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+
+class Free:
+    """The free right rows around the left rows that still wait for later ones, of one block in order of time. Rows that are out of
+    every waiting row's reach are forgotten, so it holds two tolerances of time."""
+
+    def __init__(self, tolerance: int, key: tuple = ()):
+        self.tolerance, self.key = tolerance, key
+        self.at, self.ids, self.waiting = [], [], deque()
+
+    def add(self, side: int, at: int, own: int) -> list[tuple]:
+        """Takes the next row; gives the matches of left rows that nothing to come can reach."""
+        found = []
+        while self.waiting and at > self.waiting[0][0] + self.tolerance:
+            found += self._choose(*self.waiting.popleft())
+        if side == 0:
+            self.waiting.append((at, own))
+        else:
+            self.at.append(at)
+            self.ids.append(own)
+        return found
+
+    def rest(self) -> list[tuple]:
+        found = []
+        while self.waiting:
+            found += self._choose(*self.waiting.popleft())
+        return found
+
+    def _choose(self, at: int, own: int) -> list[tuple]:
+        gone = bisect_left(self.at, at - self.tolerance)  # left rows come in order of time
+        del self.at[:gone], self.ids[:gone]
+        i = bisect_left(self.at, at)
+        low = bisect_left(self.at, self.at[i - 1]) if i else None  # the earliest of equal times
+        high = i if i < len(self.at) and self.at[i] - at <= self.tolerance else None
+        if low is None and high is None:
+            return []
+        best = high if low is None or (high is not None and self.at[high] - at < at - self.at[low]) else low
+        gap = abs(self.at.pop(best) - at)
+        return [(*self.key, own, self.ids.pop(best), gap)]
 
 
 def trade_difference(spread: float = 0.0, tolerance: float = 1e-9) -> Column:

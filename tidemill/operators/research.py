@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.functions.candles import div
 from tidemill.operators.compare import greedy_match
 from tidemill.operators.metrics import loss, win
+from tidemill.operators.stored import stored
 
 
 def flag_sum(condition: Column) -> Column:
@@ -194,16 +195,19 @@ def signal_match(left: DataFrame, right: DataFrame, step: int = 900) -> DataFram
     """Pairs signals (``ts``, ``direction``, ``id``) of two feeds one to one: first those of equal time and direction, then
     the nearest of equal direction within a step, then the nearest of opposite direction; the rest is unmatched.
 
-    Each pass is a join by equality or a matching within short blocks of time, over what the pass before left."""
+    Each pass is a join by equality or a matching within short blocks of time, over what the pass before left. The signals
+    and each pass's pairs are stored, so that no pass runs again for those after it."""
+    left, right = stored(left), stored(right)
     turn = Window.partitionBy("ts", "direction").orderBy("id")  # copies at one time
     a, b = (x.withColumn("_turn", F.row_number().over(turn)) for x in (left, right))
     exact = a.select("ts", "direction", "_turn", F.col("id").alias("left_id")).join(b.select("ts", "direction", "_turn", F.col("id").alias("right_id")), ["ts", "direction", "_turn"])
-    found = exact.select("left_id", "right_id", F.lit("EXACT").alias("match"))
+    found = stored(exact.select("left_id", "right_id", F.lit("EXACT").alias("match")))
     other = F.when(F.col("direction") == "LONG", "SHORT").otherwise("LONG")
     for label, side in (("NEAR", F.col("direction")), ("OPPOSITE", other)):
         rest_l = left.join(found.select(F.col("left_id").alias("id")), "id", "left_anti")
         rest_r = right.join(found.select(F.col("right_id").alias("id")), "id", "left_anti").withColumn("direction", side)
-        found = found.union(greedy_match(rest_l, rest_r, ["direction"], step).select("left_id", "right_id", F.lit(label).alias("match")))
+        pairs = greedy_match(stored(rest_l), stored(rest_r), ["direction"], step)
+        found = stored(found.union(pairs.select("left_id", "right_id", F.lit(label).alias("match"))))
     ends = F.array(
         F.struct(F.lit(0).alias("side"), F.col("left_id").alias("id"), F.col("right_id").alias("other"), F.col("match").alias("match")),
         F.struct(F.lit(1).alias("side"), F.col("right_id").alias("id"), F.col("left_id").alias("other"), F.col("match").alias("match")),

@@ -387,7 +387,15 @@ def rsi(spark, d):
     return found.select(*SEG, "ts", F.round("rsi", 6).alias("rsi"))
 
 
-def prepared_bars(spark, d, width: int = 3600) -> DataFrame:
+def dense_width(spark, d) -> int:
+    """The least usual width of bars at which a bar of a series has six events on average, so that segments are long."""
+    n, kinds, first, last = table(spark, d, "events").agg(F.count("*"), F.count_distinct("event_type"), F.min("ts"), F.max("ts")).first()
+    between = (last - first).total_seconds() * kinds / n if n else 0
+    return next((w for w in (900, 3600, 21_600) if w >= 6 * between), 86_400)
+
+
+def prepared_bars(spark, d, width: int | None = None) -> DataFrame:
+    width = width or dense_width(spark, d)
     rows = R.previous_extremes(R.previous_extremes(series(spark, d, width), SEG, 5), SEG, 8)
     found = I.with_indicators(rows, SEG, fast=5, slow=12, atr=7, strength=7, adx=7)
     return found
@@ -586,29 +594,22 @@ def walk_forward_folds(spark, d):
     return rows.groupBy("fold", "role").agg(F.count("*").alias("n"), F.round(F.sum("r"), 4).alias("total_r"))
 
 
-@query()
-def bootstrap_paths(spark, d):
-    rows = trades(spark, d)
-    if (n := rows.count()) > V.MOST_RESULTS:
-        raise ValueError(f"{n} trades: more than {V.MOST_RESULTS}")
-    results = rows.orderBy("ts", "trade_id").select("r").toPandas()["r"].tolist()
-    return V.bootstrap(spark, results, 2000, block=4)
-
-
 @query()
 def backtest_next_open(spark, d):
-    rows = G.ema_cross(prepared_bars(spark, d), SEG, 12)
-    return X.simulate(rows, SEG)
+    width = dense_width(spark, d)
+    return X.simulate(G.ema_cross(prepared_bars(spark, d, width), SEG, 12), SEG, width)
 
 
 @query()
 def backtest_pending(spark, d):
-    rows = G.breakout(prepared_bars(spark, d), SEG, adx=10.0, body=0.1)
-    return X.simulate(rows, SEG, X.Settings(commission_percent=0.05))
+    width = dense_width(spark, d)
+    rows = G.breakout(prepared_bars(spark, d, width), SEG, adx=10.0, body=0.1)
+    return X.simulate(rows, SEG, width, X.Settings(commission_percent=0.05))
 
 
 @query()
 def backtest_spread_grid(spark, d):
-    rows = X.spread_grid(G.breakout(prepared_bars(spark, d), SEG, adx=10.0, body=0.1), [0.0, 0.05, 0.1])
-    found = X.simulate(rows, [*SEG, "spread"])
+    width = dense_width(spark, d)
+    rows = X.spread_grid(G.breakout(prepared_bars(spark, d, width), SEG, adx=10.0, body=0.1), [0.0, 0.05, 0.1])
+    found = X.simulate(rows, [*SEG, "spread"], width)
     return M.trade_stats(found, ["spread"], r="r")

@@ -59,4 +59,4 @@ def setup_combined(spark, d):
 def backtest_setups(spark, d):
     """The combined setup at three spreads, pooled by spread."""
     rows = X.spread_grid(G.with_setup(rows_of(spark, d), "combined", LOOSE), [0.0, 0.05, 0.1])
-    return M.trade_stats(X.simulate(rows, [*SEG, "spread"]), ["spread"], r="r")
+    return M.trade_stats(X.simulate(rows, [*SEG, "spread"], 900), ["spread"], r="r")
