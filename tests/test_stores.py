@@ -130,3 +130,35 @@ def test_stream_state_carries_over_batches(spark, tmp_path):
         run.stop()
     found = sorted((r["ts"], r["segment_id"], r["ema"]) for r in spark.table("segments_out").collect())
     assert [x[1] for x in found] == [1, 1, 1, 2, 2] and [x[2] for x in found] == pytest.approx([0, 0.5, 1.25, 4, 4.5])
+
+
+def test_refused_rows_come_out_and_micro_batches_do_not_matter(spark, tmp_path):
+    import random
+
+    from tidemill.streaming.stateful import stream_in_order, table_in_order
+
+    schema, rng = "symbol string, ts timestamp, seq long, close double", random.Random(2)
+    rows = [(rng.choice("xy"), T0 + dt.timedelta(minutes=rng.randrange(60)), i, float(i)) for i in range(60)]
+    want = sorted((r["symbol"], r["seq"], r["status"], r["behind"]) for r in table_in_order(spark.createDataFrame(rows, schema), ["symbol"]).collect())
+    assert {x[2] for x in want} == {"ACCEPTED", "LATE"}
+    source, names, found = tmp_path / "in", itertools.count(), []
+    source.mkdir()
+
+    def put(part):
+        spark.createDataFrame(rng.sample(part, len(part)), schema).coalesce(1).write.parquet(str(source / f"b={next(names)}"))
+
+    def run():
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(source))
+        sink = stream_in_order(stream).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out"))
+        query = sink.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    put(rows[:7])
+    put(rows[7:20])
+    run()
+    put(rows[15:40])  # a restart, and rows that come again
+    put(rows[40:])
+    run()
+    found = [(r["symbol"], r["seq"], r["status"], r["behind"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(x for x in found if x[2] != "REPEATED") == want
+    assert sorted(x[1] for x in found if x[2] == "REPEATED") == [15, 16, 17, 18, 19]

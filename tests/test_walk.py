@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,3 +171,18 @@ def test_resampling(spark):
     some = [r["candidate"] for r in V.random_grid(spark, values, 4, 7).collect()]
     assert len(set(some)) == 4 and sorted(some) == sorted(r["candidate"] for r in V.random_grid(spark, values, 4, 7).collect())
     assert V.random_grid(spark, values, 99, 7).count() == 6
+
+
+@pytest.mark.parametrize("distance", [1, 2, 3, 5])
+def test_neighbours_at_a_distance_equal_brute_force(spark, distance):
+    rng = random.Random(distance)
+    places = sorted({(rng.choice([1.0, 2.0, 4.5]), rng.choice([0.1, 0.7]), rng.choice([3.0, 9.0, 20.0])) for _ in range(14)})
+    rows = [(f"c{i}", *p, 10 + i, rng.uniform(0.5, 2), rng.uniform(-1, 1), rng.uniform(-50, 50), rng.uniform(0, 30)) for i, p in enumerate(places)]
+    schema = "candidate string, a double, b double, c double, total_trades long, profit_factor double, average_r double, pnl double, max_drawdown double"
+    found = W.stability(spark.createDataFrame(rows, schema), {"a": (1.0, 4.5), "b": (0.1, 0.7), "c": (3.0, 20.0)}, [], distance=distance)
+    for r in found.collect():
+        own = (r["a"], r["b"], r["c"])
+        near = [x for x in rows if 0 < sum(p != q for p, q in zip(own, x[1:4], strict=True)) <= distance]
+        assert r["neighbors"] == len(near)
+        if near:
+            assert r["profitable_percent"] == pytest.approx(100 * sum(x[7] > 0 for x in near) / len(near)) and r["median_pf"] == pytest.approx(statistics.median(x[5] for x in near))

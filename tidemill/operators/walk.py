@@ -6,6 +6,9 @@ chunks, and a fold's warm-up and embargo follow from the numbers at its ends, so
 
 from __future__ import annotations
 
+import functools
+import itertools
+import operator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -27,18 +30,24 @@ METRICS = ("total_trades", "profit_factor", "average_r", "pnl", "max_drawdown")
 
 
 def stability(
-    candidates: DataFrame, params: dict[str, tuple[float, float]], keys: list[str], broad: float = 75.0, moderate: float = 50.0, weights: tuple[float, float, float] = (0.4, 0.4, 0.2)
-) -> DataFrame:
-    """Adds what the neighbours of each candidate (those that differ in one parameter only) say of it: count, percent with
+    candidates: DataFrame, params: dict[str, tuple[float, float]], keys: list[str], broad: float = 75.0, moderate: float = 50.0, weights: tuple[float, float, float] = (0.4, 0.4, 0.2),
+    distance: int = 1,
+) -> DataFrame:
+    """Adds what the neighbours of each candidate (those that differ in ``distance`` parameters at most) say of it: count, percent with
     profit and with positive R, medians and spread, a score, a class, warnings. ``params`` gives each parameter's first and last
     value; parameters are not null and combinations are unique within ``keys``.
 
-    Candidates that agree in all parameters but one lie on a line; each is dealt to its lines and meets the others there by
-    equality."""
-    lines = F.array(*[F.concat_ws("|", F.lit(p), *[F.col(q).cast("string") for q in params if q != p]) for p in params])
-    dealt = candidates.select(*keys, "candidate", *METRICS, F.explode(lines).alias("_line"))
-    others = dealt.select(*keys, "_line", F.col("candidate").alias("_other"), *[F.col(m).alias(f"_{m}") for m in METRICS])
-    met = dealt.select(*keys, "candidate", "_line").join(others, [*keys, "_line"]).filter("candidate <> _other")
+    Candidates that agree in all parameters but ``distance`` share a place; each is dealt to its places and meets the others
+    there by equality, whatever the grid. Two that differ in fewer parameters share several places, and count at the first."""
+    left_out = list(itertools.combinations(params, min(distance, len(params))))
+    places = F.array(*[F.concat_ws("|", F.lit(",".join(out)), *[F.col(q).cast("string") for q in params if q not in out]) for out in left_out])
+    own = F.struct(*params)
+    dealt = candidates.select(*keys, "candidate", own.alias("_at"), *METRICS, F.posexplode(places).alias("_n", "_line"))
+    others = dealt.select(*keys, "_line", F.col("candidate").alias("_other"), F.col("_at").alias("_there"), *[F.col(m).alias(f"_{m}") for m in METRICS])
+    met = dealt.select(*keys, "candidate", "_at", "_n", "_line").join(others, [*keys, "_line"]).filter("candidate <> _other")
+    agree = [functools.reduce(operator.and_, [F.col("_at")[q] == F.col("_there")[q] for q in params if q not in out], F.lit(True)) for out in left_out]
+    for i, same in enumerate(agree):
+        met = met.filter((F.col("_n") <= i) | ~same)
     n = F.count("*")
     found = met.groupBy(*keys, "candidate").agg(
         n.alias("neighbors"), (F.count(F.when(F.col("_pnl") > 0, 1)) * 100.0 / n).alias("profitable_percent"),

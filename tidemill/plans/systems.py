@@ -3,11 +3,14 @@ setup; the family is P. The system alone has no P, the system with the family la
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemill.operators import contention as C
+from tidemill.operators import reconcile as O
 from tidemill.operators import robustness as B
-from tidemill.plans.queries import TRADES, query, table, trades
+from tidemill.plans.queries import TRADES, query, table, ticks, trades
+from tidemill.streaming.stateful import table_in_order
 
 KEY, FAMILY = ["symbol"], "P"
 
@@ -141,3 +144,57 @@ def sequence_dependency(spark, d):
     own = _results(spark, d)
     found = B.sequence_dependency(B.paths(own, B.PERMUTATION, SIMULATIONS), B.observed(own))
     return found.withColumns({n: F.round(n, 5) for n in ("observed", "percentile")})
+
+
+# --- two runs' orders, and rows out of order
+
+
+def _two_runs(spark, d):
+    """(original, synthetic, bars): orders by customer. Dear ones are missing in the original, cheap ones in the synthetic run; from
+    some prices on they expire, fill later, or fill at another price there."""
+    day, price = F.expr("interval 1 day"), F.col("o_totalprice")
+    rows = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("symbol"), F.col("o_orderdate").cast("timestamp_ntz").alias("signal_ts"), F.when(price > 150000, "LONG").otherwise("SHORT").alias("direction"),
+        F.nullif("o_orderpriority", F.lit("5-LOW")).alias("setup"), "o_orderkey", price.alias("price"), F.col("o_orderstatus").alias("state"),
+    )
+    rows = rows.groupBy(*KEY, "signal_ts", "direction", "setup").agg(F.min(F.struct("o_orderkey", "price", "state")).alias("_r")).select(*KEY, "signal_ts", "direction", "setup", "_r.price", "_r.state")
+    status = F.when(F.col("state") == "F", "triggered").when(F.col("state") == "O", "expired").otherwise("cancelled")
+    trigger = F.col("price") - F.when(F.col("price") < 170000, 1).otherwise(0)
+
+    def run(state: Column, late: Column, more: Column):
+        filled = state == "triggered"
+        return [
+            *KEY, "signal_ts", "direction", "setup", state.alias("status"), F.when(filled, F.col("signal_ts") + late).alias("fill_ts"), F.when(filled, F.col("price") + more).alias("fill_price"),
+            F.when(state == "cancelled", "by its maker").alias("cancel_reason"), F.col("signal_ts").alias("created_ts"), trigger.alias("trigger"), (F.col("price") - 5).alias("stop"),
+        ]
+
+    original = rows.filter("price < 220000").select(*run(status, day, F.lit(0)))
+    moved = F.when(F.col("price") > 200000, "expired").when((F.col("price") < 90000) & (status == "expired"), "triggered").otherwise(status)
+    synthetic = rows.filter("price > 60000").select(*run(moved, F.when(F.col("price") > 180000, day * 2).otherwise(day), F.when(F.col("price") > 160000, 1).otherwise(0)))
+    bars = rows.withColumn("ts", F.explode(F.array(F.col("signal_ts") + day, F.col("signal_ts") + day * 2))).groupBy(*KEY, "ts").agg(F.max("price").alias("p"))
+    return original, synthetic, bars.select(*KEY, "ts", (F.col("p") - 1).alias("open"), (F.col("p") - 0.2).alias("high"), (F.col("p") - 3).alias("low"), (F.col("p") - 2).alias("close"))
+
+
+@query("""WITH x AS (SELECT o_custkey AS symbol, o_orderdate::TIMESTAMP AS signal_ts, CASE WHEN o_totalprice > 150000 THEN 'LONG' ELSE 'SHORT' END AS direction, nullif(o_orderpriority, '5-LOW') AS setup, o_orderkey, o_totalprice AS price, o_orderstatus AS state FROM orders),
+r AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY symbol, signal_ts, direction, setup ORDER BY o_orderkey) = 1),
+s AS (SELECT *, CASE state WHEN 'F' THEN 'triggered' WHEN 'O' THEN 'expired' ELSE 'cancelled' END AS st, price - CASE WHEN price < 170000 THEN 1 ELSE 0 END AS trigger FROM r),
+t AS (SELECT *, CASE WHEN price < 220000 THEN st END AS a, CASE WHEN price > 60000 THEN CASE WHEN price > 200000 THEN 'expired' WHEN price < 90000 AND st = 'expired' THEN 'triggered' ELSE st END END AS b FROM s),
+c AS (SELECT *, CASE WHEN b = 'triggered' AND coalesce(a, '') <> 'triggered' THEN 'SYNTHETIC_ONLY_FILL' WHEN a = 'triggered' AND coalesce(b, '') <> 'triggered' THEN 'ORIGINAL_ONLY_FILL'
+  WHEN a = 'triggered' THEN CASE WHEN price > 180000 THEN 'TIMING_CHANGED_FILL' WHEN price > 160000 THEN 'PRICE_CHANGED_FILL' ELSE 'SAME_FILL' END WHEN a = b AND a = 'expired' THEN 'EXPIRED_BOTH' WHEN a = b AND a = 'cancelled' THEN 'CANCELED_BOTH' ELSE 'OTHER_ORDER_STATE' END AS class FROM t),
+k AS (SELECT *, CASE WHEN class LIKE '%ONLY_FILL' THEN signal_ts + CASE WHEN class LIKE 'S%' AND price > 180000 THEN interval '2 days' ELSE interval '1 day' END END AS audit_ts,
+  max(CASE WHEN class NOT IN ('SAME_FILL', 'EXPIRED_BOTH', 'CANCELED_BOTH') THEN strftime(signal_ts, '%Y-%m-%d') || '|' || direction || '|' || coalesce(setup, '') || '|' || class END) OVER (PARTITION BY symbol ORDER BY signal_ts, direction, setup NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM c),
+p AS (SELECT symbol, signal_ts + unnest([interval '1 day', interval '2 days']) AS ts, price FROM r), g AS (SELECT symbol, ts, max(price) AS p FROM p GROUP BY 1, 2)
+SELECT k.symbol, signal_ts, direction, setup, class, audit_ts, CASE WHEN audit_ts IS NOT NULL THEN CASE WHEN class LIKE 'S%' AND direction = 'LONG' AND p - 0.2 < trigger AND trigger <= p - 0.2 + 0.5 THEN 'LONG_ASK_TRIGGER'
+  WHEN class LIKE 'S%' AND direction = 'LONG' AND p - 1 + 0.5 >= trigger THEN 'GAP_EFFECT' WHEN direction = 'SHORT' AND a IS NOT NULL AND b IS NOT NULL THEN 'SHORT_BID_TRIGGER' ELSE 'OTHER' END WHEN class = 'OTHER_ORDER_STATE' THEN 'STATE_DIVERGENCE' END AS reason,
+  string_split(prior, '|')[1]::TIMESTAMP AS prior_ts, string_split(prior, '|')[4] AS prior_class FROM k LEFT JOIN g ON g.symbol = k.symbol AND g.ts = k.audit_ts""")
+def order_reconciliation(spark, d):
+    found = O.reconciled(*_two_runs(spark, d), KEY, 0.5)
+    return found.select(*KEY, "signal_ts", "direction", "setup", "class", "audit_ts", "reason", "prior_ts", "prior_class")
+
+
+@query("""WITH e AS (SELECT event_type AS symbol, ts, event_id, max(ts) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM events)
+SELECT symbol, ts, event_id, CASE WHEN ts < last THEN 'LATE' ELSE 'ACCEPTED' END AS status, CASE WHEN ts < last THEN round(epoch(last) - epoch(ts), 6) ELSE 0 END AS behind FROM e""")
+def late_rows(spark, d):
+    """Events as they arrive (by id): those whose time is before that of an earlier one of their series."""
+    found = table_in_order(ticks(spark, d), KEY, seq="event_id")
+    return found.select("symbol", "ts", "event_id", "status", F.round("behind", 6).alias("behind"))
