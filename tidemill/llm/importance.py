@@ -41,10 +41,15 @@ def runs_of(words: Column, most: int) -> Column:
     runs = [words]
     for n in range(2, most + 1):
         at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(at, lambda i, n=n: F.array_join(F.slice(words, i, n), " ")))
+        runs.append(F.transform(at, _joined(words, n)))
     return F.concat(*runs) if most > 1 else words
 
 
+def _joined(words: Column, n: int):
+    """The ``n`` words from a place on, as a function of the place."""
+    return lambda i: F.array_join(F.slice(words, i, n), " ")
+
+
 def bucketed(docs: DataFrame, id_col: str, text_col: str, buckets: int = BUCKETS, most: int = 1) -> DataFrame:
     """Rows (key, n_words, buckets): the bucket of every run of words, by crc32 of its UTF-8 bytes."""
     rows = docs.select(F.col(id_col).alias("key"), F.transform(words_of(F.col(text_col)), ascii_lower).alias("words"))
