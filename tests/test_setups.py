@@ -1,6 +1,7 @@
 """Confirmed hours, regimes and setups."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from tidemill.operators import setups as G
 
 T0 = dt.datetime(2025, 1, 1, 8)
 
+SF = "/root/testdata/sf0.001"
+
 
 def quarter(spark, closes, start=T0):
     rows = [("x", 0, start + dt.timedelta(minutes=15 * i), c, c + 1.0, c - 1.0, c, 1.0) for i, c in enumerate(closes)]
@@ -112,3 +115,26 @@ def test_folds_have_no_cap_and_streaks_are_exact(spark):
     assert V.bootstrap(spark, [-1.0, -1.0, 1.0, -1.0], 5, permute=True).filter("losing_streak between 1 and 3").count() == 5
     with pytest.raises(ValueError, match="more than"):
         V.bootstrap(spark, [0.0] * (V.MOST_RESULTS + 1), 1)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["setup_breakout", "setup_pullback", "setup_regime", "setup_breakout_short", "setup_combined", "backtest_setups", "backtest_next_open"])
+def test_queries_show_what_they_claim(spark, name):
+    from tidemill.plans import machines, setups  # noqa: F401  register their queries
+    from tidemill.plans.queries import Q
+
+    rows = Q[name](spark, SF).collect()
+    assert rows
+    if name.startswith("setup_"):
+        sides = {r["direction"] for r in rows}
+        assert sides == ({"SHORT"} if name == "setup_breakout_short" else {"LONG", "SHORT"})
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_every_regime_is_reached(spark):
+    from tidemill.plans import setups
+
+    found = setups.hour_regimes(spark, "/root/testdata/sf0.01").collect()
+    # the walk of these tables falls; on ten times as many events BULLISH_TREND is reached too
+    assert {r["bucket"] for r in found} >= {"WARMUP", "BEARISH_TREND", "NEUTRAL_RANGE", "TRANSITION"}
+    assert {r["regime"] for r in found} == {"CHOP", "TREND LONG", "TREND SHORT", "RANGE"}

@@ -1,4 +1,4 @@
-"""Bar signals as column expressions: regime, crossovers, breakouts, sweeps and overshoots.
+"""Bar signals as column expressions: crossovers, breakouts, sweeps and overshoots.
 
 Inputs are bars with the columns of ``with_indicators`` and ``previous_extremes``; outputs are ``direction``, ``trigger``,
 ``stop`` and ``expiry``. Thresholds are parameters; a null input gives no signal.
@@ -12,18 +12,6 @@ from pyspark.sql import functions as F
 from tidemill.functions.candles import body_share, close_location, div, span
 
 
-def separation() -> Column:
-    return div(F.abs(F.col("ema_fast") - F.col("ema_slow")), F.col("atr"))
-
-
-def regime(trend_adx: float = 18.0, trend_separation: float = 1.0, range_separation: float = 0.8) -> Column:
-    """WARMUP, BULL, BEAR, RANGE or TRANSITION; a trend wins where both fit."""
-    known = F.col("ema_slow").isNotNull() & F.col("atr").isNotNull() & F.col("adx").isNotNull()
-    trend = (separation() >= trend_separation) & (F.col("adx") >= trend_adx)
-    up = F.col("ema_fast") > F.col("ema_slow")
-    return F.when(~known, "WARMUP").when(trend & up, "BULL").when(trend, "BEAR").when(separation() <= range_separation, "RANGE").otherwise("TRANSITION")
-
-
 def _with(rows: DataFrame, long: Column, short: Column, trigger_long, stop_long, trigger_short, stop_short, expiry: int) -> DataFrame:
     none = F.lit(None).cast("double")
     side = F.when(F.coalesce(long, F.lit(False)), "LONG").when(F.coalesce(short, F.lit(False)), "SHORT")

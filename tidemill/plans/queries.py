@@ -406,11 +406,6 @@ def indicators(spark, d):
     return prepared_bars(spark, d).select(*SEG, "ts", "ema_fast", "ema_slow", "atr", "rsi", "plus_di", "minus_di", "adx")
 
 
-@query()
-def regime_classify(spark, d):
-    return prepared_bars(spark, d).withColumn("regime", G.regime()).groupBy("symbol", "regime").agg(F.count("*").alias("bars"))
-
-
 @query()
 def signals_all(spark, d):
     rows, parts = prepared_bars(spark, d), ("direction", "trigger", "stop", "expiry")
@@ -569,13 +564,15 @@ def pivot_population(spark, d):
 # --- search and resampling
 
 
-@query("""WITH g AS (SELECT CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b FROM generate_series(1, 5) x(a), generate_series(1, 5) y(b)), s AS (SELECT *, 2 - abs(a - 3) * 0.3 - abs(b - 2) * 0.2 AS score FROM g)
-SELECT x.a, x.b, round(x.score, 6) AS score, count(y.a) AS neighbours, round(avg(y.score), 6) AS mean_neighbour, count(CASE WHEN y.score >= 0.8 * x.score THEN 1 END) AS holding FROM s x LEFT JOIN s y ON abs(x.a - y.a) + abs(x.b - y.b) = 1 GROUP BY 1, 2, x.score""")
+@query("""WITH s AS (SELECT l_quantity::DOUBLE AS a, l_discount::DOUBLE AS b, max(l_extendedprice) AS score FROM lineitem GROUP BY 1, 2)
+SELECT x.a, x.b, round(x.score, 2) AS score, count(y.a) AS neighbours, round(avg(y.score), 4) AS mean_neighbour, count(CASE WHEN y.score >= 0.8 * x.score THEN 1 END) AS holding
+FROM s x LEFT JOIN s y ON round(abs(x.a - y.a) + 100 * abs(x.b - y.b), 6) = 1 GROUP BY 1, 2, x.score""")
 def grid_neighbours(spark, d):
-    rows = V.grid(spark, {"a": [1, 2, 3, 4, 5], "b": [1, 2, 3, 4, 5]})
-    rows = rows.withColumn("score", 2 - F.abs(F.col("a") - 3) * 0.3 - F.abs(F.col("b") - 2) * 0.2)
-    found = V.neighbour_stability(rows, ["a", "b"], {"a": 1.0, "b": 1.0})
-    return found.select("a", "b", F.round("score", 6).alias("score"), "neighbours", F.round("mean_neighbour", 6).alias("mean_neighbour"), "holding")
+    """Highest price of each quantity and discount, and how it holds one step away."""
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_quantity").cast("double").alias("a"), F.col("l_discount").cast("double").alias("b")).agg(F.max("l_extendedprice").alias("score"))
+    rows = rows.withColumn("candidate", F.concat_ws("|", "a", "b"))
+    found = V.neighbour_stability(rows, ["a", "b"], {"a": 1.0, "b": 0.01})
+    return found.select("a", "b", F.round("score", 2).alias("score"), "neighbours", F.round("mean_neighbour", 4).alias("mean_neighbour"), "holding")
 
 
 @query(f"""WITH {TRADES}, g AS (SELECT year(ts) AS fold, direction, symbol, sum(r) AS score FROM t GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY score DESC NULLS LAST, direction, symbol) AS n FROM g) SELECT CAST(fold AS INTEGER) AS fold, direction, symbol, round(score, 4) AS score FROM k WHERE n = 1""")
