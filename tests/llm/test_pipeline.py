@@ -121,3 +121,16 @@ def test_held_out_accuracy(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.9
     rows = QUERIES["op4_quality"](spark, SF).join(labels, "doc_id").filter("held_out").collect()
     assert np.mean([r["quality"] == r["predicted"] for r in rows]) > 0.8
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_quality_beats_a_constant(spark):
+    """On tables that are large enough for trees: better than the commoner label, and good labels rank above bad ones."""
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    rows = QUERIES["op4_quality"](spark, sf).join(labels, "doc_id").filter("held_out and quality is not null").collect()
+    truth, score = np.array([r["quality"] for r in rows]), np.array([r["score"] for r in rows])
+    most = max(truth.mean(), 1 - truth.mean())
+    assert np.mean([r["quality"] == r["predicted"] for r in rows]) > most + 0.05
+    above = (score[truth == 1][:, None] > score[truth == 0]).mean() + 0.5 * (score[truth == 1][:, None] == score[truth == 0]).mean()
+    assert above > 0.9

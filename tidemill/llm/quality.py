@@ -5,7 +5,8 @@ bounded sample of labelled documents, bins every statistic by quantiles and grow
 histograms of gradients, for the logistic loss. The trees are then flattened into arrays, and a batch of documents walks
 all of them at once by array indexing.
 
-The sample: the ``most`` labelled rows of the smallest hashed ids (``TRAIN_ROWS``), the only rows that reach the driver.
+The sample: the ``most`` labelled rows of the smallest hashed ids (``TRAIN_ROWS``), and of the documents with these ids, of
+which repeated ids may have several, twice as many at most; no other rows reach the driver.
 Null and empty texts have statistics of 0 and get a score like any other. Repeated rows get equal scores. Without any
 usable label every score is 0.5; with one class only, it is that class's rate (smoothed).
 """

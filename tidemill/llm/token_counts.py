@@ -9,6 +9,9 @@ and counts as its UTF-8 bytes (byte fallback) or as one piece together with its
 No piece has the blank mark after another character, so every best path has a piece border before each run of blanks:
 words are solved one by one and remembered. Where a vocabulary breaks that rule, whole texts are solved instead.
 
+The counts are those of a unigram model with the vocabulary's scores, whatever model the file itself is of: the default file
+is a BPE, whose own tokenizer splits otherwise.
+
 Null and empty texts have no tokens. Repeated rows are counted one by one; an empty table gives no rows.
 """
 
