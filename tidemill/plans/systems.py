@@ -21,7 +21,7 @@ def _systems(spark, d):
     rows = table(spark, d, "orders").select(
         F.col("o_custkey").alias("symbol"), F.col("o_orderkey").alias("trade_id"), F.col("o_orderstatus").alias("setup"), F.col("o_totalprice").alias("price"),
         F.when(F.col("o_totalprice") > 150000, "LONG").otherwise("SHORT").alias("direction"), F.col("o_orderdate").cast("timestamp_ntz").alias("entry_ts"),
-        ((F.col("o_totalprice") - 150000) / 50000).alias("r"),
+        ((F.col("o_totalprice") - 150000) / 70000).alias("r"),
     )
     rows = rows.withColumn("exit_ts", F.col("entry_ts") + F.make_dt_interval(days=F.floor(F.col("price") / 5000).cast("int")))
     kept = F.col("price") > 120000
@@ -30,7 +30,7 @@ def _systems(spark, d):
 
 
 _SYSTEMS = """o AS (SELECT o_custkey AS symbol, o_orderkey AS trade_id, o_orderstatus AS setup, o_totalprice AS price, CASE WHEN o_totalprice > 150000 THEN 'LONG' ELSE 'SHORT' END AS direction,
-  o_orderdate::TIMESTAMP AS entry_ts, o_orderdate::TIMESTAMP + to_days(floor(o_totalprice / 5000)::INT) AS exit_ts, (o_totalprice - 150000) / 50000 AS r FROM orders),
+  o_orderdate::TIMESTAMP AS entry_ts, o_orderdate::TIMESTAMP + to_days(floor(o_totalprice / 5000)::INT) AS exit_ts, (o_totalprice - 150000) / 70000 AS r FROM orders),
 base AS (SELECT * FROM o WHERE setup <> 'P'), comb AS (SELECT * FROM o WHERE price > 120000), alone AS (SELECT * FROM o WHERE setup = 'P'),
 waits AS (SELECT symbol, setup, entry_ts - interval '20 days' AS a, CASE WHEN price > 120000 THEN entry_ts ELSE entry_ts + interval '10 days' END AS z FROM o WHERE setup <> 'P'),
 g0 AS (SELECT * FROM base b WHERE NOT EXISTS (FROM comb c WHERE c.symbol = b.symbol AND c.setup = b.setup AND c.direction = b.direction AND c.entry_ts = b.entry_ts)),
@@ -83,11 +83,12 @@ def capacity_funnel(spark, d):
 
 # --- resampled paths
 
-SIMULATIONS, LENGTH = 100, 4
+SIMULATIONS, LENGTH = 100, 4  # results are in 70,000ths: their sums are no short decimals, which two engines round apart
 
 
 def _results(spark, d):
-    return B.results_of_trades(trades(spark, d), exit_ts="ts", entry_ts="ts")
+    rows = trades(spark, d).withColumn("r", (F.col("price") - 150000) / 70000)
+    return B.results_of_trades(rows, exit_ts="ts", entry_ts="ts")
 
 
 def _paths_sql(length: int, name: str = "paths") -> str:
@@ -99,7 +100,7 @@ def _paths_sql(length: int, name: str = "paths") -> str:
 {name} AS (SELECT sim, last(cum ORDER BY step) AS terminal_r, max(dd) AS max_drawdown_r, max(ls)::BIGINT AS losing_streak, max(ws)::BIGINT AS winning_streak, min(eq) <= ln(0.5) AS ruined FROM {name}_d GROUP BY 1)"""
 
 
-_R = f"WITH {TRADES}, r AS (SELECT row_number() OVER (ORDER BY ts, trade_id) - 1 AS n, r FROM t)"
+_R = f"WITH {TRADES}, r AS (SELECT row_number() OVER (ORDER BY ts, trade_id) - 1 AS n, (price - 150000) / 70000 AS r FROM t)"
 _SHARES = ", ".join(f"round(quantile_cont(value, {q}), 5) AS {n}" for n, q in (("p5", 0.05), ("p10", 0.1), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99)))
 
 
