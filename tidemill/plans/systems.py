@@ -183,7 +183,7 @@ t AS (SELECT *, CASE WHEN price < 220000 THEN st END AS a, CASE WHEN price > 600
 c AS (SELECT *, CASE WHEN b = 'triggered' AND coalesce(a, '') <> 'triggered' THEN 'SYNTHETIC_ONLY_FILL' WHEN a = 'triggered' AND coalesce(b, '') <> 'triggered' THEN 'ORIGINAL_ONLY_FILL'
   WHEN a = 'triggered' THEN CASE WHEN price > 180000 THEN 'TIMING_CHANGED_FILL' WHEN price > 160000 THEN 'PRICE_CHANGED_FILL' ELSE 'SAME_FILL' END WHEN a = b AND a = 'expired' THEN 'EXPIRED_BOTH' WHEN a = b AND a = 'cancelled' THEN 'CANCELED_BOTH' ELSE 'OTHER_ORDER_STATE' END AS class FROM t),
 k AS (SELECT *, CASE WHEN class LIKE '%ONLY_FILL' THEN signal_ts + CASE WHEN class LIKE 'S%' AND price > 180000 THEN interval '2 days' ELSE interval '1 day' END END AS audit_ts,
-  max(CASE WHEN class NOT IN ('SAME_FILL', 'EXPIRED_BOTH', 'CANCELED_BOTH') THEN strftime(signal_ts, '%Y-%m-%d') || '|' || direction || '|' || coalesce(setup, '') || '|' || class END) OVER (PARTITION BY symbol ORDER BY signal_ts, direction, setup NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM c),
+  max(CASE WHEN class NOT IN ('SAME_FILL', 'EXPIRED_BOTH', 'CANCELED_BOTH') THEN strftime(signal_ts, '%Y-%m-%d') || '|' || direction || '|' || coalesce(setup, ' ') || '|' || class END) OVER (PARTITION BY symbol ORDER BY signal_ts, direction, setup NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM c),
 p AS (SELECT symbol, signal_ts + unnest([interval '1 day', interval '2 days']) AS ts, price FROM r), g AS (SELECT symbol, ts, max(price) AS p FROM p GROUP BY 1, 2)
 SELECT k.symbol, signal_ts, direction, setup, class, audit_ts, CASE WHEN audit_ts IS NOT NULL THEN CASE WHEN class LIKE 'S%' AND direction = 'LONG' AND p - 0.2 < trigger AND trigger <= p - 0.2 + 0.5 THEN 'LONG_ASK_TRIGGER'
   WHEN class LIKE 'S%' AND direction = 'LONG' AND p - 1 + 0.5 >= trigger THEN 'GAP_EFFECT' WHEN direction = 'SHORT' AND a IS NOT NULL AND b IS NOT NULL THEN 'SHORT_BID_TRIGGER' ELSE 'OTHER' END WHEN class = 'OTHER_ORDER_STATE' THEN 'STATE_DIVERGENCE' END AS reason,
