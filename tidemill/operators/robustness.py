@@ -154,7 +154,7 @@ def paths(
     length = 1 if method == IID else min(block, total)
     places, last = -(-total // length), total - (-(-total // length) - 1) * length
     draws = sims.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(places - 1).cast("long"))))
-    draws = draws.withColumn("start", drawn("sim", "place", seed, total - length + 1))
+    draws = draws.withColumn("start", drawn("sim", "place", seed, total - length + 1)).hint("merge")  # Spark takes them for a row a path, and would broadcast them
     rows = draws.filter(F.col("place") < places - 1 if last < length else F.lit(True)).join(blocks(results, length, total, fraction), "start")
     if last < length:
         rows = rows.unionByName(draws.filter(F.col("place") == places - 1).join(blocks(results, last, total, fraction), "start"))
