@@ -102,10 +102,12 @@ def quality_report(bars: DataFrame, keys: list[str], step: int = STEP, ts: str =
     return counts.withColumns({"duplicates": F.col("n_rows") - F.col("n_ts"), "expected": expected}).withColumn("missing", F.col("expected") - F.col("n_ts"))
 
 
-def dedupe_keep_last(rows: DataFrame, keys: list[str], ordinal: str, ts: str = "ts") -> DataFrame:
-    """One row for each key and timestamp: the one of the highest ordinal."""
+def dedupe_keep_last(rows: DataFrame, keys: list[str], ordinal: str, ts: str = "ts", tie: Column | None = None) -> DataFrame:
+    """One row for each key and timestamp: the one of the highest ordinal, and of equal ordinals that of the highest ``tie``
+    (any of them without it)."""
     kept = [c for c in rows.columns if c not in (*keys, ts)]
-    best = rows.groupBy(*keys, ts).agg(F.max_by(F.struct(*kept), F.col(ordinal)).alias("_row"))
+    rank = F.col(ordinal) if tie is None else F.struct(F.col(ordinal), tie.alias("_tie"))
+    best = rows.groupBy(*keys, ts).agg(F.max_by(F.struct(*kept), rank).alias("_row"))
     return best.select(*keys, ts, "_row.*")
 
 

@@ -189,7 +189,8 @@ SELECT symbol, ts, event_id, value, o AS ordinal FROM (SELECT *, row_number() OV
 def dedupe_keep_last(spark, d):
     rows = ticks(spark, d).select("symbol", "ts", "event_id", F.col("raw").alias("value"), F.lit(0).alias("ordinal"))
     again = rows.filter("value > 50").withColumns({"value": F.col("value") + 1, "ordinal": F.lit(1)})
-    return S.dedupe_keep_last(rows.union(again), KEY, "ordinal").select("symbol", "ts", "event_id", "value", "ordinal")
+    found = S.dedupe_keep_last(rows.union(again), KEY, "ordinal", tie=-F.col("event_id"))  # of equal ordinals the first in the table, as one thread of the SQL takes it
+    return found.select("symbol", "ts", "event_id", "value", "ordinal")
 
 
 # --- joins
