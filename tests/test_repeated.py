@@ -36,3 +36,10 @@ def same(spark, repeated, name):
 
 def test_equal_ordinals_keep_the_first(spark, repeated):
     same(spark, repeated, "dedupe_keep_last")
+
+
+@pytest.mark.parametrize("name", ["contention_ledger", "contention_family", "contention_contribution", "capacity_funnel"])
+def test_contention_broadcasts_no_trades(spark, repeated, name):
+    plan = plans.Q[name](spark, repeated[0])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    same(spark, repeated, name)

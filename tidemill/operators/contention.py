@@ -4,6 +4,7 @@ family alone) and the orders of the second, compared trade by trade.
 A trade is known by setup, direction and entry. ``lost`` are the system's trades that no longer happen, with who held the
 slot; ``family`` are the family's trades by what they took away; ``suppressed`` are those of the family alone that never got
 the slot, by what held it. Who holds the slot at a time is an interval join by chunks of time; of several the earliest counts.
+All joins are by sorting: each side grows with the trades, and several broadcasts at once would fill the driver.
 Trades without an entry or exit time are left out of who holds what; times at an interval's ends lie inside it."""
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def _same(a: DataFrame, b: DataFrame, on: list[str], how: str) -> DataFrame:
     test = F.lit(True)
     for c in on:
         test &= F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-    return a.join(right, test, how)
+    return a.join(right.hint("merge"), test, how)
 
 
 def lost(baseline: DataFrame, combined: DataFrame, keys: list[str], family: str) -> DataFrame:
@@ -42,7 +43,7 @@ def lost(baseline: DataFrame, combined: DataFrame, keys: list[str], family: str)
     BLOCKED_WHILE_HOLDING (it held a position), or LOST_OTHERWISE."""
     gone = _same(baseline, combined, [*keys, "setup", "direction", "entry_ts"], "left_anti")
     held = occupants(gone, combined, keys, ["trade_id"], "entry_ts")
-    rows = gone.join(held, [*keys, "trade_id"], "left")
+    rows = gone.join(held.hint("merge"), [*keys, "trade_id"], "left")
     theirs = F.coalesce(F.col("held_by") == family, F.lit(False))
     label = F.when(theirs & (F.col("held_from") == F.col("entry_ts")), "DISPLACED_SAME_BAR").when(theirs, "BLOCKED_WHILE_HOLDING").otherwise("LOST_OTHERWISE")
     return rows.withColumn("class", label).select(*baseline.columns, "held_by", "class")
@@ -60,8 +61,8 @@ def family_trades(baseline: DataFrame, combined: DataFrame, gone: DataFrame, key
     later = later.filter("_at > entry_ts").select(*keys, "trade_id").distinct().withColumn("_later", F.lit(True))
     begun = contained(own.select(*keys, "trade_id", "entry_ts", "exit_ts"), baseline.select(*keys, F.col("entry_ts").alias("_at")), keys, "entry_ts", "exit_ts", ts="_at", chunk=CHUNK)
     begun = begun.select(*keys, "trade_id").distinct().withColumn("_begun", F.lit(True))
-    rows = own.join(at_entry, [*keys, "trade_id"], "left").join(starts, [*keys, "entry_ts"], "left")
-    rows = rows.join(later, [*keys, "trade_id"], "left").join(begun, [*keys, "trade_id"], "left")
+    rows = own.join(at_entry.hint("merge"), [*keys, "trade_id"], "left").join(starts.hint("merge"), [*keys, "entry_ts"], "left")
+    rows = rows.join(later.hint("merge"), [*keys, "trade_id"], "left").join(begun.hint("merge"), [*keys, "trade_id"], "left")
     clash, same, after = (F.coalesce(c, F.lit(False)) for c in ("_clash", "_same", "_later"))
     label = F.when(clash & same, "DISPLACED_A_TRADE").when(after, "BLOCKED_A_TRADE").when(clash, "DISPLACED_A_TRADE").otherwise("ADDITIVE")
     overlaps = clash | F.coalesce("_begun", F.lit(False))
@@ -76,7 +77,8 @@ def suppressed(combined: DataFrame, standalone: DataFrame, orders: DataFrame, ke
     held = occupants(standalone, combined, keys, ["trade_id"], "entry_ts").select(*keys, "trade_id", "held_by")
     waits = orders.filter(~F.col("setup").eqNullSafe(family)).select(*keys, F.col("created_ts").alias("entry_ts"), F.coalesce("fill_ts", "expiry_ts").alias("exit_ts"), "setup", F.lit(0).alias("trade_id"))
     waiting = occupants(standalone, waits, keys, ["trade_id"], "entry_ts").select(*keys, "trade_id", F.lit(True).alias("_waits"))
-    rows = standalone.join(reached, [*keys, "entry_ts"], "left").join(held, [*keys, "trade_id"], "left").join(waiting, [*keys, "trade_id"], "left")
+    rows = standalone.join(reached.hint("merge"), [*keys, "entry_ts"], "left").join(held.hint("merge"), [*keys, "trade_id"], "left")
+    rows = rows.join(waiting.hint("merge"), [*keys, "trade_id"], "left")
     position = F.col("held_by").isNotNull() & (F.col("held_by") != family)
     label = F.when(F.col("_reached"), "REACHED").when(position, "HELD_POSITION").when(F.col("_waits"), "HELD_ORDER").otherwise("HELD_POSITION")
     return rows.withColumn("class", label).select(*standalone.columns, "class")

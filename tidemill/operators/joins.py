@@ -30,11 +30,12 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], value: str
 
 def contained(intervals: DataFrame, points: DataFrame, keys: list[str], start: str, end: str, ts: str = "ts", chunk: int = 86_400) -> DataFrame:
     """Pairs of intervals and the points inside them (both ends included): intervals are dealt to every chunk of time
-    they touch, so the join is by equality of chunk and then filtered."""
+    they touch, so the join is by equality of chunk and then filtered. It sorts, as both sides grow: Spark would broadcast one
+    on an estimate made before the explode."""
     spans = F.sequence(F.floor(seconds(start) / chunk), F.floor(seconds(end) / chunk))
     dealt = intervals.withColumn("_p", F.explode(spans))
     placed = points.withColumn("_p", F.floor(seconds(ts) / chunk))
-    return dealt.join(placed, [*keys, "_p"]).filter(F.col(ts).between(F.col(start), F.col(end))).drop("_p")
+    return dealt.join(placed.hint("merge"), [*keys, "_p"]).filter(F.col(ts).between(F.col(start), F.col(end))).drop("_p")
 
 
 def excursions(trades: DataFrame, bars: DataFrame, keys: list[str], trade_id: str = "trade_id") -> DataFrame:
