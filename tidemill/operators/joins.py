@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.operators.carry import chunked, running
 from tidemill.operators.segments import seconds
 
 
@@ -53,13 +54,19 @@ def excursions(trades: DataFrame, bars: DataFrame, keys: list[str], trade_id: st
     return trades.join(found, trade_id, "left")
 
 
-def overlapping(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, chunk: int = 86_400) -> DataFrame:
-    """Left intervals (entry_ts, exit_ts) that overlap any right one."""
-    cut = lambda df: df.withColumn("_p", F.explode(F.sequence(F.floor(seconds("entry_ts") / chunk), F.floor(seconds("exit_ts") / chunk))))
-    a = cut(left)
-    b = cut(right).select(*keys, "_p", F.col("entry_ts").alias("_from"), F.col("exit_ts").alias("_to"))
-    hit = a.join(b, [*keys, "_p"]).filter("entry_ts <= _to and exit_ts >= _from")
-    return left.join(hit.select(left_id).distinct(), left_id, "left_semi")
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left intervals (entry_ts, exit_ts) that overlap any right one: those for which the latest end of the right ones that
+    begin by their end is not before their beginning. A running maximum says so, no pairs are made. Intervals without a
+    key or an end overlap nothing."""
+    whole = F.lit(True)
+    for c in (*keys, "entry_ts", "exit_ts"):
+        whole &= F.col(c).isNotNull()
+    names = left.columns
+    own = left.filter(whole).withColumns({"_at": F.col("exit_ts"), "_side": F.lit(1), "_to": F.lit(None).cast(right.schema["exit_ts"].dataType)})
+    other = right.filter(whole).select(*keys, F.col("entry_ts").alias("_at"), F.lit(0).alias("_side"), F.col("exit_ts").alias("_to"))
+    both = own.unionByName(other, allowMissingColumns=True)
+    found = running(chunked(both, keys, ["_at", "_side"]), keys, ["_at", "_side"], maxima={"_last": F.col("_to")})
+    return found.filter("_side = 1 and _last >= entry_ts").select(*names)
 
 
 def first_passage(bars: DataFrame, keys: list[str], target: float, stop: float, horizon: int = 480, ts: str = "ts") -> DataFrame:

@@ -267,7 +267,7 @@ def interval_containment_mfe(spark, d):
 @query(f"""WITH {POSITIONS} SELECT a.* FROM p a WHERE direction = 'LONG' AND EXISTS (SELECT 1 FROM p b WHERE b.direction = 'SHORT' AND a.symbol = b.symbol AND a.entry_ts <= b.exit_ts AND a.exit_ts >= b.entry_ts)""")
 def interval_overlap(spark, d):
     rows = positions(spark, d)
-    return J.overlapping(rows.filter("direction = 'LONG'"), rows.filter("direction = 'SHORT'"), KEY, "trade_id")
+    return J.overlapping(rows.filter("direction = 'LONG'"), rows.filter("direction = 'SHORT'"), KEY)
 
 
 @query(f"""WITH {seg_sql()}, n AS (SELECT *, row_number() {W1}) AS k FROM s),
