@@ -45,3 +45,26 @@ def test_short_series(n):
     x = np.arange(n, dtype=float)
     for found in (ema(x, 3), rma(x, 3), rsi(x, 3), *dmi(x, x, x, 3, 3)):
         assert len(found) == n
+
+
+def test_batches_of_a_series_carry_on(spark):
+    import datetime as dt
+
+    from tidemill.operators import indicators as I
+
+    rng = np.random.default_rng(3)
+    close = 100 + np.cumsum(rng.normal(size=60))
+    rows = [(k, dt.datetime(2025, 1, 1) + dt.timedelta(minutes=15 * i), float(c + 1 + i % 3), float(c - 1 - i % 2), float(c)) for k in "xy" for i, c in enumerate(close)]
+    bars = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, high double, low double, close double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = I.with_indicators(bars, ["symbol"], 5, 9, 4, 4, 4)
+        plan, rows = found._jdf.queryExecution().executedPlan().toString(), found.orderBy("symbol", "ts").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroupsInPandas" not in plan
+    high, low = (np.array([r[c] for r in rows[:60]]) for c in ("high", "low"))
+    want = [I.ema(close, 5), I.ema(close, 9), I.rma(I.ranges(high, low, close), 4), I.rsi(close, 4), *I.dmi(high, low, close, 4, 4)]
+    for name, values in zip(("ema_fast", "ema_slow", "atr", "rsi", "plus_di", "minus_di", "adx"), want, strict=True):
+        seen = np.array([np.nan if r[name] is None else r[name] for r in rows])
+        assert np.array_equal(seen, np.concatenate([values, values]), equal_nan=True)
