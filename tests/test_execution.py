@@ -162,3 +162,20 @@ def test_spreads_cost():
     assert t[8] == 3 and t[9] == 75  # bought back at the ask: 74 and one
     with pytest.raises(ValueError, match="negative"):
         fold(made(-1.0), FIXED)
+
+
+def test_series_are_folded_as_they_come(spark):
+    import datetime as dt
+
+    from tidemill.operators import execution as X
+
+    rows = [(k, dt.datetime(2025, 1, 1) + dt.timedelta(minutes=15 * i), 100.0 + i % 5, 104.0 + i % 7, 97.0 - i % 3, 101.0 + i % 4, "LONG" if i % 6 == 0 else None, 96.0, None, None) for k in "xy" for i in range(50)]
+    bars = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, open double, high double, low double, close double, direction string, stop double, trigger double, expiry double")
+    want = sorted(map(tuple, X.simulate(bars, ["symbol"], 900).collect()), key=str)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = X.simulate(bars, ["symbol"], 900)
+        assert "FlatMapGroupsInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+        assert want and sorted(map(tuple, found.collect()), key=str) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

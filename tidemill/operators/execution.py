@@ -20,7 +20,10 @@ ask, the bid and the bar's spread; signals always go by the bid.
 from __future__ import annotations
 
 from collections import namedtuple
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -291,8 +294,7 @@ def runs(bars: DataFrame, keys: list[str], step: int, settings: Settings = Setti
     schema = T.StructType([*[kept.schema[k] for k in keys], T.StructField("kind", T.StringType()), *[T.StructField(n, k) for n, k in kinds.items()]])
     arrow = to_arrow_schema(schema)
 
-    def run(key: tuple, held: pa.Table) -> pa.Table:
-        rows = held.to_pandas().sort_values("ts", kind="stable").itertuples(index=False)
+    def folded(key: tuple, rows: Iterator) -> pa.Table:
         maker = machine() if machine else None
         found: dict[str, list] = {n: [] for n in OUTPUTS}
         asked = {n: found[n] if n in outputs else None for n in OUTPUTS}
@@ -304,10 +306,24 @@ def runs(bars: DataFrame, keys: list[str], step: int, settings: Settings = Setti
             columns[name] = pa.array([None] * before + own + [None] * (total - before - len(own)), arrow.field(name).type)
             before += len(own)
         columns |= {"kind": pa.array([n for n in outputs for _ in found[n]], pa.string())}
-        columns |= {k: pa.array([v.as_py()] * total, arrow.field(k).type) for k, v in zip(keys, key, strict=True)}
+        columns |= {k: pa.array([v] * total, arrow.field(k).type) for k, v in zip(keys, key, strict=True)}
         return pa.table([columns[f.name] for f in arrow], schema=arrow)
 
-    found = kept.groupBy(*keys).applyInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Folds series after series as their bars come in, without a list of bars."""
+
+        def bars_in() -> Iterator[tuple]:
+            for batch in batches:
+                marks = zip(*[batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys], strict=True)
+                yield from zip(marks, batch.to_pandas().itertuples(index=False), strict=True)
+
+        for key, rows in groupby(bars_in(), itemgetter(0)):
+            own = (bar for _, bar in rows)
+            yield from folded(key, own).to_batches()
+            for _ in own:  # bars that the fold left, past its window
+                pass
+
+    found = kept.repartition(*keys).sortWithinPartitions(*keys, "ts").mapInArrow(run, schema)
     return found.withColumn("_step", F.make_dt_interval(secs=F.lit(step))).withColumns({
         n: F.when(F.col(n).isNotNull(), F.col(n).withField("signal_ts", F.col(f"{n}.signal_ts") + F.col("_step"))) for n in outputs if n != "states"
     }).drop("_step")
