@@ -4,9 +4,12 @@ import datetime as dt
 import hashlib
 import math
 import random
+import time
 
+import numpy as np
 import pytest
 
+from tidemill.operators import draws
 from tidemill.operators import robustness as B
 
 DAY = dt.datetime(2024, 1, 1)
@@ -101,3 +104,38 @@ def test_resuming(spark):
     assert B.resumable(run, a, {"seed": 1}) == run
     with pytest.raises(B.Blocked, match="source changed"):
         B.resumable(run, b, {"seed": 1})
+
+
+@pytest.mark.parametrize("method,block", [(B.PERMUTATION, 1), (B.IID, 1), (B.BLOCK, 4), (B.BLOCK, 11)])
+def test_paths_over_chunks_and_stretches(spark, monkeypatch, method, block):
+    """Chunks of 7 to 11 results, stretches of a few draws from each; numbers of one to three digits."""
+    monkeypatch.setattr(B, "CHUNK", 7)
+    monkeypatch.setattr(B, "DRAWS", 3)
+    rng, n = random.Random(5), 150
+    values = [rng.choice([-3.0, -1.0, 0.0, 0.5, 2.0]) for _ in range(n)]
+    for sim, *found in sorted(B.paths(results(spark, values), method, 11, 42, block, ruin_level=0.9).collect()):
+        if method == B.PERMUTATION:
+            path = [values[i] for i in sorted(range(n), key=lambda i, sim=sim: (number(42, sim, i, 1 << 52), i))]
+        else:
+            path = [values[number(42, sim, k, n - block + 1) + i] for k in range(-(-n // block)) for i in range(block)][:n]
+        assert (round(found[0], 9), round(found[1], 9), *found[2:]) == walked(path, level=0.9)
+    assert sim == 10
+    (r,) = B.observed(results(spark, values)).collect()
+    assert (r["terminal_r"], r["max_drawdown_r"], r["losing_streak"], r["winning_streak"]) == walked(values)[:4]
+
+
+@pytest.mark.parametrize("method,block", [(B.PERMUTATION, 1), (B.IID, 1), (B.BLOCK, 4)])
+def test_paths_shuffle_few_bytes_a_result(spark, method, block):
+    """A result in a path costs about ten bytes of shuffle, not a row and a summary."""
+    rng, n, sims = random.Random(1), 60000, 10
+    rows = results(spark, [rng.random() - 0.5 for _ in range(n)]).localCheckpoint()
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    assert B.paths(rows, method, sims, 1, block).count() == sims
+    time.sleep(1)  # figures follow the tasks
+    assert 0 < written() - before < 14 * n * sims
+
+
+def test_numbers_are_md5s():
+    for seed, sim, places in ((42, 0, range(1200)), (3, 99, (5, 9, 10, 99, 100, 999999999, 10**9, 10**10, 10**17)), (-(10**18), 10**18, (1, 10**15, 10**18))):
+        assert draws.numbers(seed, sim, np.array(places)).tolist() == [number(seed, sim, p, 1 << 52) for p in places]

@@ -1,9 +1,10 @@
 """Resampled result paths of trade lists of any length.
 
-A path's metrics come from summaries that compose: the summary of two stretches in a row follows from theirs. So each
-block of trades is summarised once, where the trades are; a path is a list of block numbers drawn by a hash of (seed, path,
-place), joined with the summaries; and stretches of a path are composed level by level, 512 at a time. No task holds a trade
-list or a path, nothing comes to the driver, and equal seeds give equal paths however rows are dealt.
+The list is cut into chunks, and a path into stretches of places. What a path draws follows from a hash of (seed, path, place), so
+any task can say it again: a stretch asks each chunk for its results (two bytes a draw), the chunk answers with them in the order
+of the places (eight bytes a result), and the stretch puts them in their places. In a permutation chunks send their results
+unasked. A stretch then becomes one summary; summaries compose, as that of two stretches in a row follows from theirs. No task
+holds a trade list or a path, nothing comes to the driver, and equal seeds give equal paths however rows are dealt.
 
 Drawdowns here begin at the first trade's own result, as a path has no balance before it; those of equity begin at the
 starting capital. Results without a value, or without a place in the order of time, are refused, not guessed."""
@@ -12,15 +13,21 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.candles import div
 from tidemill.operators.carry import cumulative, numbered, percentiles
+from tidemill.operators.draws import dealt, numbers, summary
+from tidemill.operators.stored import stored
 from tidemill.sources.stores import fingerprint
 
 #: Summaries that are composed in one step.
 FAN = 512
+#: Results of a chunk at least, chunks at most (longer lists have larger chunks), and results that a stretch draws from a chunk on average.
+CHUNK, CHUNKS, DRAWS = 65536, 1024, 1024
 PERMUTATION, IID, BLOCK = "PERMUTATION", "IID_BOOTSTRAP", "BLOCK_BOOTSTRAP"
 METRICS = ("terminal_r", "max_drawdown_r", "losing_streak", "winning_streak")
 
@@ -43,7 +50,7 @@ def results_of_trades(trades: DataFrame, r: str = "r", exit_ts: str = "exit_ts",
         raise Blocked(f"{found['r']} trades have no result")
     if found["ts"]:
         raise Blocked(f"{found['ts']} trades have no time")
-    return numbered(rows.withColumn("_all", F.lit(0)), ["_all"], ["ts", "_id"], "_n").select((F.col("_n") - 1).alias("n"), "ts", "r")
+    return stored(numbered(rows.withColumn("_all", F.lit(0)), ["_all"], ["ts", "_id"], "_n").select((F.col("_n") - 1).alias("n"), "ts", "r"))
 
 
 def results_of_folds(trades: DataFrame, r: str = "r", ts: str = "ts", trade_id: str = "trade_id") -> DataFrame:
@@ -124,10 +131,105 @@ def blocks(results: DataFrame, length: int, total: int, fraction: float) -> Data
     return rows.select(F.col("n").alias("start"), folded(F.col("_l")).alias("s"))
 
 
-def drawn(sim: str, place: str, seed: int, most: int) -> Column:
-    """A number from 0 up to ``most``, by a hash of the seed, the path and the place."""
-    text = F.concat_ws(":", F.lit(str(seed)), F.col(sim).cast("string"), F.col(place).cast("string"))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") % most
+def packed(results: DataFrame, size: int, more: int = 0) -> DataFrame:
+    """Rows (chunk, r): ``size`` results in a row as doubles, and the next ``more`` (fewer than ``size``) after them."""
+    chunk = F.floor(F.col("n") / size)
+    places = F.when((F.col("n") % size < more) & (chunk > 0), F.array(chunk, chunk - 1)).otherwise(F.array(chunk))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "r": [pdf.sort_values("n")["r"].to_numpy(np.float64).tobytes()]})
+
+    return results.select("n", "r", F.explode(places).alias("chunk")).groupBy("chunk").applyInPandas(pack, "chunk long, r binary")
+
+
+def _cut(total: int, length: int) -> tuple[int, int, int]:
+    """Results of a chunk, chunks, and results of a stretch of a path, of which a chunk gives about ``DRAWS``."""
+    size = max(CHUNK, length, -(-total // CHUNKS))
+    chunks = -(-total // size)
+    return size, chunks, max(1, DRAWS // length) * length * chunks
+
+
+_SUMMARY = ", ".join(["n long"] + [f"`{c}` double" for c in ("sum", "high", "low", "drop", "log", "log_high", "log_low", "log_drop")] + [f"{name}_{part} long" for name in ("lose", "win") for part in ("head", "tail", "most")])
+_SENT = "sim long, place long, chunk long, data binary"
+
+
+def _summarised(rows: DataFrame, results_of, fraction: float) -> DataFrame:
+    """Rows (sim, place, s) of ``_SENT``: what the chunks sent for a stretch, put in the order of its places by ``results_of``."""
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk")
+        sim, place = int(pdf["sim"].iloc[0]), int(pdf["place"].iloc[0])
+        return pd.DataFrame([{"sim": sim, "place": place, **summary(results_of(sim, place, pdf), fraction)}])
+
+    found = rows.groupBy("sim", "place").applyInPandas(follow, f"sim long, place long, {_SUMMARY}")
+    return found.select("sim", "place", F.struct(*[c for c in found.columns if c not in ("sim", "place")]).alias("s"))
+
+
+def _permuted(lists: DataFrame, total: int, simulations: int, seed: int, fraction: float) -> tuple[DataFrame, int]:
+    """Summaries of stretches of permutations, and how many a path has. Each chunk deals its results to stretches by their numbers
+    drawn, and sends where they lie and what they are; the stretch draws the numbers again and sorts."""
+    size, chunks, stretch = _cut(total, 1)
+    stretches, kind = -(-total // stretch), np.uint16 if size <= 1 << 16 else np.uint32
+
+    def send(batches):
+        for pdf in batches:
+            for chunk, data in zip(pdf["chunk"].tolist(), pdf["r"], strict=True):
+                r = np.frombuffer(data)
+                for sim in range(simulations):
+                    upper = numbers(seed, sim, np.arange(chunk * size, chunk * size + len(r))) >> np.uint64(20)
+                    order, parts = dealt((upper * np.uint64(stretches) >> np.uint64(32)).astype(np.int64), stretches)
+                    at, own = order.astype(kind), r[order]
+                    yield pd.DataFrame({"sim": sim, "place": [k for k, _, _ in parts], "chunk": chunk, "data": [at[a:b].tobytes() + own[a:b].tobytes() for _, a, b in parts]})
+
+    def sorted_results(sim, place, pdf):
+        each = [len(data) // (8 + kind().nbytes) for data in pdf["data"]]
+        n = np.concatenate([chunk * size + np.frombuffer(data, kind, k).astype(np.int64) for chunk, data, k in zip(pdf["chunk"].tolist(), pdf["data"], each, strict=True)])
+        r = np.concatenate([np.frombuffer(data[k * kind().nbytes :]) for data, k in zip(pdf["data"], each, strict=True)])
+        return r[np.argsort(numbers(seed, sim, n), kind="stable")]  # of equal numbers the earlier result comes first
+
+    return _summarised(lists.repartitionByRange(chunks, "chunk").mapInPandas(send, _SENT), sorted_results, fraction), stretches
+
+
+def _drawn(lists: DataFrame, total: int, length: int, simulations: int, seed: int, fraction: float) -> tuple[DataFrame, int]:
+    """Summaries of stretches of paths drawn in blocks, and how many a path has."""
+    size, chunks, stretch = _cut(total, length)
+    places, each, kind = -(-total // length), stretch // length, np.uint16 if size <= 1 << 16 else np.uint32
+    stretches = -(-places // each)
+
+    def starts(sim, place):
+        found = numbers(seed, sim, np.arange(place * each, min(places, (place + 1) * each))) % np.uint64(total - length + 1)
+        return found.astype(np.int64)
+
+    def ask(batches):
+        for pdf in batches:
+            for sim, place in zip(pdf["sim"].tolist(), pdf["place"].tolist(), strict=True):
+                start = starts(sim, place)
+                order, parts = dealt(start // size, chunks)
+                at = (start % size).astype(kind)[order]
+                yield pd.DataFrame({"sim": sim, "place": place, "chunk": [k for k, _, _ in parts], "data": [at[a:b].tobytes() for _, a, b in parts]})
+
+    def answer(batches):
+        r, steps = None, np.arange(length)
+        for pdf in batches:
+            for lo in range(0, len(pdf), 256):  # answers are larger than questions
+                part, found = pdf.iloc[lo : lo + 256], []
+                for sim, place, chunk, data in zip(part["sim"].tolist(), part["place"].tolist(), part["chunk"].tolist(), part["data"], strict=True):
+                    if sim < 0:  # the chunk itself comes before what is asked of it
+                        r = np.frombuffer(data)
+                        continue
+                    found.append((sim, place, chunk, r[(np.frombuffer(data, kind).astype(np.int64)[:, None] + steps).ravel()].tobytes()))
+                yield pd.DataFrame(found, columns=["sim", "place", "chunk", "data"])
+
+    def placed(sim, place, pdf):
+        order, _ = dealt(starts(sim, place) // size, chunks)
+        path = np.empty((len(order), length))
+        path[order] = np.frombuffer(b"".join(pdf["data"])).reshape(-1, length)
+        return path.ravel()[: total - place * stretch]  # the last block is cut
+
+    tasks = lists.sparkSession.range(0, simulations * stretches, 1, max(1, simulations * stretches // 64))
+    asked = tasks.select(F.floor(F.col("id") / stretches).alias("sim"), (F.col("id") % stretches).alias("place")).mapInPandas(ask, _SENT)
+    both = asked.unionByName(lists.select(F.lit(-1).cast("long").alias("sim"), F.lit(-1).cast("long").alias("place"), "chunk", F.col("r").alias("data")))
+    return _summarised(both.repartition("chunk").sortWithinPartitions("chunk", "sim", "place").mapInPandas(answer, _SENT), placed, fraction), stretches
 
 
 def paths(
@@ -140,25 +242,16 @@ def paths(
     from its peak (the start included); null without either."""
     if simulations <= 0 or block <= 0 or not 0 < fraction < 1:
         raise ValueError("simulations and block must be positive, the risked fraction between 0 and 1")
-    spark, total = results.sparkSession, results.count()
+    total = results.count()
     if not total:
         raise Blocked("no trades to analyse")
-    sims = spark.range(simulations).withColumnRenamed("id", "sim")
+    length = min(block, total) if method == BLOCK else 1
+    lists = stored(packed(results, _cut(total, length)[0], length - 1))
     if method == PERMUTATION:
-        own = results.select("n", _of_one(F.col("r"), fraction).alias("s"))
-        spread = own.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1)))).withColumn("_d", drawn("sim", "n", seed, 1 << 52))
-        groups = -(-total // FAN)
-        place = F.floor(F.col("_d") / F.lit(float(1 << 52)) * groups)  # results are dealt to groups by their number, and sorted there
-        rows = spread.groupBy("sim", place.alias("place")).agg(F.array_sort(F.collect_list(F.struct("_d", "n", "s"))).alias("_l"))
-        return _metrics(reduced(rows.select("sim", "place", folded(F.transform("_l", lambda x: x["s"])).alias("s")), groups), ruin_level, ruin_drawdown)
-    length = 1 if method == IID else min(block, total)
-    places, last = -(-total // length), total - (-(-total // length) - 1) * length
-    draws = sims.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(places - 1).cast("long"))))
-    draws = draws.withColumn("start", drawn("sim", "place", seed, total - length + 1)).hint("merge")  # Spark takes them for a row a path, and would broadcast them
-    rows = draws.filter(F.col("place") < places - 1 if last < length else F.lit(True)).join(blocks(results, length, total, fraction), "start")
-    if last < length:
-        rows = rows.unionByName(draws.filter(F.col("place") == places - 1).join(blocks(results, last, total, fraction), "start"))
-    return _metrics(reduced(rows.select("sim", "place", "s"), places), ruin_level, ruin_drawdown)
+        rows, stretches = _permuted(lists, total, simulations, seed, fraction)
+    else:
+        rows, stretches = _drawn(lists, total, length, simulations, seed, fraction)
+    return stored(_metrics(reduced(rows, stretches), ruin_level, ruin_drawdown))
 
 
 def _metrics(rows: DataFrame, ruin_level: float | None, ruin_drawdown: float | None) -> DataFrame:
@@ -174,8 +267,11 @@ def _metrics(rows: DataFrame, ruin_level: float | None, ruin_drawdown: float | N
 
 def observed(results: DataFrame, fraction: float = 0.01, ruin_level: float | None = None, ruin_drawdown: float | None = None) -> DataFrame:
     """The same metrics of the list as it is, one row."""
-    own = results.select(F.lit(0).cast("long").alias("sim"), F.col("n").alias("place"), _of_one(F.col("r"), fraction).alias("s"))
-    return _metrics(reduced(own, max(2, results.count())), ruin_level, ruin_drawdown).drop("sim")
+    total = results.count()
+    size, chunks, _ = _cut(total, 1)
+    sent = packed(results, size).select(F.lit(0).cast("long").alias("sim"), F.col("chunk").alias("place"), "chunk", F.col("r").alias("data"))
+    rows = _summarised(sent, lambda sim, place, pdf: np.frombuffer(pdf["data"].iloc[0]), fraction)
+    return stored(_metrics(reduced(rows, chunks), ruin_level, ruin_drawdown).drop("sim"))
 
 
 # --- what paths say
