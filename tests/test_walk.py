@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import random
 import statistics
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -186,3 +187,43 @@ def test_neighbours_at_a_distance_equal_brute_force(spark, distance):
         assert r["neighbors"] == len(near)
         if near:
             assert r["profitable_percent"] == pytest.approx(100 * sum(x[7] > 0 for x in near) / len(near)) and r["median_pf"] == pytest.approx(statistics.median(x[5] for x in near))
+
+
+def test_measured_by_overlapping_folds(spark):
+    """Metrics of each fold and role equal a walk over its trades, and each trade is sorted once, not once for each fold."""
+    rng = random.Random(3)
+    rows = [(rng.choice("xyz"), START + dt.timedelta(hours=rng.randrange(24 * 400)), i, None if i % 50 == 0 else round(rng.uniform(-400, 390), 2), rng.uniform(-1, 1)) for i in range(3000)]
+    trades = spark.createDataFrame(rows, "candidate string, ts timestamp_ntz, trade_id int, pnl double, r double")
+    folds = V.folds(spark, "2020-01-01", "2021-02-01", 6, 1)
+    found = {(r["fold"], r["role"], r["candidate"]): r for r in W.measured_by_fold(trades, folds, ["candidate"], ["ts", "trade_id"], 1000.0).collect()}
+    whole = {(r["candidate"],): r for r in W.measured(trades, ["candidate"], ["ts", "trade_id"], 1000.0).collect()}
+    groups = {(c,): [r for r in rows if r[0] == c] for c in "xyz"}
+    for f in folds.collect():
+        for role, a, b in (("train", f["train_start"], f["train_end"]), ("test", f["train_end"], f["test_end"])):
+            groups |= {(f["fold"], role, c): [r for r in rows if r[0] == c and a <= r[1] < b] for c in "xyz"}
+    assert len(found) + len(whole) == len(groups) and len(found) > 30
+    for key, own in groups.items():
+        got, balance, peak, worst = (found | whole)[key], 1000.0, 1000.0, 0.0
+        for r in sorted(own, key=lambda r: (r[1], r[2])):
+            balance += r[3] or 0.0
+            peak = max(peak, balance)
+            worst = max(worst, (peak - balance) * 100 / peak)
+        values = [r[3] for r in own if r[3] is not None]
+        assert got["total_trades"] == len(values)
+        assert (got["pnl"], got["average_r"], got["max_drawdown"]) == pytest.approx((sum(values), sum(r[4] for r in own) / len(own), worst))
+        assert got["profit_factor"] == pytest.approx(sum(v for v in values if v > 0) / -sum(v for v in values if v < 0))
+
+
+def test_overlapping_folds_do_not_multiply_trades(spark):
+    """Each trade lies in seven folds, and is shuffled once."""
+    n = 40000
+    trades = spark.range(n).select(
+        F.concat_ws("|", F.col("id") % 3, F.lit("1")).alias("candidate"), (F.col("id") % 3).cast("double").alias("a"), F.lit(1.0).alias("b"), F.col("id").alias("trade_id"),
+        F.timestamp_seconds(F.lit(1577836800) + F.col("id") * 2400).cast("timestamp_ntz").alias("ts"), (F.rand(1) - 0.5).alias("pnl"), (F.rand(2) - 0.5).alias("r"),
+    ).localCheckpoint()
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = written()
+    found = W.walk_forward(trades, trades.select("candidate", "a", "b").distinct(), V.folds(spark, "2020-01-01", "2023-01-01", 6, 1), {"a": (0, 2), "b": (1, 1)}, ["ts", "trade_id"])
+    assert found.count() == 30
+    time.sleep(1)  # figures follow the tasks
+    assert 0 < written() - before < 160 * n

@@ -1,7 +1,8 @@
 """Walk-forward validation: stability of parameters, bars of folds, selection in training, results in test, drift.
 
 Tables of candidates and folds are small (a grid, a calendar); bars and trades can have any size. Bars are numbered once in
-chunks, and a fold's warm-up and embargo follow from the numbers at its ends, so no window runs over a fold.
+chunks, and a fold's warm-up and embargo follow from the numbers at its ends, so no window runs over a fold. Trades are sorted
+once, in chunks; balances and drawdowns of each fold follow from what the chunks' curves leave.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ import itertools
 import operator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.candles import change_percent, div
-from tidemill.operators.carry import numbered
-from tidemill.operators.metrics import max_drawdown, trade_stats
+from tidemill.operators.carry import chunked, numbered
+from tidemill.operators.metrics import loss, profit_factor, win
 from tidemill.operators.search import by_fold
+from tidemill.operators.stored import stored
 
 #: Labels of neighbourhoods from best to worst, and warnings.
 CLASSES = ("Broad Plateau", "Moderate Stability", "Fragile Region", "Insufficient Neighbors")
@@ -119,12 +121,55 @@ class Policy:
         return F.nullif(F.concat_ws("; ", *tests), F.lit(""))
 
 
+def _curves(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """What metrics need of trades, stored: for each chunk of a series and each height of the running result within it, the least
+    that the result falls to below that height, and sums. Trades are sorted once, whatever folds they belong to."""
+    rows = chunked(trades.select(*dict.fromkeys([*keys, *order, "pnl", "r"])), keys, order)
+    w = Window.partitionBy("_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    move = F.coalesce("pnl", F.lit(0.0))
+    rows = rows.withColumn("_upto", F.sum(move).over(w)).withColumn("_high", F.max("_upto").over(w))
+    sums = {"_move": move, "_gain": F.when(win(), F.col("pnl")), "_lost": F.when(loss(), -F.col("pnl")), "_net": F.col("pnl"), "_r": F.col("r")}
+    counts = [F.count("pnl").alias("_trades"), F.count("r").alias("_rs")]
+    return stored(rows.groupBy("_chunk", "_high").agg(F.min("_upto").alias("_low"), *counts, *[F.sum(c).alias(n) for n, c in sums.items()]))
+
+
+def _rated(curves: DataFrame, keys: list[str], place: list[Column], initial: float, uses: DataFrame | None = None) -> DataFrame:
+    """Metrics of each group, stored, from the curves of its chunks in the order of ``place``. ``uses`` are the folds and roles of
+    each span of time, where chunks have one."""
+    parts = curves.groupBy("_chunk").agg(F.sum("_move").alias("_move"), F.max("_high").alias("_top"))
+    if uses is not None:
+        parts = parts.withColumn("_span", F.col("_chunk")["_span"]).join(F.broadcast(uses), "_span")  # a calendar
+    of = [F.col(k) if uses is not None and k in uses.columns else F.col("_chunk")[k].alias(k) for k in keys]
+    parts = parts.select("_chunk", *of, "_move", "_top")
+    before = Window.partitionBy(*keys).orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_base", F.lit(float(initial)) + F.coalesce(F.sum("_move").over(before), F.lit(0.0)))
+    parts = parts.withColumn("_before", F.greatest(F.lit(float(initial)), F.max(F.col("_base") + F.col("_top")).over(before)))
+    peak = F.greatest("_before", F.col("_base") + F.col("_high"))
+    none = F.lit(0.0)
+    gain, lost = F.coalesce(F.sum("_gain"), none), F.coalesce(F.sum("_lost"), none)
+    found = curves.join(parts.select("_chunk", *keys, "_base", "_before"), "_chunk").groupBy(*keys).agg(
+        F.sum("_trades").alias("total_trades"), profit_factor(gain, lost, False).alias("profit_factor"), div(F.sum("_r"), F.sum("_rs")).alias("average_r"),
+        F.sum("_net").alias("pnl"), F.max(div((peak - F.col("_base") - F.col("_low")) * 100, peak)).alias("max_drawdown"),
+    )
+    return stored(found)
+
+
 def measured(trades: DataFrame, keys: list[str], order: list[str], initial: float) -> DataFrame:
     """Metrics of each group of trades: count, profit factor (null without losses), mean R, result, largest drawdown in percent."""
-    stats = trade_stats(trades, keys, infinite=False).join(trades.groupBy(*keys).agg(F.avg("r").alias("average_r")), keys)
-    stats = stats.select(*keys, F.col("trades").alias("total_trades"), "profit_factor", "average_r", F.col("net").alias("pnl"))
-    drawdown = max_drawdown(trades, keys, order, initial).select(*keys, F.col("max_drawdown_percent").alias("max_drawdown"))
-    return stats.join(drawdown, keys)
+    return _rated(_curves(trades, keys, order), keys, [F.col("_chunk")["_at"]], initial)
+
+
+def measured_by_fold(trades: DataFrame, folds: DataFrame, keys: list[str], order: list[str], initial: float, ts: str = "ts") -> DataFrame:
+    """The same for each fold and role. Ends of folds cut time into spans; a trade lies in one of them, however many folds
+    overlap there, and a fold's curve is put together from its spans'. Folds are few, as in ``walk_forward``."""
+    spark, rows = folds.sparkSession, folds.select("fold", "train_start", "train_end", "test_end").collect()
+    ends = sorted({t for r in rows for t in r[1:]})
+    spans = list(enumerate(itertools.pairwise(ends)))
+    table = spark.createDataFrame([(i, a, b, b) for i, (a, b) in spans], "fold long, train_start timestamp_ntz, train_end timestamp_ntz, test_end timestamp_ntz")
+    used = [(r["fold"], "train" if a < r["train_end"] else "test", i) for r in rows for i, (a, _) in spans if r["train_start"] <= a < r["test_end"]]
+    uses = spark.createDataFrame(used, "fold long, role string, _span long")
+    placed = by_fold(trades, F.broadcast(table), ts).withColumnRenamed("fold", "_span")  # a calendar
+    return _rated(_curves(placed, [*keys, "_span"], order), ["fold", "role", *keys], [F.col("_chunk")["_span"], F.col("_chunk")["_at"]], initial, uses)
 
 
 def select(rated: DataFrame, keys: list[str], policy: Policy = Policy()) -> DataFrame:
@@ -147,10 +192,10 @@ def walk_forward(
     ``trades`` are those of all candidates over all time; ``candidates`` (id and parameters) and ``folds`` (from
     ``search.folds``) are small. A candidate without trades in a range has 0 of them there. Folds in which the policy refuses
     every candidate are NO_SELECTION."""
-    results = measured(by_fold(trades, folds), ["fold", "role", "candidate"], order, initial)
+    results = measured_by_fold(trades, folds, ["candidate"], order, initial)
     slots = candidates.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(max(folds.count() - 1, 0))))).withColumn("fold", F.col("fold").cast("long"))
     none = {"total_trades": 0, "average_r": 0.0, "pnl": 0.0, "max_drawdown": 0.0}
-    train = slots.join(results.filter("role = 'train'").drop("role"), ["fold", "candidate"], "left").na.fill(none)
+    train = stored(slots.join(results.filter("role = 'train'").drop("role"), ["fold", "candidate"], "left").na.fill(none))
     chosen = select(stability(train, params, ["fold"]), ["fold"], policy)
     test = results.filter("role = 'test'").select("fold", "candidate", *[F.col(m).alias(f"test_{m}") for m in METRICS])
     found = chosen.join(test, ["fold", "candidate"], "left").na.fill({f"test_{m}": v for m, v in none.items()})
