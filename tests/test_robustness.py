@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import math
+import pathlib
 import random
 import time
 
@@ -139,3 +140,19 @@ def test_paths_shuffle_few_bytes_a_result(spark, method, block):
 def test_numbers_are_md5s():
     for seed, sim, places in ((42, 0, range(1200)), (3, 99, (5, 9, 10, 99, 100, 999999999, 10**9, 10**10, 10**17)), (-(10**18), 10**18, (1, 10**15, 10**18))):
         assert draws.numbers(seed, sim, np.array(places)).tolist() == [number(seed, sim, p, 1 << 52) for p in places]
+
+
+@pytest.mark.parametrize("method,block", [(B.PERMUTATION, 1), (B.IID, 1), (B.BLOCK, 4)])
+def test_shuffles_of_paths_are_deleted_as_they_are_done(spark, monkeypatch, method, block):
+    """Some paths at a time, the same ones, and nothing that was shuffled for them stays on disk."""
+    rng, n, sims = random.Random(2), 60000, 20
+    rows = results(spark, [rng.random() - 0.5 for _ in range(n)]).localCheckpoint()
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    disk = lambda: sum(p.stat().st_size for f in folders for p in pathlib.Path(f).rglob("shuffle_*.data") if p.exists())
+    want = sorted(B.paths(rows, method, sims, 1, block, ruin_level=0.5).collect())
+    monkeypatch.setattr(B, "AT_ONCE", 1)
+    before, made, held = disk(), B._metrics, []
+    monkeypatch.setattr(B, "_metrics", lambda *a: (time.sleep(1), held.append(disk() - before), made(*a))[2])
+    assert sorted(B.paths(rows, method, sims, 1, block, ruin_level=0.5).collect()) == want
+    time.sleep(1)  # they are deleted in the background
+    assert len(held) == sims // B.LEAST and max(*held, disk() - before) < n * B.LEAST

@@ -12,7 +12,7 @@ _K = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
 _SHIFTS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
 _START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
 #: Texts that are hashed at a time: their words stay in a core's cache. Texts of more bytes than one block of MD5 are hashed one by one.
-_STEP, _BLOCK = 8192, 55
+_STEP, _BLOCK = 16384, 55
 
 
 def _digests(words: list, n: int) -> np.ndarray:
@@ -71,6 +71,14 @@ def dealt(places: np.ndarray, parts: int) -> tuple[np.ndarray, list[tuple[int, i
     return order, [(k, a, b) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
 
 
+def ranked(drawn: np.ndarray) -> np.ndarray:
+    """The order of rising numbers, equal ones as they come. They are hardly ever equal, and a sort that need not keep their order is
+    faster."""
+    order = np.argsort(drawn)
+    rising = drawn[order]
+    return np.argsort(drawn, kind="stable") if (rising[1:] == rising[:-1]).any() else order
+
+
 def _runs(inside: np.ndarray) -> tuple[int, int, int]:
     """Lengths of the run at the head, of that at the tail, and of the longest."""
     ends, n = np.flatnonzero(~inside), len(inside)

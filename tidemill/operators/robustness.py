@@ -4,13 +4,15 @@ The list is cut into chunks, and a path into stretches of places. What a path dr
 any task can say it again: a stretch asks each chunk for its results (two bytes a draw), the chunk answers with them in the order
 of the places (eight bytes a result), and the stretch puts them in their places. In a permutation chunks send their results
 unasked. A stretch then becomes one summary; summaries compose, as that of two stretches in a row follows from theirs. No task
-holds a trade list or a path, nothing comes to the driver, and equal seeds give equal paths however rows are dealt.
+holds a trade list or a path, nothing comes to the driver, and equal seeds give equal paths however rows are dealt. Paths are made
+some at a time, and what was shuffled for them is deleted before the next ones.
 
 Drawdowns here begin at the first trade's own result, as a path has no balance before it; those of equity begin at the
 starting capital. Results without a value, or without a place in the order of time, are refused, not guessed."""
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.candles import div
 from tidemill.operators.carry import cumulative, numbered, percentiles
-from tidemill.operators.draws import dealt, numbers, summary
+from tidemill.operators.draws import dealt, numbers, ranked, summary
 from tidemill.operators.stored import stored
 from tidemill.sources.stores import fingerprint
 
@@ -28,6 +30,8 @@ from tidemill.sources.stores import fingerprint
 FAN = 512
 #: Results of a chunk at least, chunks at most (longer lists have larger chunks), and results that a stretch draws from a chunk on average.
 CHUNK, CHUNKS, DRAWS = 65536, 1024, 1024
+#: Draws that are on disk at a time (about ten bytes each), but those of ``LEAST`` paths at least. Tasks that deal a list's chunks.
+AT_ONCE, LEAST, TASKS = 1 << 27, 5, 256
 PERMUTATION, IID, BLOCK = "PERMUTATION", "IID_BOOTSTRAP", "BLOCK_BOOTSTRAP"
 METRICS = ("terminal_r", "max_drawdown_r", "losing_streak", "winning_streak")
 
@@ -143,10 +147,11 @@ def packed(results: DataFrame, size: int, more: int = 0) -> DataFrame:
 
 
 def _cut(total: int, length: int) -> tuple[int, int, int]:
-    """Results of a chunk, chunks, and results of a stretch of a path, of which a chunk gives about ``DRAWS``."""
+    """Results of a chunk, chunks, and results of a stretch of a path, of which a chunk gives about ``DRAWS`` (more where chunks are few,
+    as a stretch is not much shorter than a chunk)."""
     size = max(CHUNK, length, -(-total // CHUNKS))
     chunks = -(-total // size)
-    return size, chunks, max(1, DRAWS // length) * length * chunks
+    return size, chunks, max(1, DRAWS // length, CHUNK // length // chunks) * length * chunks
 
 
 _SUMMARY = ", ".join(["n long"] + [f"`{c}` double" for c in ("sum", "high", "low", "drop", "log", "log_high", "log_low", "log_drop")] + [f"{name}_{part} long" for name in ("lose", "win") for part in ("head", "tail", "most")])
@@ -165,7 +170,7 @@ def _summarised(rows: DataFrame, results_of, fraction: float) -> DataFrame:
     return found.select("sim", "place", F.struct(*[c for c in found.columns if c not in ("sim", "place")]).alias("s"))
 
 
-def _permuted(lists: DataFrame, total: int, simulations: int, seed: int, fraction: float) -> tuple[DataFrame, int]:
+def _permuted(lists: DataFrame, total: int, sims: range, seed: int, fraction: float) -> tuple[DataFrame, int]:
     """Summaries of stretches of permutations, and how many a path has. Each chunk deals its results to stretches by their numbers
     drawn, and sends where they lie and what they are; the stretch draws the numbers again and sorts."""
     size, chunks, stretch = _cut(total, 1)
@@ -175,7 +180,7 @@ def _permuted(lists: DataFrame, total: int, simulations: int, seed: int, fractio
         for pdf in batches:
             for chunk, data in zip(pdf["chunk"].tolist(), pdf["r"], strict=True):
                 r = np.frombuffer(data)
-                for sim in range(simulations):
+                for sim in sims:
                     upper = numbers(seed, sim, np.arange(chunk * size, chunk * size + len(r))) >> np.uint64(20)
                     order, parts = dealt((upper * np.uint64(stretches) >> np.uint64(32)).astype(np.int64), stretches)
                     at, own = order.astype(kind), r[order]
@@ -185,12 +190,12 @@ def _permuted(lists: DataFrame, total: int, simulations: int, seed: int, fractio
         each = [len(data) // (8 + kind().nbytes) for data in pdf["data"]]
         n = np.concatenate([chunk * size + np.frombuffer(data, kind, k).astype(np.int64) for chunk, data, k in zip(pdf["chunk"].tolist(), pdf["data"], each, strict=True)])
         r = np.concatenate([np.frombuffer(data[k * kind().nbytes :]) for data, k in zip(pdf["data"], each, strict=True)])
-        return r[np.argsort(numbers(seed, sim, n), kind="stable")]  # of equal numbers the earlier result comes first
+        return r[ranked(numbers(seed, sim, n))]  # of equal numbers the earlier result comes first
 
-    return _summarised(lists.repartitionByRange(chunks, "chunk").mapInPandas(send, _SENT), sorted_results, fraction), stretches
+    return _summarised(lists.mapInPandas(send, _SENT), sorted_results, fraction), stretches
 
 
-def _drawn(lists: DataFrame, total: int, length: int, simulations: int, seed: int, fraction: float) -> tuple[DataFrame, int]:
+def _drawn(lists: DataFrame, total: int, length: int, sims: range, seed: int, fraction: float) -> tuple[DataFrame, int]:
     """Summaries of stretches of paths drawn in blocks, and how many a path has."""
     size, chunks, stretch = _cut(total, length)
     places, each, kind = -(-total // length), stretch // length, np.uint16 if size <= 1 << 16 else np.uint32
@@ -226,7 +231,7 @@ def _drawn(lists: DataFrame, total: int, length: int, simulations: int, seed: in
         path[order] = np.frombuffer(b"".join(pdf["data"])).reshape(-1, length)
         return path.ravel()[: total - place * stretch]  # the last block is cut
 
-    tasks = lists.sparkSession.range(0, simulations * stretches, 1, max(1, simulations * stretches // 64))
+    tasks = lists.sparkSession.range(sims.start * stretches, sims.stop * stretches, 1, max(1, min(TASKS, len(sims) * stretches)))
     asked = tasks.select(F.floor(F.col("id") / stretches).alias("sim"), (F.col("id") % stretches).alias("place")).mapInPandas(ask, _SENT)
     both = asked.unionByName(lists.select(F.lit(-1).cast("long").alias("sim"), F.lit(-1).cast("long").alias("place"), "chunk", F.col("r").alias("data")))
     return _summarised(both.repartition("chunk").sortWithinPartitions("chunk", "sim", "place").mapInPandas(answer, _SENT), placed, fraction), stretches
@@ -246,12 +251,14 @@ def paths(
     if not total:
         raise Blocked("no trades to analyse")
     length = min(block, total) if method == BLOCK else 1
-    lists = stored(packed(results, _cut(total, length)[0], length - 1))
-    if method == PERMUTATION:
-        rows, stretches = _permuted(lists, total, simulations, seed, fraction)
-    else:
-        rows, stretches = _drawn(lists, total, length, simulations, seed, fraction)
-    return stored(_metrics(reduced(rows, stretches), ruin_level, ruin_drawdown))
+    size, chunks, _ = _cut(total, length)
+    lists = stored(packed(results, size, length - 1).repartitionByRange(min(chunks, TASKS), "chunk"))
+    found, step = [], max(LEAST, AT_ONCE // total)
+    for first in range(0, simulations, step):
+        sims = range(first, min(first + step, simulations))
+        rows, stretches = _permuted(lists, total, sims, seed, fraction) if method == PERMUTATION else _drawn(lists, total, length, sims, seed, fraction)
+        found.append(stored(_metrics(reduced(rows, stretches), ruin_level, ruin_drawdown)))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def _metrics(rows: DataFrame, ruin_level: float | None, ruin_drawdown: float | None) -> DataFrame:
