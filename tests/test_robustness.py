@@ -156,3 +156,11 @@ def test_shuffles_of_paths_are_deleted_as_they_are_done(spark, monkeypatch, meth
     assert sorted(B.paths(rows, method, sims, 1, block, ruin_level=0.5).collect()) == want
     time.sleep(1)  # they are deleted in the background
     assert len(held) == sims // B.LEAST and max(*held, disk() - before) < n * B.LEAST
+
+
+def test_short_lists_have_few_stretches():
+    """A stretch is a task's group, however short; it has about as many results as a chunk at least."""
+    for length in (1, 5):
+        size, chunks, stretch = B._cut(150_000, length)
+        assert stretch % (length * chunks) == 0 and -(-150_000 // stretch) <= 3 and stretch <= 2 * size
+    assert B._cut(9_000_000, 1) == (65536, 138, 1024 * 138)

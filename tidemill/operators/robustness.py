@@ -30,8 +30,8 @@ from tidemill.sources.stores import fingerprint
 FAN = 512
 #: Results of a chunk at least, chunks at most (longer lists have larger chunks), and results that a stretch draws from a chunk on average.
 CHUNK, CHUNKS, DRAWS = 65536, 1024, 1024
-#: Draws that are on disk at a time (about ten bytes each), but those of ``LEAST`` paths at least. Tasks that deal a list's chunks.
-AT_ONCE, LEAST, TASKS = 1 << 27, 5, 256
+#: Draws that are on disk at a time (about ten bytes each), but those of ``LEAST`` paths at least. Tasks that deal or ask at most, as each costs some time.
+AT_ONCE, LEAST, TASKS = 1 << 27, 5, 96
 PERMUTATION, IID, BLOCK = "PERMUTATION", "IID_BOOTSTRAP", "BLOCK_BOOTSTRAP"
 METRICS = ("terminal_r", "max_drawdown_r", "losing_streak", "winning_streak")
 
