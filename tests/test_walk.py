@@ -227,3 +227,17 @@ def test_overlapping_folds_do_not_multiply_trades(spark):
     assert found.count() == 30
     time.sleep(1)  # figures follow the tasks
     assert 0 < written() - before < 160 * n
+
+
+def test_rising_results_leave_few_rows(spark):
+    """Trades that only gain are one row of a chunk's curve, and one for each height that is fallen from."""
+    of = lambda pnl: spark.createDataFrame([("x", START + dt.timedelta(seconds=i), i, float(p), 0.0) for i, p in enumerate(pnl)], "candidate string, ts timestamp_ntz, trade_id int, pnl double, r double")
+    for pnl, rows, drop in (([1] * 500, 1, 0.0), ([1] * 100 + [-50] + [1] * 300 + [-90, -10], 3, 10000 / 1350), ([-5] + [1] * 200, 1, 0.5)):
+        assert W._curves(of(pnl), ["candidate"], ["ts", "trade_id"]).count() == rows
+        (r,) = W.measured(of(pnl), ["candidate"], ["ts", "trade_id"], 1000.0).collect()
+        assert (r["total_trades"], r["pnl"], r["max_drawdown"]) == pytest.approx((len(pnl), sum(pnl), drop))
+    later = of([1] * 10 + [-9, -9]).unionByName(of([-3] + [2] * 40 + [-1]).withColumn("ts", F.col("ts") + F.expr("interval 1 day")))
+    (r,) = W.measured(later, ["candidate"], ["ts", "trade_id"], 1000.0).collect()
+    assert r["max_drawdown"] == pytest.approx(2100 / 1010)  # below the peak of the day before
+    (r,) = W.measured(of([1, 1]), ["candidate"], ["ts", "trade_id"], 0.0).collect()
+    assert r["max_drawdown"] == 0.0

@@ -123,20 +123,25 @@ class Policy:
 
 def _curves(trades: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """What metrics need of trades, stored: for each chunk of a series and each height of the running result within it, the least
-    that the result falls to below that height, and sums. Trades are sorted once, whatever folds they belong to."""
-    rows = chunked(trades.select(*dict.fromkeys([*keys, *order, "pnl", "r"])), keys, order)
-    w = Window.partitionBy("_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    that the result falls to below that height, and sums. Trades are sorted once, whatever folds they belong to. Heights that the
+    result doesn't fall from are one row, with the first and the highest of them: no later one tells more, as from a capital that
+    isn't negative the drawdown there is 0, or, below an earlier peak, less than at the first. So a list that only rises leaves one
+    row, not one for each trade."""
+    rows = chunked(trades.select(*dict.fromkeys([*keys, *order, "pnl", "r"])), keys, order).withColumn("_hash", F.xxhash64("_chunk"))
+    w = Window.partitionBy("_hash", "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     move = F.coalesce("pnl", F.lit(0.0))
     rows = rows.withColumn("_upto", F.sum(move).over(w)).withColumn("_high", F.max("_upto").over(w))
     sums = {"_move": move, "_gain": F.when(win(), F.col("pnl")), "_lost": F.when(loss(), -F.col("pnl")), "_net": F.col("pnl"), "_r": F.col("r")}
     counts = [F.count("pnl").alias("_trades"), F.count("r").alias("_rs")]
-    return stored(rows.groupBy("_chunk", "_high").agg(F.min("_upto").alias("_low"), *counts, *[F.sum(c).alias(n) for n, c in sums.items()]))
+    fallen = F.when((F.col("_upto") < F.col("_high")) | F.isnan("_upto"), F.col("_high"))
+    ends = [F.min("_high").alias("_high"), F.max("_high").alias("_most"), F.min("_upto").alias("_low")]
+    return stored(rows.groupBy("_hash", "_chunk", fallen.alias("_from")).agg(*ends, *counts, *[F.sum(c).alias(n) for n, c in sums.items()]))
 
 
 def _rated(curves: DataFrame, keys: list[str], place: list[Column], initial: float, uses: DataFrame | None = None) -> DataFrame:
     """Metrics of each group, stored, from the curves of its chunks in the order of ``place``. ``uses`` are the folds and roles of
     each span of time, where chunks have one."""
-    parts = curves.groupBy("_chunk").agg(F.sum("_move").alias("_move"), F.max("_high").alias("_top"))
+    parts = curves.groupBy("_chunk").agg(F.sum("_move").alias("_move"), F.max("_most").alias("_top"))
     if uses is not None:
         parts = parts.withColumn("_span", F.col("_chunk")["_span"]).join(F.broadcast(uses), "_span")  # a calendar
     of = [F.col(k) if uses is not None and k in uses.columns else F.col("_chunk")[k].alias(k) for k in keys]
@@ -144,12 +149,13 @@ def _rated(curves: DataFrame, keys: list[str], place: list[Column], initial: flo
     before = Window.partitionBy(*keys).orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_base", F.lit(float(initial)) + F.coalesce(F.sum("_move").over(before), F.lit(0.0)))
     parts = parts.withColumn("_before", F.greatest(F.lit(float(initial)), F.max(F.col("_base") + F.col("_top")).over(before)))
-    peak = F.greatest("_before", F.col("_base") + F.col("_high"))
+    peak, most = F.greatest("_before", F.col("_base") + F.col("_high")), F.greatest("_before", F.col("_base") + F.col("_most"))
+    drop = F.greatest(div((peak - F.col("_base") - F.col("_low")) * 100, peak), F.when(most > 0, F.lit(0.0)))
     none = F.lit(0.0)
     gain, lost = F.coalesce(F.sum("_gain"), none), F.coalesce(F.sum("_lost"), none)
     found = curves.join(parts.select("_chunk", *keys, "_base", "_before"), "_chunk").groupBy(*keys).agg(
         F.sum("_trades").alias("total_trades"), profit_factor(gain, lost, False).alias("profit_factor"), div(F.sum("_r"), F.sum("_rs")).alias("average_r"),
-        F.sum("_net").alias("pnl"), F.max(div((peak - F.col("_base") - F.col("_low")) * 100, peak)).alias("max_drawdown"),
+        F.sum("_net").alias("pnl"), F.max(drop).alias("max_drawdown"),
     )
     return stored(found)
 
