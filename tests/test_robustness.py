@@ -9,6 +9,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.operators import draws
 from tidemill.operators import robustness as B
@@ -164,3 +165,26 @@ def test_short_lists_have_few_stretches():
         size, chunks, stretch = B._cut(150_000, length)
         assert stretch % (length * chunks) == 0 and -(-150_000 // stretch) <= 3 and stretch <= 2 * size
     assert B._cut(9_000_000, 1) == (65536, 138, 1024 * 138)
+
+
+@pytest.mark.parametrize("method", [B.IID, B.BLOCK])
+def test_paths_of_a_short_list_take_few_tasks(spark, method):
+    """A task draws some millions of results, not one stretch of one path."""
+    rng, n = random.Random(3), 20000
+    rows = results(spark, [rng.random() - 0.5 for _ in range(n)]).localCheckpoint()
+    tasks = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalTasks()
+    before = tasks()
+    assert len(B.paths(rows, method, 90, 1, 4).collect()) == 90
+    time.sleep(1)  # figures follow the tasks
+    assert tasks() - before < 60
+
+
+def test_trades_are_numbered_in_order_over_partitions(spark):
+    rng, n = random.Random(4), 30000
+    times = [rng.randrange(3000) for _ in range(n)]
+    trades = spark.range(n).select(F.col("id").alias("trade_id"), F.timestamp_seconds(F.element_at(F.lit(times), F.col("id").cast("int") + 1)).alias("ts"), F.col("id").cast("double").alias("r")).repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    found = B.results_of_trades(trades, exit_ts="ts", entry_ts="ts").orderBy("n").collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = sorted(range(n), key=lambda i: (times[i], i))
+    assert [(x["n"], x["r"]) for x in found] == [(k, float(i)) for k, i in enumerate(want)]

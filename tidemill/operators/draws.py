@@ -12,7 +12,7 @@ _K = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
 _SHIFTS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
 _START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
 #: Texts that are hashed at a time: their words stay in a core's cache. Texts of more bytes than one block of MD5 are hashed one by one.
-_STEP, _BLOCK = 16384, 55
+_STEP, _BLOCK = 32768, 55
 
 
 def _digests(words: list, n: int) -> np.ndarray:

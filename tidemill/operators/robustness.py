@@ -1,8 +1,8 @@
 """Resampled result paths of trade lists of any length.
 
 The list is cut into chunks, and a path into stretches of places. What a path draws follows from a hash of (seed, path, place), so
-any task can say it again: a stretch asks each chunk for its results (two bytes a draw), the chunk answers with them in the order
-of the places (eight bytes a result), and the stretch puts them in their places. In a permutation chunks send their results
+any task can say it: a stretch asks each chunk for its results (two bytes a draw, and four that say where a block goes), the chunk
+answers with them (eight bytes a result), and the stretch puts them in their places. In a permutation chunks send their results
 unasked. A stretch then becomes one summary; summaries compose, as that of two stretches in a row follows from theirs. No task
 holds a trade list or a path, nothing comes to the driver, and equal seeds give equal paths however rows are dealt. Paths are made
 some at a time, and what was shuffled for them is deleted before the next ones.
@@ -13,15 +13,18 @@ starting capital. Results without a value, or without a place in the order of ti
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.candles import div
-from tidemill.operators.carry import cumulative, numbered, percentiles
+from tidemill.operators.carry import cumulative, percentiles
 from tidemill.operators.draws import dealt, numbers, ranked, summary
 from tidemill.operators.stored import stored
 from tidemill.sources.stores import fingerprint
@@ -30,8 +33,8 @@ from tidemill.sources.stores import fingerprint
 FAN = 512
 #: Results of a chunk at least, chunks at most (longer lists have larger chunks), and results that a stretch draws from a chunk on average.
 CHUNK, CHUNKS, DRAWS = 65536, 1024, 1024
-#: Draws that are on disk at a time (about ten bytes each), but those of ``LEAST`` paths at least. Tasks that deal or ask at most, as each costs some time.
-AT_ONCE, LEAST, TASKS = 1 << 27, 5, 96
+#: Results that are on disk at a time (about ten bytes each), but those of ``LEAST`` paths at least, and results of a task, as each task costs some time.
+AT_ONCE, LEAST, SHARE = 1 << 27, 5, 6_000_000
 PERMUTATION, IID, BLOCK = "PERMUTATION", "IID_BOOTSTRAP", "BLOCK_BOOTSTRAP"
 METRICS = ("terminal_r", "max_drawdown_r", "losing_streak", "winning_streak")
 
@@ -54,7 +57,24 @@ def results_of_trades(trades: DataFrame, r: str = "r", exit_ts: str = "exit_ts",
         raise Blocked(f"{found['r']} trades have no result")
     if found["ts"]:
         raise Blocked(f"{found['ts']} trades have no time")
-    return stored(numbered(rows.withColumn("_all", F.lit(0)), ["_all"], ["ts", "_id"], "_n").select((F.col("_n") - 1).alias("n"), "ts", "r"))
+    return _in_order(rows.orderBy("ts", "_id").select("ts", "r"))
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Sorted rows (ts, r) with their numbers from 0, ``n``. Each batch of a partition is stored as one row, which is read and written
+    faster than its rows; a table with a row for each batch carries how many rows come before."""
+
+    def batched(batches):
+        part = TaskContext.get().partitionId()
+        for k, batch in enumerate(batches):
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(batch)], pa.int32()), column) for column in batch.columns]
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([k], pa.int32()), pa.array([len(batch)], pa.int64()), *lists], ["part", "batch", "rows", "ts", "r"])
+
+    kept = stored(rows.mapInArrow(batched, f"part int, batch int, rows long, ts array<{rows.schema['ts'].dataType.simpleString()}>, r array<double>"))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("part", "batch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = kept.select("part", "batch", "rows").select("part", "batch", before.alias("_start"))
+    placed = kept.join(F.broadcast(starts), ["part", "batch"]).select("_start", F.posexplode(F.arrays_zip("ts", "r")).alias("_at", "_row"))
+    return placed.select((F.col("_start") + F.col("_at")).alias("n"), "_row.ts", "_row.r")
 
 
 def results_of_folds(trades: DataFrame, r: str = "r", ts: str = "ts", trade_id: str = "trade_id") -> DataFrame:
@@ -135,15 +155,46 @@ def blocks(results: DataFrame, length: int, total: int, fraction: float) -> Data
     return rows.select(F.col("n").alias("start"), folded(F.col("_l")).alias("s"))
 
 
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that lie one after another in an array, from its start to each of ``ends``, in bytes."""
+    offsets = np.append(0, ends).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _items(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """What the binary values of a column hold, one after another, and where each ends, in items."""
+    column, width = column.cast(pa.binary()), np.dtype(kind).itemsize
+    if not len(column):
+        return np.empty(0, kind), np.empty(0, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)
+    ends = (offsets[1:] - offsets[0]) // width
+    return np.frombuffer(column.buffers()[2], kind, ends[-1], offsets[0]) if ends[-1] else np.empty(0, kind), ends
+
+
+def _all_items(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.concatenate([np.empty(0, kind), *[_items(x, kind)[0] for x in table.column(name).chunks]])
+
+
 def packed(results: DataFrame, size: int, more: int = 0) -> DataFrame:
     """Rows (chunk, r): ``size`` results in a row as doubles, and the next ``more`` (fewer than ``size``) after them."""
-    chunk = F.floor(F.col("n") / size)
-    places = F.when((F.col("n") % size < more) & (chunk > 0), F.array(chunk, chunk - 1)).otherwise(F.array(chunk))
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "r": [pdf.sort_values("n")["r"].to_numpy(np.float64).tobytes()]})
+    def pieces(batches):
+        for batch in batches:
+            n, r = batch.column("n").to_numpy(), batch.column("r").to_numpy()
+            chunk = n // size
+            guest = (n % size < more) & (chunk > 0)
+            chunk, n, r = np.append(chunk, chunk[guest] - 1), np.append(n, n[guest]), np.append(r, r[guest])
+            order = np.argsort(chunk, kind="stable")
+            chunk, at, r = chunk[order], (n[order] - chunk[order] * size).astype(np.uint32), r[order]
+            ends = np.append(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1, len(chunk)) if len(chunk) else np.empty(0, np.int64)
+            yield pa.record_batch([pa.array(chunk[ends - 1], pa.int64()), _binary(at, 4 * ends), _binary(r, 8 * ends)], ["chunk", "at", "r"])
+
+    def pack(table: pa.Table) -> pa.Table:
+        order = np.argsort(_all_items(table, "at", np.uint32))
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "r": pa.array([_all_items(table, "r", np.float64)[order].tobytes()], pa.binary())})
 
-    return results.select("n", "r", F.explode(places).alias("chunk")).groupBy("chunk").applyInPandas(pack, "chunk long, r binary")
+    found = results.select(F.col("n").cast("long").alias("n"), F.col("r").cast("double").alias("r")).mapInArrow(pieces, "chunk long, at binary, r binary")
+    return found.groupBy("chunk").applyInArrow(pack, "chunk long, r binary")
 
 
 def _cut(total: int, length: int) -> tuple[int, int, int]:
@@ -155,18 +206,24 @@ def _cut(total: int, length: int) -> tuple[int, int, int]:
 
 
 _SUMMARY = ", ".join(["n long"] + [f"`{c}` double" for c in ("sum", "high", "low", "drop", "log", "log_high", "log_low", "log_drop")] + [f"{name}_{part} long" for name in ("lose", "win") for part in ("head", "tail", "most")])
-_SENT = "sim long, place long, chunk long, data binary"
+_SENT, _DRAWN = "sim long, place long, chunk long, data binary", "sim long, place long, chunk long, data binary, at binary"
 
 
-def _summarised(rows: DataFrame, results_of, fraction: float) -> DataFrame:
-    """Rows (sim, place, s) of ``_SENT``: what the chunks sent for a stretch, put in the order of its places by ``results_of``."""
+def _tasks(results: int, most: int) -> int:
+    """How many tasks see to so many results, one for each ``SHARE``. Spark's own choice is a few more than there are cores, which
+    then wait for a second round."""
+    return max(1, min(most, -(-results // SHARE)))
 
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        sim, place = int(pdf["sim"].iloc[0]), int(pdf["place"].iloc[0])
-        return pd.DataFrame([{"sim": sim, "place": place, **summary(results_of(sim, place, pdf), fraction)}])
 
-    found = rows.groupBy("sim", "place").applyInPandas(follow, f"sim long, place long, {_SUMMARY}")
+def _summarised(rows: DataFrame, results_of, fraction: float, tasks: int) -> DataFrame:
+    """Rows (sim, place, s) of what the chunks sent for a stretch, put in the order of its places by ``results_of``."""
+
+    def follow(table: pa.Table) -> pa.Table:
+        sim, place = table.column("sim")[0].as_py(), table.column("place")[0].as_py()
+        found = {"sim": sim, "place": place, **summary(results_of(sim, place, table), fraction)}
+        return pa.table({name: [value] for name, value in found.items()})
+
+    found = rows.repartition(tasks, "sim", "place").groupBy("sim", "place").applyInArrow(follow, f"sim long, place long, {_SUMMARY}")
     return found.select("sim", "place", F.struct(*[c for c in found.columns if c not in ("sim", "place")]).alias("s"))
 
 
@@ -186,13 +243,14 @@ def _permuted(lists: DataFrame, total: int, sims: range, seed: int, fraction: fl
                     at, own = order.astype(kind), r[order]
                     yield pd.DataFrame({"sim": sim, "place": [k for k, _, _ in parts], "chunk": chunk, "data": [at[a:b].tobytes() + own[a:b].tobytes() for _, a, b in parts]})
 
-    def sorted_results(sim, place, pdf):
+    def sorted_results(sim, place, table):
+        pdf = table.to_pandas().sort_values("chunk")
         each = [len(data) // (8 + kind().nbytes) for data in pdf["data"]]
         n = np.concatenate([chunk * size + np.frombuffer(data, kind, k).astype(np.int64) for chunk, data, k in zip(pdf["chunk"].tolist(), pdf["data"], each, strict=True)])
         r = np.concatenate([np.frombuffer(data[k * kind().nbytes :]) for data, k in zip(pdf["data"], each, strict=True)])
         return r[ranked(numbers(seed, sim, n))]  # of equal numbers the earlier result comes first
 
-    return _summarised(lists.mapInPandas(send, _SENT), sorted_results, fraction), stretches
+    return _summarised(lists.mapInPandas(send, _SENT), sorted_results, fraction, _tasks(len(sims) * total, len(sims) * stretches)), stretches
 
 
 def _drawn(lists: DataFrame, total: int, length: int, sims: range, seed: int, fraction: float) -> tuple[DataFrame, int]:
@@ -206,35 +264,44 @@ def _drawn(lists: DataFrame, total: int, length: int, sims: range, seed: int, fr
         return found.astype(np.int64)
 
     def ask(batches):
-        for pdf in batches:
-            for sim, place in zip(pdf["sim"].tolist(), pdf["place"].tolist(), strict=True):
+        for batch in batches:
+            for sim, place in zip(batch.column("sim").to_pylist(), batch.column("place").to_pylist(), strict=True):
                 start = starts(sim, place)
                 order, parts = dealt(start // size, chunks)
-                at = (start % size).astype(kind)[order]
-                yield pd.DataFrame({"sim": sim, "place": place, "chunk": [k for k, _, _ in parts], "data": [at[a:b].tobytes() for _, a, b in parts]})
+                of, ends = np.array([k for k, _, _ in parts]), np.array([b for _, _, b in parts])
+                at, same = (start % size).astype(kind)[order], [pa.array(np.full(len(of), x)) for x in (sim, place)]
+                own = _binary(order.astype(np.uint32), 4 * ends) if length > 1 else pa.nulls(len(of), pa.binary())
+                yield pa.record_batch([*same, pa.array(of), _binary(at, at.itemsize * ends), own], ["sim", "place", "chunk", "data", "at"])
 
     def answer(batches):
-        r, steps = None, np.arange(length)
-        for pdf in batches:
-            for lo in range(0, len(pdf), 256):  # answers are larger than questions
-                part, found = pdf.iloc[lo : lo + 256], []
-                for sim, place, chunk, data in zip(part["sim"].tolist(), part["place"].tolist(), part["chunk"].tolist(), part["data"], strict=True):
-                    if sim < 0:  # the chunk itself comes before what is asked of it
-                        r = np.frombuffer(data)
-                        continue
-                    found.append((sim, place, chunk, r[(np.frombuffer(data, kind).astype(np.int64)[:, None] + steps).ravel()].tobytes()))
-                yield pd.DataFrame(found, columns=["sim", "place", "chunk", "data"])
-
-    def placed(sim, place, pdf):
-        order, _ = dealt(starts(sim, place) // size, chunks)
-        path = np.empty((len(order), length))
-        path[order] = np.frombuffer(b"".join(pdf["data"])).reshape(-1, length)
+        windows = None
+        for batch in batches:
+            cuts = sorted({*np.flatnonzero(batch.column("sim").to_numpy() < 0).tolist(), *range(0, len(batch), 256), len(batch)})  # answers are larger than questions
+            for lo, hi in itertools.pairwise(cuts):
+                if batch.column("sim")[lo].as_py() < 0:  # the chunk itself comes before what is asked of it
+                    r, lo = np.frombuffer(batch.column("data")[lo].as_py()), lo + 1
+                    windows = np.lib.stride_tricks.sliding_window_view(r, min(length, len(r)))  # in a shorter chunk, the last, no block begins
+                part = batch.slice(lo, hi - lo)
+                if len(part):
+                    asked, ends = _items(part.column("data"), kind)
+                    yield part.set_column(3, "data", _binary(windows[asked], 8 * length * ends))
+
+    def placed(sim, place, table):
+        if length > 1:
+            at = _all_items(table, "at", np.uint32)
+        else:  # the place of each result would be half as long as itself, so it is found again
+            table = table.sort_by("chunk")
+            at, _ = dealt(starts(sim, place) // size, chunks)
+        path = np.empty((len(at), length))
+        path[at] = _all_items(table, "data", np.float64).reshape(-1, length)
         return path.ravel()[: total - place * stretch]  # the last block is cut
 
-    tasks = lists.sparkSession.range(sims.start * stretches, sims.stop * stretches, 1, max(1, min(TASKS, len(sims) * stretches)))
-    asked = tasks.select(F.floor(F.col("id") / stretches).alias("sim"), (F.col("id") % stretches).alias("place")).mapInPandas(ask, _SENT)
-    both = asked.unionByName(lists.select(F.lit(-1).cast("long").alias("sim"), F.lit(-1).cast("long").alias("place"), "chunk", F.col("r").alias("data")))
-    return _summarised(both.repartition("chunk").sortWithinPartitions("chunk", "sim", "place").mapInPandas(answer, _SENT), placed, fraction), stretches
+    results = len(sims) * total
+    ids = lists.sparkSession.range(sims.start * stretches, sims.stop * stretches, 1, _tasks(results, len(sims) * stretches))
+    asked = ids.select(F.floor(F.col("id") / stretches).alias("sim"), (F.col("id") % stretches).alias("place")).mapInArrow(ask, _DRAWN)
+    both = asked.unionByName(lists.select(F.lit(-1).cast("long").alias("sim"), F.lit(-1).cast("long").alias("place"), "chunk", F.col("r").alias("data"), F.lit(None).cast("binary").alias("at")))
+    dealt_out = both.repartition(_tasks(results, chunks), "chunk").sortWithinPartitions("chunk", "sim", "place")
+    return _summarised(dealt_out.mapInArrow(answer, _DRAWN), placed, fraction, _tasks(results, len(sims) * stretches)), stretches
 
 
 def paths(
@@ -252,7 +319,7 @@ def paths(
         raise Blocked("no trades to analyse")
     length = min(block, total) if method == BLOCK else 1
     size, chunks, _ = _cut(total, length)
-    lists = stored(packed(results, size, length - 1).repartitionByRange(min(chunks, TASKS), "chunk"))
+    lists = stored(packed(results, size, length - 1).repartitionByRange(_tasks(total, chunks), "chunk"))
     found, step = [], max(LEAST, AT_ONCE // total)
     for first in range(0, simulations, step):
         sims = range(first, min(first + step, simulations))
@@ -277,7 +344,7 @@ def observed(results: DataFrame, fraction: float = 0.01, ruin_level: float | Non
     total = results.count()
     size, chunks, _ = _cut(total, 1)
     sent = packed(results, size).select(F.lit(0).cast("long").alias("sim"), F.col("chunk").alias("place"), "chunk", F.col("r").alias("data"))
-    rows = _summarised(sent, lambda sim, place, pdf: np.frombuffer(pdf["data"].iloc[0]), fraction)
+    rows = _summarised(sent, lambda sim, place, table: _all_items(table, "data", np.float64), fraction, _tasks(total, chunks))
     return stored(_metrics(reduced(rows, chunks), ruin_level, ruin_drawdown).drop("sim"))
 
 
