@@ -112,6 +112,19 @@ def test_byte_bpe_equals_tiktoken(spark):
     assert byte_bpe.encode(table(spark, [])).count() == 0
 
 
+def test_byte_bpe_decodes_many_texts_at_once():
+    """Arrow takes and joins all tokens of some texts; there is no Python object for each id."""
+    own = byte_bpe.bpe(byte_bpe.default_ranks(), byte_bpe.default_pattern())
+    texts = ["", *[x or "" for x in MIXED], *odd_texts(50, 3), ""]
+    ids = list(own.encode(texts))
+    decoded, decimal = own.decode(ids)
+    assert decoded.to_pylist() == [x.encode() for x in texts]
+    assert decimal.to_pylist() == [",".join(map(str, np.frombuffer(x, "<u4").tolist())) for x in ids]
+    assert [len(x) for x in own.decode([])] == [0, 0]
+    with pytest.raises(IndexError):
+        own.decode([np.array([len(own.bytes_of)], "<u4").tobytes()])
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 500])
 def test_perfect_hash(n):
     keys = [str(i).encode() for i in range(n)]

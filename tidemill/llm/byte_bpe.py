@@ -18,6 +18,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,9 +86,9 @@ class PerfectHash:
     def get(self, key: bytes) -> int | None:
         if not self.n:
             return None
-        b, x, step = self._parts(key)
-        d = self.shift[b]
-        slot = -d - 1 if d < 0 else self._slot(x, step, d)
+        h = self.hash(key)  # as in _parts and _slot, without their calls
+        d = self.shift[(h & 0xFFFFFFFF) % self.buckets]
+        slot = -d - 1 if d < 0 else (((h >> 32 & 0xFFFFFFFF) + d * (h >> 64 & 0xFFFFFFFF | 1)) * 0x9E3779B97F4A7C15 >> 32 & 0xFFFFFFFF) % self.n
         return self.values[slot] if self.keys[slot] == key else None
 
 
@@ -102,7 +103,9 @@ class Bpe:
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
-        self.decimal = [str(i) for i in range(len(self.bytes_of))]
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.bytes_of))]
+        self.tokens = pa.array(self.bytes_of, pa.binary())
+        self.decimal = pa.array(map(str, range(len(self.bytes_of))), pa.string())
         self.words = Memo(self._word, 20_000_000)
         self.memo = Memo(self._chunk, 60_000_000)
 
@@ -133,7 +136,7 @@ class Bpe:
     def _word(self, word: str) -> bytes:
         token = word.encode("utf-8", "surrogatepass")
         rank = self.whole.get(token)
-        return np.array(self.merge(token) if rank is None else [rank], "<u4").tobytes()
+        return b"".join(map(self.packed.__getitem__, self.merge(token))) if rank is None else self.packed[rank]
 
     def _chunk(self, chunk: str) -> bytes:
         words = self.split.findall(chunk)
@@ -146,8 +149,13 @@ class Bpe:
             for i, x in enumerate(found):
                 yield b"".join(map(self.memo.__getitem__, odd[i])) if i in odd else x
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: list[bytes]) -> tuple[pa.Array, pa.Array]:
+        """Of each text's ids: the bytes they stand for, and the ids in decimal, joined by commas."""
+        flat = pa.array(np.frombuffer(b"".join(ids), "<u4"))
+        ends = pa.array(np.cumsum([0, *map(len, ids)]) // 4, pa.int32())
+        parts = (pa.ListArray.from_arrays(ends, x.take(flat)) for x in (self.tokens, self.decimal))
+        decoded, text = (pc.binary_join(x, sep) for x, sep in zip(parts, (b"", ","), strict=True))
+        return decoded, text
 
 
 @functools.lru_cache(maxsize=2)
@@ -189,9 +197,7 @@ def decode(encoded: DataFrame, ranks: str | None = None, pattern: str | None = N
         for batch in batches:
             kept = batch.column("ids").to_pylist()
             for lo in range(0, len(kept), 500):
-                ids = [np.frombuffer(x, "<u4").tolist() for x in kept[lo : lo + 500]]
-                decoded = pa.array([own.decode(x) for x in ids], pa.binary())
-                text = pa.array([",".join(map(own.decimal.__getitem__, x)) for x in ids], pa.string())
+                decoded, text = own.decode(kept[lo : lo + 500])
                 part = batch.slice(lo, 500)
                 yield part.append_column("decoded", decoded).append_column("ids_text", text)
 
